@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.llm import curriculum, fingerprint, packing, sharding, token_counts
+from fluvial.llm import curriculum, fingerprint, packing, sharding, token_counts, toxicity
 from fluvial.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_time_varying_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +47,7 @@ def queries() -> dict:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
         "op3_power_of_two_packing": op3_power_of_two_packing,
+        "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
         "op5_time_varying_curriculum": op5_time_varying_curriculum,
         "op7_weighted_hash_tree": op7_weighted_hash_tree,
         "op9_token_counts": op9_token_counts,
