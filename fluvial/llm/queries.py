@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.llm import curriculum, fingerprint, packing, sharding, token_counts, toxicity
+from fluvial.llm import curriculum, fingerprint, jaccard_join, packing, sharding, token_counts, toxicity
 from fluvial.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op7_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -50,9 +54,10 @@ def queries() -> dict:
         "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
         "op5_time_varying_curriculum": op5_time_varying_curriculum,
         "op7_weighted_hash_tree": op7_weighted_hash_tree,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_token_counts": op9_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_time_varying_curriculum": curriculum.oracle(), "op7_weighted_hash_tree": sharding.oracle()}
+    return {"op5_time_varying_curriculum": curriculum.oracle(), "op7_weighted_hash_tree": sharding.oracle(), "op8_ngram_jaccard_join": jaccard_join.oracle()}
