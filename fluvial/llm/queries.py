@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.llm import curriculum, fingerprint, jaccard_join, packing, sharding, token_counts, toxicity
+from fluvial.llm import curriculum, fingerprint, jaccard_join, media, packing, sharding, token_counts, toxicity
 from fluvial.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -47,6 +47,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.payload_features(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op7_weighted_hash_tree": op7_weighted_hash_tree,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_token_counts": op9_token_counts,
+        "op10_progressive_jpeg": op10_progressive_jpeg,
     }
 
 
