@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.llm import curriculum, fingerprint, jaccard_join, media, packing, sharding, token_counts, toxicity
+from fluvial.llm import curriculum, fingerprint, jaccard_join, media, packing, sharding, suffix_tree, token_counts, toxicity
 from fluvial.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op3_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -54,6 +58,7 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
+        "op2_suffix_tree_scores": op2_suffix_tree_scores,
         "op3_power_of_two_packing": op3_power_of_two_packing,
         "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
         "op5_time_varying_curriculum": op5_time_varying_curriculum,
