@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def binary_pieces(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndar
     return owner, ends - length - base, length
 
 
-def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, batch_bytes: int = 1 << 20) -> DataFrame:
+def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, batch_bytes: int = 4 << 20) -> DataFrame:
     """Pieces of every document's ids: doc_id, start, length, ids (little-endian uint32), doc_tokens.
 
     longest must be a power of two. A document is its text's ids and then end_id, so a null or empty text
@@ -39,12 +40,12 @@ def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int
     spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))  # a vocabulary file: fixed size
 
     def groups(batch):
-        texts, a, held = batch.column(1).to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            held += len(t or "")
-            if held >= batch_bytes or i == len(texts) - 1:
-                yield a, i + 1, [t or "" for t in texts[a : i + 1]]
-                a, held = i + 1, 0
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + batch_bytes, "right")))
+            yield a, b, batch.column(1).slice(a, b - a)
+            a = b
 
     def run(batches):
         encoder = word_encoder(spec.value)

@@ -8,11 +8,30 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOADED: dict[int, object] = {}
-#: Fixed value: UTF-8 of Latin letters that no normalisation or lower-casing rule joins with an ASCII
-#: neighbour, then ASCII marks without the apostrophe (0x27), which may begin a contraction.
-_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+)?")
+#: Fixed value: Latin letters that no normalisation or lower-casing rule joins with an ASCII neighbour, then
+#: ASCII marks without the apostrophe (0x27), which may begin a contraction.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+)?")
+
+
+def chunks_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different space-separated chunks of texts, the number of each chunk in order, and how many a text has.
+
+    Null texts have none; an empty chunk, from white space at an end, is left out.
+    """
+    listed = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = listed.flatten().dictionary_encode()
+    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    offsets = listed.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    if "" in names:
+        filled = codes != names.index("")
+        offsets = np.concatenate([[0], np.cumsum(filled)])[offsets]
+        codes = codes[filled]
+    return names, codes, np.diff(offsets)
 
 
 def read_tokenizer(path: str) -> str:
@@ -39,12 +58,13 @@ class WordEncoder:
     """Ids of whole texts, equal to the library's, for a word-level BPE that drops white space.
 
     White space always separates pre-tokens of such a tokenizer, so a text's ids are those of its
-    space-separated chunks one after another. Each different chunk is encoded once and kept: plain ones
-    (letters, perhaps marks after them) as one text, cut where the word-end tokens are, the rest one by one.
-    The cache is emptied when it holds `most` chunks, which bounds a worker's memory.
+    space-separated chunks one after another. Each different chunk is encoded once and kept: letters as one
+    text, cut where the word-end tokens are, letters with marks after them as two parts, the rest one by one.
+    The first `most` chunks stay, frequent ones among them, and later ones are dropped after
+    their call, which bounds a worker's memory.
     """
 
-    def __init__(self, text: str, most: int = 600_000):
+    def __init__(self, text: str, most: int = 900_000):
         self.tokenizer = load(text)
         suffix = json.loads(text)["model"].get("end_of_word_suffix") or ""
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
@@ -55,11 +75,11 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.start, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
-    def _keep(self, chunks: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _keep(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         base, upto = len(self.codes), len(self.codes) + len(chunks)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -71,42 +91,61 @@ class WordEncoder:
         self.used += len(ids)
         self.codes.update(zip(chunks, range(base, upto)))
 
-    def _learn_each(self, chunks: list[bytes]) -> None:
+    def _learn_each(self, chunks: list[str]) -> None:
         for a in range(0, len(chunks), 1000):
             part = chunks[a : a + 1000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in part], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             self._keep(part, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64))
 
-    def _learn(self, missing: list[bytes]) -> None:
-        match = _PLAIN.fullmatch
-        found = [match(c) for c in missing] if self.plain else [None] * len(missing)
-        plain = [c for c, m in zip(missing, found) if m]
-        words = np.array([1 if m.lastindex is None else 2 for m in found if m], np.int64)
-        rest = [c for c, m in zip(missing, found) if not m]
-        for a in range(0, len(plain), 2000):
-            part, ends = plain[a : a + 2000], np.cumsum(words[a : a + 2000])
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+    def _learn_letters(self, stems: list[str]) -> None:
+        """Letter-only chunks, each one pre-token: encoded as one text and cut where words end."""
+        rest = []
+        for a in range(0, len(stems), 2000):
+            part = stems[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == ends[-1] and at[-1] == len(ids):
-                self._keep(part, ids, np.diff(at[ends - 1], prepend=0))
+            if len(at) == len(part) and at[-1] == len(ids):
+                self._keep(part, ids, np.diff(at, prepend=0))
             else:
                 rest += part
         self._learn_each(rest)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and each text's number of ids."""
-        if len(self.codes) > self.most:
-            self.clear()
-        pieces = [t.encode("utf-8").split() for t in texts]
-        if missing := list(set(chain.from_iterable(pieces)).difference(self.codes)):
-            self._learn(missing)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
+    def _learn(self, missing: list[str]) -> list[str]:
+        """Learn chunks; returns these and the parts of them that were learnt on the way."""
+        match, codes = _PLAIN.fullmatch, self.codes
+        found = [match(c) for c in missing] if self.plain else [None] * len(missing)
+        both = [(c, m[1], m[2]) for c, m in zip(missing, found) if m and m[2]]
+        stems = list(dict.fromkeys([c for c, m in zip(missing, found) if m and not m[2]] + [s for _, s, _ in both if s not in codes]))
+        others = list(dict.fromkeys([c for c, m in zip(missing, found) if not m] + [t for _, _, t in both if t not in codes]))
+        self._learn_letters(stems)
+        self._learn_each(others)
+        chunks = [c for c, _, _ in both]
+        if chunks:
+            parts = np.fromiter((codes[x] for _, s, t in both for x in (s, t)), np.int64, 2 * len(both))
+            self._keep(chunks, *self._ids(parts, 2))
+        return stems + others + chunks
+
+    def _ids(self, codes: np.ndarray, each: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of codes one after another, and how many every `each` of them have."""
         counts = self.count[codes]
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[codes] - ends + counts, counts) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        at = np.repeat(self.start[codes] - ends + counts, counts)
+        at += np.arange(len(at))
+        return self.flat[at], counts.reshape(-1, each).sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow array of texts one after another, and each text's number of ids."""
+        full, used = len(self.codes) >= self.most, self.used
+        names, codes, sizes = chunks_of(texts)
+        missing = [c for c in names if c not in self.codes]
+        learnt = self._learn(missing) if missing else []
+        codes = np.fromiter(map(self.codes.__getitem__, names), np.int64, len(names))[codes] if len(codes) else np.zeros(0, np.int64)
+        ids, counts = self._ids(codes)
+        upto = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        if full:  # chunks met by now are mostly rare: these aren't kept
+            for c in learnt:
+                del self.codes[c]
+            self.used = used
         return ids, np.diff(upto)
 
 
