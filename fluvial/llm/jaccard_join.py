@@ -307,17 +307,19 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85, most_broad
     return joined.join(names, "_class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+def keep_first(docs: DataFrame, n: int = 4, percent: int = 85, most_broadcast: int = 4_000_000) -> DataFrame:
     """The documents, with all their columns, that name their component; of repeated rows of one, one.
 
     Rows without doc_id stay if nothing with an id is in their component.
     """
-    found = cut(linked_components(docs, n, percent))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
-    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
-    single = kept.where((F.col("_rows") == 1) | F.col("_keep").isNull()).drop("_keep", "_rows")
-    repeated = kept.where((F.col("_rows") > 1) & F.col("_keep").isNotNull()).drop("_keep", "_rows").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    found = linked_components(docs, n, percent, most_broadcast)
+    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")))
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_own"))
+    small = first.count() <= most_broadcast  # 16 bytes a row; beyond that Spark shuffles
+    kept = packed.join(F.broadcast(first) if small else first, F.col("_own").eqNullSafe(F.col("_keep")))
+    single = kept.where((F.col("_rows") == 1) | F.col("_keep").isNull())
+    repeated = kept.where((F.col("_rows") > 1) & F.col("_keep").isNotNull()).dropDuplicates(["_own"])
+    return single.unionByName(repeated).select("_doc.*")
 
 
 def oracle() -> str:

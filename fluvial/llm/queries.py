@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.llm import curriculum, fingerprint, jaccard_join, media, packing, sharding, suffix_tree, token_counts, toxicity
+from fluvial.llm import curriculum, fingerprint, jaccard_join, licenses, media, packing, sharding, suffix_tree, token_counts, toxicity
 from fluvial.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op5_time_varying_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(8)
     rows = sharding.assign_shards(table(spark, sf_dir, "documents"), tree, sharding.grown(tree))
@@ -62,6 +66,7 @@ def queries() -> dict:
         "op3_power_of_two_packing": op3_power_of_two_packing,
         "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
         "op5_time_varying_curriculum": op5_time_varying_curriculum,
+        "op6_license_scan": op6_license_scan,
         "op7_weighted_hash_tree": op7_weighted_hash_tree,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_token_counts": op9_token_counts,
