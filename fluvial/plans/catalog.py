@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluvial.plans import rasters, registry
+from fluvial.plans import frames, rasters, registry
 
-MODULES = (rasters,)
+MODULES = (rasters, frames)
 
 
 def queries() -> dict[str, registry.Query]:
