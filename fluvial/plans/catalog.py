@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluvial.plans import frames, rasters, registry
+from fluvial.plans import chains, frames, rasters, registry
 
-MODULES = (rasters, frames)
+MODULES = (rasters, frames, chains)
 
 
 def queries() -> dict[str, registry.Query]:
