@@ -12,7 +12,7 @@ from fluvial.plans.registry import query, r4
 
 # ---- forecast chain: a customer's last orders as a depth history ----
 
-_HISTORY = """h AS (SELECT o_custkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r, round(o_totalprice / 10000, 4) AS depth FROM orders),
+_HISTORY = """h AS (SELECT o_custkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r, o_totalprice / 10000 AS depth FROM orders),
 w AS (SELECT case_id, max(depth) FILTER (r = 1) AS d0, max(depth) FILTER (r = 2) AS d1, max(depth) FILTER (r = 3) AS d5, max(depth) FILTER (r = 4) AS d10, CASE WHEN case_id % 4 = 0 THEN 0.7 WHEN case_id % 4 = 1 THEN 1.0 WHEN case_id % 4 = 2 THEN 1.3 ELSE 1.8 END::DOUBLE AS factor FROM h GROUP BY case_id HAVING count(*) >= 4),
 s AS (SELECT *, (0.5::DOUBLE * (d0 - d1) / 1.0 + 0.3::DOUBLE * (d0 - d5) / 5.0 + 0.2::DOUBLE * (d0 - d10) / 10.0) * factor AS raw_slope FROM w),
 f AS (SELECT *, least(10.0, greatest(-5.0, raw_slope)) AS slope FROM s), z AS (SELECT *, d0 + slope * horizon AS raw_depth FROM f, (VALUES (5), (15), (30), (60)) t(horizon)), y AS (SELECT *, least(raw_depth, 100.0) AS depth FROM z)"""
@@ -20,7 +20,7 @@ f AS (SELECT *, least(10.0, greatest(-5.0, raw_slope)) AS slope FROM s), z AS (S
 
 def _history(spark, d):
     order = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.row_number().over(order).alias("r"), F.round(F.col("o_totalprice") / 10000, 4).alias("depth")).where("r <= 4")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.row_number().over(order).alias("r"), (F.col("o_totalprice") / 10000).alias("depth")).where("r <= 4")
     full = rows.groupBy("case_id").count().where("count = 4").select("case_id")
     minutes = F.element_at(F.array(F.lit(0), F.lit(1), F.lit(5), F.lit(10)), F.col("r"))
     wide = forecast.depth_history(rows.join(full, "case_id").withColumn("minutes", minutes), ["case_id"], "minutes", "depth")
