@@ -7,11 +7,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluvial.llm import jpeg
+from fluvial.llm.tokens import runs_of
 
 #: Widest image in MCUs of 16 x 16 pixels.
 WIDE = 64
@@ -59,15 +59,6 @@ def feature_of(rgb: np.ndarray) -> str:
     return f"{rgb.shape[1]}x{rgb.shape[0]}:" + ",".join(map(str, [*parts, int(step.sum(dtype=np.int64)) * 1000 // max(1, step.size)]))
 
 
-def _runs(sizes: np.ndarray, most: int):
-    """Slices of rows of about most bytes."""
-    ends, a = np.cumsum(sizes), 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield a, b
-        a = b
-
-
 def store(docs: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8, with bytes 0 up to a positive multiple of 64, as a JPEG.
 
@@ -78,7 +69,7 @@ def store(docs: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(1).fill_null("").cast(pa.binary())
-            for a, b in _runs(pc.binary_length(texts).to_numpy(zero_copy_only=False), batch_bytes):
+            for a, b in runs_of(texts, batch_bytes):
                 raw = texts.slice(a, b - a).to_pylist()
                 media = to_jpegs([r + b"\0" * (max(64, -(-len(r) // 64) * 64) - len(r)) for r in raw])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -113,7 +104,7 @@ def decode(media: DataFrame, column: str = "media", tensors: bool = True, payloa
     def run(batches):
         for batch in batches:
             images = batch.column(batch.schema.get_field_index(column))
-            for a, b in _runs(pc.binary_length(images).fill_null(0).to_numpy(zero_copy_only=False), batch_bytes):
+            for a, b in runs_of(images, batch_bytes):
                 own = list(zip(*read(images.slice(a, b - a).to_pylist())))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *(pa.array(c, t) for c, (_, _, t) in zip(own, spec))], names=[*batch.schema.names, *(n for n, _, _ in spec)])
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.llm.common import cut
-from fluvial.llm.tokens import read_tokenizer, word_encoder
+from fluvial.llm.tokens import read_tokenizer, runs_of, word_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -39,19 +38,11 @@ def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int
         raise ValueError("longest must be a power of two")
     spec = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))  # a vocabulary file: fixed size
 
-    def groups(batch):
-        sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
-        a = 0
-        while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + batch_bytes, "right")))
-            yield a, b, batch.column(1).slice(a, b - a)
-            a = b
-
     def run(batches):
         encoder = word_encoder(spec.value)
         for batch in batches:
-            for a, b, texts in groups(batch):
-                ids, counts = encoder.encode(texts)
+            for a, b in runs_of(batch.column(1), batch_bytes):
+                ids, counts = encoder.encode(batch.column(1).slice(a, b - a))
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1
                 owner, start, length = binary_pieces(counts, longest)

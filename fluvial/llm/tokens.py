@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,6 +35,15 @@ def chunks_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return names, codes, np.diff(offsets)
 
 
+def runs_of(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about most_bytes of text, one row at least."""
+    ends, a = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most_bytes, "right")))
+        yield a, b
+        a = b
+
+
 def read_tokenizer(path: str) -> str:
     """Text of a tokenizer file, read on the driver; its size is that of the vocabulary, not of the data."""
     with open(path, encoding="utf-8") as f:
