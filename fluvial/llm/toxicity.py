@@ -39,15 +39,15 @@ def feature_words(text: str) -> list[str]:
 
 
 def swapped(text: str, groups=IDENTITY_GROUPS, most: int = 8) -> list[list[str]]:
-    """Words of the whole text after the identity terms of one sentence gave way to others of their group.
+    """Words of the whole text after one identity term of one sentence gave way to the next of its group.
 
-    One list for each sentence that names a group, for the first `most` of them; each term is followed by
-    the next in its line.
+    One list for each sentence and term in it, for the first `most` of them. Terms change one at a time, so
+    that the scores of two can't make up for each other.
     """
     after = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
     sentences = [feature_words(s) for s in _SENTENCE.findall(text)]
-    named = [i for i, s in enumerate(sentences) if any(w in after for w in s)][:most]
-    return [[w for j, s in enumerate(sentences) for w in ([after.get(x, x) for x in s] if j == i else s)] for i in named]
+    named = [(i, t) for i, s in enumerate(sentences) for t in dict.fromkeys(w for w in s if w in after)][:most]
+    return [[after[w] if j == i and w == t else w for j, s in enumerate(sentences) for w in s] for i, t in named]
 
 
 #: Lengths of the beginnings of words that count as features, and the grades a count can reach.
@@ -175,7 +175,7 @@ def _originals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(kept, int), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, most: int = 8_000, l2: float = 2e-4, swap_penalty: float = 1.0, steps: int = 400, groups=IDENTITY_GROUPS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, most: int = 8_000, l2: float = 2e-4, swap_penalty: float = 1.0, steps: int = 500, groups=IDENTITY_GROUPS) -> ToxicityModel:
     """Learn from at most `most` labelled documents whose fold isn't `held`; texts alone are inputs.
 
     The sample is bounded because the driver fits it; it is chosen by hash of doc_id. Of several labels of a
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
             change = (np.bincount(sr, w[sc], minlength=len(swaps)) - np.bincount(or_, w[oc], minlength=len(swaps))) * (2 * swap_penalty / len(swaps))
             grad[:-1] += np.bincount(sc, change[sr], minlength=size) - np.bincount(oc, change[or_], minlength=size)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        move = 0.1 * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return ToxicityModel(dict(zip(names[use].tolist(), w.tolist())), float(b))
 
