@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluvial.plans import chains, frames, rasters, registry
+from fluvial.plans import chains, frames, rasters, registry, streams
 
-MODULES = (rasters, frames, chains)
+MODULES = (rasters, frames, chains, streams)
 
 
 def queries() -> dict[str, registry.Query]:
