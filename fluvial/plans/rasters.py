@@ -43,7 +43,7 @@ def raster_summary(spark, d):
     return s.select("n", *(r4(c) for c in s.columns if c != "n"))
 
 
-_DEPTH = """count(*) AS cells, round(count(*) * 0.25, 4) AS area, round(coalesce(sum(dep) * 0.25, 0), 4) AS volume, round(coalesce(max(dep), 0), 4) AS max_depth,
+_DEPTH = """count(*) AS cells, round(count(*) * 0.25::DOUBLE, 4) AS area, round(coalesce(sum(dep) * 0.25::DOUBLE, 0), 4) AS volume, round(coalesce(max(dep), 0), 4) AS max_depth,
   round(coalesce(avg(dep), 0), 4) AS mean_depth, round(coalesce(median(dep), 0), 4) AS median_depth, round(coalesce(min(dep), 0), 4) AS min_depth"""
 _LEVEL = "lev AS (SELECT round(quantile_cont(z, 0.5), 4) AS level FROM raster), dep AS (SELECT greatest(0, level - z) AS dep FROM raster, lev)"
 

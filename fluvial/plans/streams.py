@@ -62,7 +62,7 @@ def scene_heights(spark, d):
     return geometry.scene(spark, GRID).select("ix", "iy", F.round("z", 6).alias("z"))
 
 
-@query("scene_water_truth", f"WITH {_GROUND}, l AS (SELECT min(z) + 0.203 AS level FROM heights) SELECT round(level, 4) AS level, count(*) AS cells, round(count(*) * 0.01, 4) AS area, round(sum(level - z) * 0.01, 4) AS volume FROM heights, l WHERE z < level GROUP BY level")
+@query("scene_water_truth", f"WITH {_GROUND}, l AS (SELECT min(z) + 0.203 AS level FROM heights) SELECT round(level, 4) AS level, count(*) AS cells, round(count(*) * 0.01::DOUBLE, 4) AS area, round(sum(level - z) * 0.01, 4) AS volume FROM heights, l WHERE z < level GROUP BY level")
 def scene_water_truth(spark, d):
     return geometry.water_truth(geometry.scene(spark, GRID), 0.203, 0.01).select(r4("level"), "cells", r4("area"), r4("volume"))
 
