@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """cut, and no more partitions than one for so many rows: steps over small tables then need few files, or no shuffle."""
+    held = cut(df)
+    return held.coalesce(max(1, -(-held.count() // rows)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

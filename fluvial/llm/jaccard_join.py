@@ -10,15 +10,18 @@ meet.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.llm.common import cut
+from fluvial.llm.common import cut, settle
 from fluvial.llm.components import connected_components
+from fluvial.llm.tokens import chunks_of, runs_of
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 #: Width of a size band: the next begins at so many times its lower end.
@@ -30,27 +33,30 @@ def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Shingler:
-    """Sorted different 64-bit hashes of the n-grams of words of texts."""
+def shingle_sets(texts: pa.Array, n: int, run_bytes: int = 4 << 20) -> Iterator[np.ndarray]:
+    """For each text of an Arrow array the sorted different 64-bit hashes of its n-grams of words.
 
-    def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z alone are lowered, ASCII white space splits
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.known) > 500_000:  # bounds a worker's memory
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.n, len(h))
-        out = np.full(len(h) - n + 1, np.uint64(n))
-        for j in range(n):
-            out = _mix(out * _C + h[j : len(h) - n + 1 + j], _A)
-        return np.unique(out)
+    Words are lower-cased in A-Z; a text with fewer than n is one n-gram of all; one without has none. About
+    run_bytes of text are hashed at a time.
+    """
+    for a, b in runs_of(texts, run_bytes):
+        names, codes, sizes = chunks_of(pc.ascii_lower(texts.slice(a, b - a).fill_null("")))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))[codes] if len(codes) else np.empty(0, np.uint64)
+
+        def grams(of: np.ndarray, width: int) -> np.ndarray:
+            count = max(0, len(of) - width + 1)
+            out = np.full(count, np.uint64(width))
+            for j in range(width):
+                out = _mix(out * _C + of[j : j + count], _A)
+            return out
+
+        full = grams(h, n)
+        upto = np.cumsum(sizes)
+        for size, end in zip(sizes, upto):
+            if size >= n:
+                yield np.unique(full[end - size : end - n + 1])
+            else:
+                yield grams(h[end - size : end], int(size)) if size else np.empty(0, np.uint64)
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -100,26 +106,30 @@ def part_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of a set: bytes, of two to four bits a member."""
-    width = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    """Hashed bitmap of a set: words of 64 bits, 8 to 16 bits a member."""
+    width = 1 << max(6, (8 * len(hashes) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[((hashes * _D) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)] = 1
-    return np.packbits(bits)
+    return np.packbits(bits).view(np.uint64)
+
 
+def fold(m: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap at a lesser width: its places are the higher bits of the same product."""
+    return m if len(m) * 64 <= width else np.packbits(np.unpackbits(m.view(np.uint8)).reshape(width, -1).max(axis=1)).view(np.uint64)
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
+def folded(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as rows of one width, the least of theirs."""
+    width = min(map(len, bitmaps)) * 64
+    return np.stack([fold(m, width) for m in bitmaps])
 
-def overlap_bound(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> int:
-    """Upper bound of the overlap of two sets: a bit that only one has set stands for a member that it has alone."""
-    if len(a) != len(b):  # the wider is folded: its bits are the higher ones of the same product
-        wide, narrow = (a, b) if len(a) > len(b) else (b, a)
-        folded = np.packbits(np.unpackbits(wide).reshape(len(narrow) * 8, -1).any(axis=1))
-        a, b = (folded, narrow) if wide is a else (narrow, folded)
-    return min(size_a - int(_ONES[a & ~b].sum()), size_b - int(_ONES[b & ~a].sum()))
 
+def overlap_bounds(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of a set with others: a bit that only one has stands for a member that it has alone."""
+    return np.minimum(size - np.bitwise_count(one & ~others).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(others & ~one).sum(axis=1, dtype=np.int64))
 
-def similar(overlap: int, size_a: int, size_b: int, percent: int) -> bool:
+
+def similar(overlap, size_a, size_b, percent: int):
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
 
@@ -131,11 +141,10 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, size, id) of each document; id is null for an empty set."""
 
     def run(batches):
-        shingles = Shingler(n)
         for batch in batches:
-            found = [shingles(t) for t in batch.column(1).to_pylist()]
-            ids = [set_id(h) if len(h) else None for h in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "size", "id"])
+            found = [(len(h), set_id(h)) if len(h) else (0, None) for h in shingle_sets(batch.column(1), n)]
+            ids = [i for _, i in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size for size, _ in found], pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "size", "id"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, size long, id long")
 
@@ -149,11 +158,9 @@ def tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
     """
 
     def split(batches):
-        shingles = Shingler(n)
         for batch in batches:
             seen, keys, ids = set(), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for t in batch.column(1).to_pylist():
-                h = shingles(t)
+            for h in shingle_sets(batch.column(1), n):
                 if len(h) and (i := set_id(h)) not in seen:
                     seen.add(i)
                     keys.append(part_keys(h, percent))
@@ -194,81 +201,113 @@ def tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(gather, "tile long, id long")
 
 
-def _candidates(docs: DataFrame, owners: DataFrame, n: int, most_broadcast: int) -> DataFrame:
-    """(id, size, bitmap, hashes) of the sets of owners (id, doc_id), from whole texts again."""
-    wanted = owners.select(F.col("doc_id").alias("_want"))
-    if owners.count() <= most_broadcast:  # 8 bytes a row; beyond that Spark shuffles
-        wanted = F.broadcast(wanted)
-    chosen = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi")
+class _Fetch:
+    """Sets by id, made again from the whole texts of one document each: all that candidates need, nothing for the rest."""
 
-    def run(batches):
-        shingles = Shingler(n)
-        for batch in batches:
-            found = [h for t in batch.column(1).to_pylist() if len(h := shingles(t))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(h) for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array([bitmap(h).tobytes() for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())],
-                names=["id", "size", "bitmap", "hashes"],
-            )
+    def __init__(self, docs: DataFrame, own: DataFrame, n: int, most_broadcast: int):
+        self.docs, self.own, self.n, self.most_broadcast = docs, own, n, most_broadcast
+
+    def __call__(self, ids: DataFrame, hashes: bool) -> DataFrame:
+        """(id, size, content, coarse) of the wanted ids: the bitmap and one down to a quarter as wide (2048 bits at least), or all hashes and null."""
+        n = self.n
+        owners = settle(self.own.join(ids.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("_want")).select("_want"))
+        small = owners.count() <= self.most_broadcast  # 8 bytes a row; beyond that Spark shuffles
+        chosen = _texts(self.docs).join(F.broadcast(owners) if small else owners, F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi")
+
+        def run(batches):
+            for batch in batches:
+                found = [h for h in shingle_sets(batch.column(1), n) if len(h)]
+                content = [h if hashes else bitmap(h) for h in found]
+                coarse = [None if hashes else fold(m, max(2048, len(m) * 16)).tobytes() for m in content]
+                columns = ([set_id(h) for h in found], pa.int64()), ([len(h) for h in found], pa.int64()), ([c.tobytes() for c in content], pa.binary()), (coarse, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["id", "size", "content", "coarse"])
+
+        found = cut(chosen.mapInArrow(run, "id long, size long, content binary, coarse binary"))
+        # documents with one id twice are rare, so only then are contents shuffled to make ids different
+        return found if found.groupBy("id").count().where("count > 1").isEmpty() else cut(found.dropDuplicates(["id"]))
 
-    return chosen.mapInArrow(run, "id long, size long, bitmap binary, hashes binary").dropDuplicates(["id"])
 
+def _sides(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("content").alias(f"c{side}")), side)
+    return pairs
 
-def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: bitmaps first, then the hashes of those that they let pass."""
-    small = found.select("id", "size", "bitmap")
+
+def _bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that bitmaps let pass."""
 
     def bound(batches):
         for batch in batches:
-            a, b, na, nb, ma, mb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ma", "mb"))
-            keep = [similar(min(x, y), x, y, percent) and similar(overlap_bound(np.frombuffer(p, np.uint8), x, np.frombuffer(q, np.uint8), y), x, y, percent) for x, y, p, q in zip(na, nb, ma, mb)]
+            keep = []
+            for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ca", "cb"))):
+                ok = similar(min(x, y), x, y, percent)
+                if ok:
+                    m = folded([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)])
+                    ok = bool(similar(overlap_bounds(m[0], x, m[1:], np.array([y]))[0], x, y, percent))
+                keep.append(ok)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    return _sides(pairs, maps).mapInArrow(bound, "a long, b long")
+
+
+def _linked(pairs: DataFrame, fetch: _Fetch, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection of sorted hashes."""
+
     def exact(batches):
         for batch in batches:
-            ha, hb = (batch.column(c).to_pylist() for c in ("ha", "hb"))
             keep = []
-            for p, q in zip(ha, hb):
+            for p, q in zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist()):
                 x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                keep.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
+                keep.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def sides(left: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
-        for side in ("a", "b"):
-            left = left.join(table.select(F.col("id").alias(side), *(F.col(c).alias(n + side) for c, n in columns.items())), side)
-        return left
-
-    passed = cut(sides(pairs, small, {"size": "n", "bitmap": "m"}).mapInArrow(bound, "a long, b long"))
-    return sides(passed, found.select("id", "hashes"), {"hashes": "h"}).mapInArrow(exact, "a long, b long")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    return _sides(pairs, fetch(ids, True)).mapInArrow(exact, "a long, b long")
 
 
-def _across(members: DataFrame, small: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Pairs of one tile's sets from different components that bitmaps let pass.
+def _across(members: DataFrame, maps: DataFrame, tried: DataFrame, percent: int, each: int, chunk: int) -> DataFrame:
+    """Pairs of one tile's sets from different components that bitmaps let pass and that weren't tried.
 
-    A tile is cut into chunks of about `chunk` sets and each pair of chunks is a task's group, so none holds a
-    whole large tile.
+    Of a set's pairs with one other component the `each` with the greatest bounds. A tile is cut into chunks of
+    about `chunk` sets and each pair of chunks is a task's group, so none holds a whole large tile; the pairs
+    tried that start at a set come along with it.
     """
     sizes = members.groupBy("tile").agg(F.count("*").alias("_n"))
     dealt = members.join(sizes, "tile").withColumn("_chunks", F.ceil(F.col("_n") / chunk).cast("int")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int"))
     placed = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("tile", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "component")
-    full = placed.join(small, "id")
+    full = placed.join(maps.select("id", "size", "coarse"), "id")
 
     def compare(key, table):
         own, ids, comp, size = (table[c].to_numpy() for c in ("_own", "id", "component", "size"))
-        maps = [np.frombuffer(m, np.uint8) for m in table["bitmap"].to_pylist()]
+        maps = folded([np.frombuffer(m, np.uint64) for m in table["coarse"].to_pylist()])
         i, j = key[1].as_py(), key[2].as_py()
         rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
+        a, b, c, d = [], [], [], []
         for r in rows:
-            near = cols[(comp[cols] != comp[r]) & (100 * np.minimum(size[cols], size[r]) >= percent * np.maximum(size[cols], size[r]))]
+            near = cols[comp[cols] != comp[r]]
             if i == j:
                 near = near[ids[near] > ids[r]]
-            for c in near:
-                if similar(overlap_bound(maps[r], int(size[r]), maps[c], int(size[c])), int(size[r]), int(size[c]), percent):
-                    a.append(min(ids[r], ids[c]))
-                    b.append(max(ids[r], ids[c]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return full.groupBy("tile", "_i", "_j").applyInArrow(compare, "a long, b long").distinct()
+            if not len(near):
+                continue
+            bound = overlap_bounds(maps[r], int(size[r]), maps[near], size[near])
+            ok = similar(bound, size[r], size[near], percent)
+            near, bound = near[ok], bound[ok]
+            a += np.minimum(ids[near], ids[r]).tolist()
+            b += np.maximum(ids[near], ids[r]).tolist()
+            c += bound.tolist()
+            d += [(int(comp[r]), int(x)) for x in comp[near]]
+        if not a:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        a, b, c, d = np.array(a), np.array(b), np.array(c), np.sort(np.array(d), axis=1)
+        order = np.lexsort((b, a, -c, d[:, 1], d[:, 0]))
+        a, b, d = a[order], b[order], d[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (d[1:] != d[:-1]).any(axis=1)
+        at = np.arange(len(a))
+        rank = at - np.maximum.accumulate(np.where(new, at, 0))
+        return pa.table({"a": a[rank < each], "b": b[rank < each]})
+
+    return full.groupBy("tile", "_i", "_j").applyInArrow(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def linked_components(docs: DataFrame, n: int = 4, percent: int = 85, most_broadcast: int = 4_000_000, chunk: int = 512) -> DataFrame:
@@ -276,32 +315,41 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85, most_broad
 
     Sets are of hashed n-grams of words (64 bits), lower-cased in A-Z; a text with fewer words is one n-gram;
     one without words, or null, links with nothing. Two documents link when 100 * overlap >= percent * union.
-    Equal sets are one set from the start. In every tile each set is checked against the least one; then only
-    sets of a tile that are still in different components are compared with each other, so a large group of
-    near copies costs rows in proportion to it, and yet no link between components is missed. Repeated rows
+    Equal sets are one set from the start. In every tile each set is checked against the least one; then
+    components that still share a tile are compared, first by the few pairs of theirs that bitmaps find
+    likeliest, at last by all that bitmaps let pass. So a large group of near copies costs rows in proportion
+    to it, and yet no link between components is missed. Repeated rows
     give repeated results; a null doc_id is linked like others but names no component (null if it has only
     such rows); other columns are ignored.
     """
     spark = docs.sparkSession
     groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = cut(sets(docs, n))
-    tile = cut(tiles(docs, n, percent, groups).distinct())
-    least = tile.groupBy("tile").agg(F.min("id").alias("a"), F.count("*").alias("_n"))
-    pairs = cut(tile.join(least, "tile").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    needed = tile.select("id").distinct()
-    owners = cut(own.join(needed, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")))
-    found = cut(_candidates(docs, owners, n, most_broadcast))
-    links = cut(_verified(pairs, found, percent))
-    component = connected_components(links)
+    fetch = _Fetch(docs, own, n, most_broadcast)
+    every = settle(tiles(docs, n, percent, groups).distinct())
+    # sets that agree in one part often agree in more: of tiles with the same sets one is enough
+    marks = every.groupBy("tile").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_s"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("_x"), F.min("id").alias("a"))
+    tile = settle(every.join(marks.groupBy("_n", "_s", "_x", "a").agg(F.min("tile").alias("tile")).select("tile", "_n", "a"), "tile"))
+    pairs = settle(tile.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    maps = fetch(tile, False)
+    links = settle(_linked(settle(_bounded(pairs, maps, percent)), fetch, percent))
+    component = settle(connected_components(links))
     # tiles of two sets are done; in larger ones sets of different components are still to be compared
-    larger = tile.join(least.where("_n > 2").select("tile"), "tile")
-    labelled = larger.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("tile").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("tile")
-    open_tiles = cut(labelled.join(mixed, "tile").select("tile", "id", "component"))
-    more = _across(open_tiles, found.select("id", "size", "bitmap"), percent, chunk).join(pairs, ["a", "b"], "left_anti")
-    extra = cut(_verified(cut(more), found, percent))
-    if not extra.isEmpty():
-        component = connected_components(links.unionByName(extra))
+    larger = tile.where("_n > 2").select("tile", "id")
+    for each in (8, 2**62):  # the likeliest pairs join most components, so few are left for the last, whole round
+        labelled = larger.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = labelled.groupBy("tile").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p <> _q").select("tile")
+        still = settle(labelled.join(mixed, "tile").select("tile", "id", "component"))
+        more = settle(_across(still, maps, pairs, percent, each, chunk))
+        larger = still.select("tile", "id")
+        near = settle(_bounded(more, maps, percent))
+        pairs = pairs.unionByName(more)
+        if near.isEmpty():
+            continue
+        extra = settle(_linked(near, fetch, percent))
+        if not extra.isEmpty():
+            links = links.unionByName(extra)
+            component = settle(connected_components(links))
     joined = own.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("_class", F.coalesce("component", "id"))
     names = joined.where("_class IS NOT NULL").groupBy("_class").agg(F.min("doc_id").alias("_least"))
     return joined.join(names, "_class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
