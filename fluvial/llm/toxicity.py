@@ -175,7 +175,7 @@ def _originals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(kept, int), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, most: int = 8_000, l2: float = 2e-4, swap_penalty: float = 1.0, steps: int = 500, groups=IDENTITY_GROUPS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, most: int = 6_000, l2: float = 2e-4, swap_penalty: float = 1.0, steps: int = 500, groups=IDENTITY_GROUPS) -> ToxicityModel:
     """Learn from at most `most` labelled documents whose fold isn't `held`; texts alone are inputs.
 
     The sample is bounded because the driver fits it; it is chosen by hash of doc_id. Of several labels of a
@@ -193,30 +193,37 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     if len(np.unique(y)) < 2:
         return prior_model
     listed = table["features"].combine_chunks()
-    names, codes = np.unique(listed.flatten().to_numpy().view(np.uint64), return_inverse=True)
-    ends = listed.offsets.to_numpy()
+    ends, flat = listed.offsets.to_numpy(), listed.values.to_numpy().view(np.uint64)
 
     def entries(chosen):
-        sizes = ends[chosen + 1] - ends[chosen]
-        at = np.repeat(ends[chosen] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.repeat(np.arange(len(chosen)), sizes), codes[at]
-
-    r, c = entries(rows)
-    n, n1 = np.bincount(c, minlength=len(names)), np.bincount(c, y[r], minlength=len(names))
-    share, base = n1 / np.maximum(n, 1), y.mean()
+        """Row among the chosen and feature of each of their entries."""
+        sizes = (ends[chosen + 1] - ends[chosen]).astype(np.int64)
+        at = np.repeat(ends[chosen] - np.cumsum(sizes) + sizes, sizes)
+        at += np.arange(len(at))
+        return np.repeat(np.arange(len(chosen), dtype=np.int32), sizes), flat[at]
+
+    names, n = np.unique(entries(rows)[1], return_counts=True)
+    names, n = names[n >= 3], n[n >= 3]
+    ones, n1 = np.unique(entries(rows[y > 0])[1], return_counts=True)
+    at = np.minimum(np.searchsorted(ones, names), len(ones) - 1)
+    n1 = np.where(ones[at] == names, n1[at], 0)
+    share, base = n1 / n, y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         divergence = np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base)))
     terms = np.array([word_features(t)[0] for g in groups for t in g], np.uint64)
-    use = (n >= 3) & ((n * divergence > np.log(max(2, (n >= 3).sum()))) | np.isin(names, terms))
-    if not use.any():
+    names = names[(n * divergence > np.log(max(2, len(names)))) | np.isin(names, terms)]
+    size = len(names)
+    if not size:
         return prior_model
-    number = np.cumsum(use) - 1
-    size = int(use.sum())
 
     def sparse(chosen):
-        r, c = entries(chosen)
-        keep = use[c]
-        return r[keep], number[c[keep]]
+        """entries of the features used, by number."""
+        if not len(chosen):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        r, f = entries(chosen)
+        at = np.minimum(np.searchsorted(names, f), size - 1)
+        keep = names[at] == f
+        return r[keep], at[keep]
 
     (xr, xc), (sr, sc), (or_, oc) = sparse(rows), sparse(swaps), sparse(origins)
     w, b = np.zeros(size), float(np.log(base / (1 - base)))
@@ -231,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.1 * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return ToxicityModel(dict(zip(names[use].tolist(), w.tolist())), float(b))
+    return ToxicityModel(dict(zip(names.tolist(), w.tolist())), float(b))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
