@@ -125,7 +125,11 @@ def joint_gate(rows: DataFrame, visual: str = "visual_status", geometry: str = "
 
 def prefixed(arrays: dict[str, Column]) -> Column:
     """Reasons of several gates in one array, each with its gate's name before it."""
-    return F.concat(*(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda r, n=name: F.concat(F.lit(f"{n}:"), r)) for name, a in arrays.items()))
+
+    def of(name: str, listed: Column) -> Column:
+        return F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda r: F.concat(F.lit(f"{name}:"), r))
+
+    return F.concat(*(of(n, a) for n, a in arrays.items()))
 
 
 #: Words of provenance that name truth; a state must not come from such a table.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluvial.plans import chains, frames, images, rasters, registry, streams
+from fluvial.plans import chains, frames, images, levels, rasters, registry, streams
 
-MODULES = (rasters, frames, chains, streams, images)
+MODULES = (rasters, frames, chains, streams, images, levels)
 
 
 def queries() -> dict[str, registry.Query]:

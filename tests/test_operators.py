@@ -164,6 +164,11 @@ def test_gate_truth_table(spark):
     assert found[4] == ("reject", ["missing_coverage", "missing_mean_error"])
 
 
+def test_reasons_carry_their_gate(spark):
+    rows = spark.createDataFrame([(["a"], None)], "visual array<string>, geometry array<string>")
+    assert rows.select(gates.prefixed({"visual": F.col("visual"), "geometry": F.col("geometry")}).alias("r")).first().r == ["visual:a"]
+
+
 def test_truth_must_not_reach_a_state(spark):
     rows = spark.createDataFrame([(1, 2.0, "tables/ground_truth_depth")], "id int, depth double, src string")
     with pytest.raises(PySparkException):
