@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.functions.exprs import clip, confidence, level_rank, warning_level
+from fluvial.functions.exprs import clip, confidence, level_rank, rain_class, warning_level
 
 HORIZONS = (5, 15, 30, 60)
 #: Weights of the slopes over 1, 5 and 10 minutes.
@@ -65,6 +65,12 @@ def water_balance(rows: DataFrame, catchment: float, drainage: float, infiltrati
     return rows.withColumn("confidence", confidence(F.col("error_ratio"))).withColumn("final_level", warning_level(F.col("final_depth")))
 
 
+def weather_correction(rows: DataFrame, intensity: str, forecasts: Sequence[str] = ()) -> DataFrame:
+    """rows with missing rainfall as 0, and label and factor of the present intensity."""
+    filled = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (intensity, *forecasts)})
+    return filled.withColumn("_c", rain_class(F.col(intensity))).withColumns({"rain_label": F.col("_c.label"), "factor": F.col("_c.factor")}).drop("_c")
+
+
 def horizon_rain(horizon: Column, by_horizon: dict[int, Column], intensity: Column) -> Column:
     """Rain until a horizon: as forecast for it, else the present intensity for that long."""
     out = None

@@ -266,3 +266,32 @@ def test_prediction_reads_no_labels():
         if "llm" not in path.relative_to(root).parts:
             names = {n.module or "" for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.ImportFrom)}
             assert not any("fluvial.llm" in n for n in names), path
+
+
+def test_settings():
+    from fluvial.sources import config
+
+    assert config.merged({"a": {"b": 1, "c": 2}}, {"a": {"c": 3}}) == {"a": {"b": 1, "c": 3}}
+    assert config.allowed_path("data/x/../y.json", ["data"]) == "data/y.json"
+    for bad in ("/etc/x", "../x", "other/x", "data/ground_truth/x"):
+        with pytest.raises(ValueError):
+            config.allowed_path(bad, ["data"], ["ground_truth"])
+    with pytest.raises(KeyError):
+        config.validated({"a": {}}, ["a.b"])
+    with pytest.raises(ValueError):
+        config.validated({"a": {"b": 5}}, [], {"a.b": (0, 1)})
+    with pytest.raises(ValueError):
+        config.unique(["a", "a"], "topics")
+
+
+def test_metadata_and_weather(spark):
+    from fluvial.sources import config
+
+    meta = spark.createDataFrame([(None, 0.2)], "grid_size double, resolution double")
+    assert meta.select(config.first_present(meta, config.RESOLUTION_NAMES, "r")).first().r == 0.2
+    with pytest.raises(KeyError):
+        config.first_present(meta, config.BOUNDS_NAMES, "b")
+    rows = forecast.weather_correction(spark.createDataFrame([(None,), (20.0,)], "mm double"), "mm").orderBy("mm").collect()
+    assert [(r.mm, r.rain_label, r.factor) for r in rows] == [(0.0, "no_rain", 0.7), (20.0, "moderate_rain", 1.3)]
+    status = config.path_status(spark.createDataFrame([("a",)], "path string"), spark.createDataFrame([("a", True), ("b", False)], "path string, required boolean"))
+    assert config.overall_status(status).first().overall == "warning"
