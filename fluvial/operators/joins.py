@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvial.sources.checkpoints import cut
+
 
 def strict_join(left: DataFrame, right: DataFrame, keys: Sequence[str], what: str = "right side") -> DataFrame:
     """Inner join in which every left row must find exactly one right row: the query fails otherwise.
@@ -51,14 +53,14 @@ def near_pairs(rows: DataFrame, ident: str, x: str, y: str, radius: float, keys:
     return own.join(other, [*keys, "_i", "_j"]).where(F.col(ident) != F.col("other")).withColumn("distance", distance).where(F.col("distance") <= radius).select(*keys, ident, "other", "distance")
 
 
-def nearest_distance(source: DataFrame, target: DataFrame, reach: int = 2, rounds: int = 12) -> DataFrame:
+def nearest_distance(source: DataFrame, target: DataFrame, reach: int = 4, rounds: int = 12) -> DataFrame:
     """source cells (ix, iy) with the distance to the nearest target cell; exact, null without targets.
 
     Rounds of growing blocks: in a round of width w each cell still open meets the targets of its own and the
     eight blocks around by an equi-join; a distance of at most w is final, because nothing outside them can
     be nearer. Cells with a near target are done in the first round; the width grows fourfold.
     """
-    left, target = source.select("ix", "iy").distinct(), target.select(F.col("ix").alias("tx"), F.col("iy").alias("ty")).distinct()
+    left, target = cut(source.select("ix", "iy").distinct()), cut(target.select(F.col("ix").alias("tx"), F.col("iy").alias("ty")).distinct())
     span = left.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
     span2 = target.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
     if span[0] is None or span2[0] is None:
