@@ -7,17 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fluvial.llm import curriculum, jaccard_join, packing, toxicity
-from fluvial.llm.common import ensure_checkpoint_dir, table
+from fluvial.llm.common import ensure_checkpoint_dir, short_batches, table
 from fluvial.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below 0.7, learnt from the labelled ones."""
+    short_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by n-gram Jaccard similarity the one with the least doc_id."""
+    short_batches(spark)
     return jaccard_join.keep_first(docs)
 
 
@@ -28,6 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of the documents' tokens, numbered as sequences."""
+    short_batches(spark, False)
     return packing.pack_documents(docs, tokenizer_path())
 
 

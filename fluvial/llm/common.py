@@ -20,6 +20,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "fluvial-checkpoints"))
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, on: bool = True) -> None:
+    """Arrow batches of 2000 rows in place of Spark's 10,000, because whole texts are long rows, or that again; a value set otherwise stays."""
+    if spark.conf.get(ARROW_ROWS) == ("10000" if on else "2000"):
+        spark.conf.set(ARROW_ROWS, "2000" if on else "10000")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and read it back: lineage ends here and the rows are computed once."""
     ensure_checkpoint_dir(df.sparkSession)

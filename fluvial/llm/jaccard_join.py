@@ -26,6 +26,8 @@ from fluvial.llm.tokens import chunks_of, runs_of
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 #: Width of a size band: the next begins at so many times its lower end.
 RATIO = 1.4
+#: Bytes of text that a task hashes at a time.
+RUN_BYTES = 2 << 20
 
 
 def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
@@ -33,7 +35,7 @@ def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_sets(texts: pa.Array, n: int, run_bytes: int = 4 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, n: int, run_bytes: int = RUN_BYTES) -> Iterator[np.ndarray]:
     """For each text of an Arrow array the sorted different 64-bit hashes of its n-grams of words.
 
     Words are lower-cased in A-Z; a text with fewer than n is one n-gram of all; one without has none. About
@@ -152,15 +154,15 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
 def tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
     """(tile, id) of every tile with two sets or more.
 
-    Keys and ids travel as packed arrays. Within a batch of rows equal sets are one, and if several sets
-    have a key, all but one are told at once, wherever they come to rest, and that one goes on for them; so a
-    key brings its group a row a batch at most, even if a large share of all sets has it.
+    Keys and ids travel as packed arrays. Within a run of rows equal sets are one, and if several sets have a
+    key, all of them are told at once, wherever they come to rest, and one goes on for them; so a key brings
+    its group one entry a run at most, even if a large share of all sets has it.
     """
 
     def split(batches):
-        for batch in batches:
+        for texts in (x.column(1).slice(a, b - a) for x in batches for a, b in runs_of(x.column(1), RUN_BYTES)):
             seen, keys, ids = set(), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for h in shingle_sets(batch.column(1), n):
+            for h in shingle_sets(texts, n):
                 if len(h) and (i := set_id(h)) not in seen:
                     seen.add(i)
                     keys.append(part_keys(h, percent))
@@ -170,8 +172,8 @@ def tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
             key, own = key[order], own[order]
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
-            shared = np.repeat(np.diff(np.append(np.flatnonzero(first), len(key))) > 1, np.diff(np.append(np.flatnonzero(first), len(key)))) if len(key) else first
-            told = shared
+            times = np.diff(np.append(np.flatnonzero(first), len(key)))
+            told = np.repeat(times > 1, times)
             group = (key[first] % np.uint64(groups)).astype(np.int64)
             order = np.argsort(group, kind="stable")
             sent_key, sent_own, group = key[first][order], own[first][order], group[order]

@@ -27,7 +27,7 @@ def binary_pieces(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndar
     return owner, ends - length - base, length
 
 
-def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, batch_bytes: int = 4 << 20) -> DataFrame:
+def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, batch_bytes: int = 2 << 20) -> DataFrame:
     """Pieces of every document's ids: doc_id, start, length, ids (little-endian uint32), doc_tokens.
 
     longest must be a power of two. A document is its text's ids and then end_id, so a null or empty text

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
@@ -74,9 +73,10 @@ class WordEncoder:
     their call, which bounds a worker's memory.
     """
 
-    def __init__(self, text: str, most: int = 900_000):
+    def __init__(self, text: str, most: int = 400_000):
         self.tokenizer = load(text)
-        suffix = json.loads(text)["model"].get("end_of_word_suffix") or ""
+        found = re.search(r'"end_of_word_suffix"\s*:\s*"([^"]*)"', text)
+        suffix = found[1] if found else ""
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         if suffix:
             self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True

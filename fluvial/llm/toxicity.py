@@ -86,8 +86,8 @@ class ToxicityModel:
         self.__init__(*state)
 
     def score(self, text: str | None) -> float:
-        words = feature_words(text or "")
-        if len(self.known) > 500_000:  # bounds a worker's memory
+        words = feature_words(text if isinstance(text, str) else "")  # pandas may say NaN for null
+        if len(self.known) > 200_000:  # bounds a worker's memory
             self.known = {}
         known, counts = self.known, Counter()
         for w in words:
@@ -107,6 +107,7 @@ class ToxicityModel:
         def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for t in texts:
                 yield t.map(model.score, na_action=None).astype("float64")
+            model.known = {}
 
         return score(text)
 
