@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.llm.common import crc_bucket, cut
+from fluvial.llm.common import crc_bucket, ensure_checkpoint_dir
 from fluvial.llm.tokens import chunks_of, runs_of
 
 #: The end of a text as a token: a hash of what no word is.
 END = xxhash.xxh64_intdigest("\n") - 2**63
 #: Bytes of text that a task counts or scores at a time.
-RUN_BYTES = 3 << 20
+COUNT_BYTES, RUN_BYTES = 8 << 20, 3 << 20
+#: Bits of the filter of the model's keys, at most; more keys than that only let more rows through to the join.
+MOST_BITS = 1 << 29
+#: So many of the most frequent words, pairs and triples, at most, are summed in the tasks, without the join.
+NEAR = 3_000_000
 
 
 def _stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,18 +35,203 @@ def _stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.append(hashes, END), codes, sizes + 1
 
 
+def _hash(values: np.ndarray, seed) -> np.ndarray:
+    """What Spark's xxhash64 makes of a long that follows the given seed."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    x = turned(values.view(np.uint64) * p2, 31) * p1
+    x ^= (seed.view(np.uint64) if isinstance(seed, np.ndarray) else np.full(1, seed, np.uint64)) + p5 + np.uint64(8)
+    x = turned(x, 27) * p1 + p4
+    x ^= x >> np.uint64(33)
+    x *= p2
+    x ^= x >> np.uint64(29)
+    x *= p3
+    x ^= x >> np.uint64(32)
+    return x.view(np.int64)
+
+
+def _grams(texts: pa.Array):
+    """Hash of each token; of it after the word before; places with two words before, hash of those two, and hash of all three.
+
+    A text begins after an end, before which nothing is. A hash of more words is xxhash64(context, word).
+    """
+    hashes, codes, sizes = _stream(texts)
+    word, first = hashes[codes], np.cumsum(sizes) - sizes
+    seed = _hash(hashes, 42)
+    before = np.concatenate([seed[-1:], seed[codes[:-1]]])[: len(codes)]
+    before[first] = seed[-1]
+    pair = _hash(word, before)
+    there = np.ones(len(word), bool)
+    there[first] = False
+    at = np.flatnonzero(there)
+    return hashes, codes, sizes, word, pair, at, pair[at - 1], _hash(word[at], _hash(pair[at - 1], 42))
+
+
 @dataclass
-class SuffixTree:
-    """Frequent words and the states kept; all arrays are sorted by key.
+class Model:
+    """The states kept, as tables that grow with the corpus.
 
     A state's distribution: the symbols told (with their own smoothed probability), and for the others the
     parent's scaled by `back` so that all sum to 1. The parent of a context is the context without its first
-    word; the root is the base distribution.
+    word; the root is the base distribution. So log10 of a token's probability is that of its word, plus what
+    its context of one word adds, plus what the one of two adds; `values` holds these by hash of the words,
+    a context's scale at the context, which has as many tokens after it as it has places.
     """
 
     tokens: int
     vocabulary: int
-    words: np.ndarray  # hashes of frequent words
+    words: DataFrame  # key, n, log (of the base distribution), back
+    pairs: DataFrame  # c, s, n, told, log: all seen twice or more; log of s after c, told or not
+    triples: DataFrame  # c, s, n, log, back: told ones of contexts kept
+    values: DataFrame  # key, n, word, root, value
+
+    def base(self, n):
+        return math.log10((n + 1) / (self.tokens + self.vocabulary + 1))
+
+
+def _swept(spark: SparkSession) -> None:
+    """Shuffled rows of earlier steps go from the disks: Spark deletes them when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    """df from the shared folder, computed once."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/suffix-tree-{uuid.uuid4()}"
+    _swept(spark)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _dropped(*saved: DataFrame) -> None:
+    """Takes saved tables that nothing reads any more from the shared folder."""
+    for df in saved:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _counted(docs: DataFrame, count) -> DataFrame:
+    """(c, s, n) summed over all texts; count(texts) gives a run's contexts, words and how often each two are there."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in runs_of(batch.column(0), COUNT_BYTES):
+                c, s, n = count(batch.column(0).slice(a, b - a))
+                for k in range(0, len(s), 1 << 16):
+                    x = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(s[x]), pa.array(n[x].astype(np.int64))], names=["c", "s", "n"])
+
+    # dealt out before any is summed: most entries of a run are in no other, so tasks would only fill their memory and spill
+    return docs.select("text").mapInArrow(run, "c long, s long, n long").repartition("c", "s").groupBy("c", "s").agg(F.sum("n").alias("n"))
+
+
+def _counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words (s, n), and words after one word c, and after two of hash c, from `least` on.
+
+    What is so frequent holds only shorter ones as frequent, so a filter of these, of bounded size, keeps most others
+    from being dealt out; what it lets through is counted all the same.
+    """
+    send = docs.sparkSession.sparkContext.broadcast
+
+    def words(texts):
+        hashes, codes, _ = _stream(texts)
+        n = np.bincount(codes, minlength=len(hashes))
+        return np.zeros(np.count_nonzero(n), np.int64), hashes[n > 0], n[n > 0]
+
+    one = _saved(_counted(docs, words).select("s", "n"))
+    bits = send(_filter(one.where(F.col("n") >= least).select(F.col("s").alias("key"))))
+
+    def pairs(texts):
+        hashes, codes, _, word, pair, at, _, _ = _grams(texts)
+        there = _maybe(bits.value, hashes)
+        before = np.full(len(word), len(hashes) - 1)
+        before[at] = codes[at - 1]
+        use = np.flatnonzero(there[codes] & there[before])
+        _, i, n = np.unique(pair[use], return_index=True, return_counts=True)
+        return hashes[before[use[i]]], word[use[i]], n
+
+    two = _saved(_counted(docs, pairs).where(F.col("n") >= least))
+    bits2 = send(_filter(two.select(F.xxhash64("c", "s").alias("key"))))
+
+    def triples(texts):
+        _, _, _, word, pair, at, context, triple = _grams(texts)
+        there = _maybe(bits2.value, pair)
+        use = np.flatnonzero(there[at] & there[at - 1])
+        _, i, n = np.unique(triple[use], return_index=True, return_counts=True)
+        return context[use[i]], word[at[use[i]]], n
+
+    return one, two, _saved(_counted(docs, triples).where(F.col("n") >= least))
+
+
+def _told(entries: DataFrame, tokens: int, kappa: float) -> DataFrame:
+    """Entries (c, s, n, total, parent, as log10) that tell enough, with p and gain.
+
+    An entry is told if n * |ln(p / parent)| is more than what it costs to write, half the logarithm of the
+    number of tokens.
+    """
+    parent = F.pow(F.lit(10.0), F.col("parent"))
+    rows = entries.withColumn("p", (F.col("n") + kappa * parent) / (F.col("total") + kappa))
+    rows = rows.withColumn("gain", F.col("n") * (F.ln("p") - F.col("parent") * math.log(10)))
+    return rows.where(F.abs("gain") > 0.5 * math.log(max(2, tokens)))
+
+
+def _kept(told: DataFrame, tokens: int) -> DataFrame:
+    """Contexts (c, total, back) of told entries that pass the divergence test, with log10 of their scale.
+
+    A context is kept if what its entries gain on the training text, less what they cost, and what the symbols
+    not told lose or gain by the scale, is positive.
+    """
+    cost = 0.5 * math.log(max(2, tokens))
+    by = told.groupBy("c").agg(F.max("total").alias("total"), F.sum(F.col("gain") - cost).alias("worth"), F.sum("p").alias("p"), F.sum(F.pow(F.lit(10.0), F.col("parent"))).alias("q"), F.sum("n").alias("n")).where("p < 1 AND q < 1")
+    by = by.withColumn("scale", F.greatest(F.lit(1e-12), (1 - F.col("p")) / F.greatest(F.lit(1e-12), 1 - F.col("q"))))
+    return by.where(F.col("worth") + (F.col("total") - F.col("n")) * F.ln("scale") > 0).select("c", "total", F.log10("scale").alias("back"))
+
+
+def states(docs: DataFrame, least: int = 2, kappa: float = 4.0) -> Model:
+    """The model of the text column of docs: Spark counts, tests and keeps; no part of it comes to the driver.
+
+    Every word is counted. Entries of both lengths count from `least` occurrences on, and a context of two words
+    so often seen can be a state; beyond that the divergence test alone decides.
+    """
+    one, two, three = _counts(docs, least)
+    whole = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    tokens, vocabulary = int(whole["n"]), int(whole["v"])
+    log = F.log10((F.col("n") + 1) / F.lit(float(tokens + vocabulary + 1)))
+    words = one.select(F.col("s").alias("key"), "n", log.alias("log"))
+    near = two.join(words.select(F.col("key").alias("c"), F.col("n").alias("total")), "c").join(words.select(F.col("key").alias("s"), F.col("log").alias("parent")), "s")
+    near = _saved(near.select("c", "s", "n", "total", "parent"))
+    _dropped(two)
+    told = _saved(_told(near, tokens, kappa))
+    back = _saved(_kept(told, tokens).select("c", "back"))
+    own = _saved(told.join(back, "c").select("c", "s", "n", F.log10("p").alias("own"), (F.log10("p") - F.col("parent") - F.col("back")).alias("more")))
+    level = near.join(back, "c", "left").join(own.select("c", "s", "own"), ["c", "s"], "left")
+    pairs = _saved(level.select("c", "s", "n", F.col("own").isNotNull().alias("told"), F.coalesce("own", F.col("parent") + F.coalesce("back", F.lit(0.0))).alias("log")))
+    _dropped(near, told)
+    triples = three.join(pairs.select(F.xxhash64("c", "s").alias("c"), F.col("s").alias("last"), F.col("n").alias("total")), "c")
+    triples = triples.withColumn("key", F.xxhash64("last", "s")).join(pairs.select(F.xxhash64("c", "s").alias("key"), F.col("log").alias("parent")), "key").drop("key")
+    told = _saved(_told(triples, tokens, kappa))
+    _dropped(three)
+    back2 = _saved(_kept(told, tokens))
+    triples = _saved(told.join(back2.select("c", "back"), "c").select("c", "s", "n", F.log10("p").alias("log"), "back", (F.log10("p") - F.col("parent") - F.col("back")).alias("more")))
+    words = words.join(back.withColumnRenamed("c", "key"), "key", "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
+    longer = own.select(F.xxhash64("c", "s").alias("key"), "n", F.col("more").alias("value")).unionByName(back2.select(F.col("c").alias("key"), F.col("total").alias("n"), F.col("back").alias("value")))
+    longer = longer.unionByName(triples.select(F.xxhash64("c", "s").alias("key"), "n", F.col("more").alias("value"))).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
+    values = words.select("key", "n", F.lit(True).alias("word"), F.col("log").alias("root"), (F.col("log") + F.col("back")).alias("value")).unionByName(longer.select("key", "n", F.lit(False).alias("word"), F.lit(0.0).alias("root"), "value"))
+    values = _saved(values)
+    _dropped(told, back2, own)
+    return Model(tokens, vocabulary, words, pairs, triples, values)
+
+
+@dataclass
+class SuffixTree:
+    """A model in arrays, sorted by key, to look into one of a small corpus."""
+
+    tokens: int
+    vocabulary: int
+    words: np.ndarray  # hashes
     counts: np.ndarray
     back1: np.ndarray  # by word: log10 scale of the state of that word, 0 if there is none
     pair_key: np.ndarray  # word * size + next
@@ -57,41 +248,6 @@ class SuffixTree:
     def base(self, counts) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.vocabulary + 1))
 
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of words among the frequent ones, -1 for others."""
-        return _find(self.words, hashes)
-
-    def history(self, number: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the word before each token and of the one before that; a text begins after an end, -1 before it."""
-        first = np.cumsum(sizes) - sizes
-        end = int(self.number(np.array([END]))[0])
-        one = np.concatenate([[-1], number[:-1]])
-        one[first] = end
-        two = np.concatenate([[-1], one[:-1]])
-        two[first] = -1
-        return one, two
-
-    def logs(self, number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability in its longest state, over what the root gives it if it is rare."""
-        one, two = self.history(number, sizes)
-        root = np.where(number >= 0, self.base(self.counts[np.maximum(number, 0)]) if len(self.counts) else 0.0, 0.0)
-        there = (one >= 0) & (number >= 0)
-        at = np.full(len(number), -1)
-        at[there] = _find(self.pair_key, one[there] * self.size + number[there])
-        lower = np.where(one >= 0, self.back1[np.maximum(one, 0)] if len(self.back1) else 0.0, 0.0) + root
-        lower[at >= 0] = self.pair_log[at[at >= 0]]
-        both = (one >= 0) & (two >= 0)
-        state = np.full(len(number), -1)
-        if len(self.state_key):
-            state[both] = _find(self.state_key, two[both] * self.size + one[both])
-        inside = state >= 0
-        out = lower
-        out[inside] += self.back2[state[inside]]
-        told = np.flatnonzero(inside & (number >= 0))
-        at = _find(self.triple_key, state[told] * self.size + number[told])
-        out[told[at >= 0]] = self.triple_log[at[at >= 0]]
-        return out
-
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of wanted in sorted keys, -1 where missing."""
@@ -101,163 +257,118 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _counted(docs: DataFrame, count) -> DataFrame:
-    """(key, n) summed over all batches; count(texts) gives a batch's keys and how often each is there."""
-
-    def run(batches):
-        for batch in batches:
-            parts = [count(batch.column(0).slice(a, b - a)) for a, b in runs_of(batch.column(0), RUN_BYTES)]
-            key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _arrays(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys counted `least` times or more, in order, with their counts: no more rows than all counts / least."""
-    rows = counted.where(F.col("n") >= least).toArrow()
-    key, n = rows["key"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order].astype(np.int64)
-
-
-def _states(context: np.ndarray, n: np.ndarray, total: np.ndarray, parent: np.ndarray, tokens: int, kappa: float):
-    """Which (context, symbol) entries tell enough, with log10 probabilities, and log10 scale of each context.
-
-    context numbers entries' contexts, sorted; total is each context's count; parent the parent's probability
-    of the entry's symbol. An entry is told if n * |ln(p / parent)| is more than what it costs to write, half
-    the logarithm of the number of tokens; a context is kept if what its entries gain on the training text,
-    less that cost, is positive: the divergence test.
-    """
-    p = (n + kappa * parent) / (total[context] + kappa)
-    gain = n * np.log(p / parent)
-    cost = 0.5 * math.log(max(2, tokens))
-    told = np.abs(gain) > cost
-    worth = np.bincount(context[told], gain[told] - cost, len(total)).astype(float)
-    kept_p, kept_parent = np.bincount(context[told], p[told], len(total)), np.bincount(context[told], parent[told], len(total))
-    scale = (1 - kept_p) / np.maximum(1e-12, 1 - kept_parent)
-    ok = (kept_p < 1) & (kept_parent < 1)
-    scale = np.where(ok, scale, 1.0)
-    rest = total - np.bincount(context[told], n[told], len(total))
-    worth += rest * np.log(np.maximum(scale, 1e-12))  # what the symbols not told lose or gain
-    keep = ok & (worth > 0)
-    return told & keep[context], np.log10(p), np.where(keep, np.log10(np.maximum(scale, 1e-12)), 0.0)
-
-
-def learn(docs: DataFrame, p_word: float = 5e-7, p_context: float = 2e-5, p_entry: float = 1e-6, kappa: float = 4.0) -> tuple[SuffixTree, DataFrame]:
-    """The tree, and the table (key, n) of all words' counts, from the text column of docs.
-
-    Counts of words, and of words after contexts, are summed over all texts by Spark. Words of share p_word
-    or more, contexts of share p_context and entries of share p_entry (and two at least) come to the driver:
-    at most 1 / p_word, 1 / p_context and 1 / p_entry of them for each length, whatever the input. That is the
-    tree's least probability; rarer words still count, but from the table.
-    """
-    spark = docs.sparkSession.sparkContext
-
-    def words(texts):
-        hashes, codes, _ = _stream(texts)
-        n = np.bincount(codes, minlength=len(hashes))
-        return hashes[n > 0], n[n > 0]
-
-    counts = cut(_counted(docs, words))
-    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tokens, none = int(whole["n"]), np.empty(0, np.int64)
-    at_least = lambda p: max(2, math.ceil(p * tokens))
-    key, n = _arrays(counts, at_least(p_word))
-    tree = SuffixTree(tokens, int(whole["v"]), key, n, np.zeros(len(key)), none, np.empty(0), none, np.empty(0), none, np.empty(0))
-    if not len(key):
-        return tree, counts
-    size, base = tree.size, 10 ** tree.base(n)
-    is_context = n >= at_least(p_context)
-    held = spark.broadcast((tree, is_context))  # bounded by 1 / p_word
-
-    def pairs(texts):
-        tree, is_context = held.value
-        hashes, codes, sizes = _stream(texts)
-        number = tree.number(hashes)[codes]
-        one, _ = tree.history(number, sizes)
-        use = (number >= 0) & (one >= 0) & is_context[np.maximum(one, 0)]
-        return np.unique(one[use] * tree.size + number[use], return_counts=True)
-
-    pair_key, pair_n = _arrays(_counted(docs, pairs), at_least(p_entry))
-    context, symbol = pair_key // size, pair_key % size
-    keep, log, tree.back1 = _states(context, pair_n, n, base[symbol], tokens, kappa)
-    tree.pair_key, tree.pair_log = pair_key[keep], log[keep]
-    candidate = pair_n >= at_least(p_context)
-    contexts, context_n = pair_key[candidate], pair_n[candidate]
-    if len(contexts):
-        # the end as second word has no history after it in a text; such contexts never arise
-        held2 = spark.broadcast((tree, contexts))
-
-        def triples(texts):
-            tree, contexts = held2.value
-            hashes, codes, sizes = _stream(texts)
-            number = tree.number(hashes)[codes]
-            one, two = tree.history(number, sizes)
-            use = np.flatnonzero((number >= 0) & (one >= 0) & (two >= 0))
-            state = _find(contexts, two[use] * tree.size + one[use])
-            use, state = use[state >= 0], state[state >= 0]
-            return np.unique(state * tree.size + number[use], return_counts=True)
-
-        triple_key, triple_n = _arrays(_counted(docs, triples), at_least(p_entry))
-        context, symbol = triple_key // size, triple_key % size
-        second = contexts[context] % size
-        at = _find(tree.pair_key, second * size + symbol)
-        parent = np.where(at >= 0, 10 ** tree.pair_log[np.maximum(at, 0)] if len(tree.pair_log) else 0.0, 10 ** tree.back1[second] * base[symbol])
-        keep, log, back = _states(context, triple_n, context_n, parent, tokens, kappa)
-        kept = np.unique(context[keep])
-        tree.state_key, tree.back2 = contexts[kept], back[kept]
-        tree.triple_key, tree.triple_log = np.searchsorted(kept, context[keep]) * size + symbol[keep], log[keep]
-    return tree, counts
+def learn(docs: DataFrame, **options) -> tuple[SuffixTree, DataFrame]:
+    """The whole model on the driver, so for small corpora only, and the table (key, n) of all words' counts."""
+    model = states(docs, **options)
+    got = lambda df, *names: [df.select(*names).toArrow()[n].to_numpy() for n in names]
+    key, n, back = got(model.words.orderBy("key"), "key", "n", "back")
+    place, size = lambda x: _find(key, x), max(1, len(key))
+    c, s, log = got(model.pairs.where("told"), "c", "s", "log")
+    pair = place(c) * size + place(s)
+    order = np.argsort(pair)
+    context = model.pairs.select(F.xxhash64("c", "s").alias("c"), F.col("c").alias("a"), F.col("s").alias("b"))
+    a, b, t, log2, scale = got(model.triples.join(context, "c"), "a", "b", "s", "log", "back")
+    state, first = np.unique(place(a) * size + place(b), return_index=True)
+    triple = _find(state, place(a) * size + place(b)) * size + place(t)
+    order2 = np.argsort(triple)
+    return SuffixTree(model.tokens, model.vocabulary, key, n, back, pair[order], log[order], state, scale[first], triple[order2], log2[order2]), model.words.select("key", "n")
+
+
+def _frequent(values: DataFrame, most: int) -> Column:
+    """Whether a key is of the most frequent ones, `most` at most; counts are told apart in sixteenths of a power of two."""
+    level = F.floor(16 * F.log2("n"))
+    have, least = 0, 1 << 20
+    for x in sorted(values.groupBy(level.alias("level")).count().collect(), key=lambda x: -x["level"]):  # some 600 rows
+        have += x["count"]
+        if have > most:
+            break
+        least = x["level"]
+    return level >= least
+
+
+def _filter(values: DataFrame) -> np.ndarray:
+    """Bits, a power of two and MOST_BITS at most, of which one is set for the leading bits of each key."""
+    most = values.count() * 8
+    width = min(MOST_BITS.bit_length() - 1, max(20, most.bit_length()))
+    at = F.shiftrightunsigned("key", 64 - width)
+    rows = values.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = np.zeros(1 << (width - 3), np.uint8)
+    for batch in rows.toArrow().to_batches():
+        for bucket, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+            bits[bucket << 12 : (bucket + 1) << 12] = np.frombuffer(part.as_buffer(), np.uint8)
+    return bits
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be among those of the filter; False is sure."""
+    at = keys.view(np.uint64) >> np.uint64(64 - (len(bits).bit_length() + 2))
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+NAMES = ["row", "key", "times", "told", "doc_id", "tokens", "known", "root", "logs"]
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, **options) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The tree learns from documents whose fold isn't `held`. Tokens are words, lower-cased in A-Z, and one end
+    The model learns from documents whose fold isn't `held`. Tokens are words, lower-cased in A-Z, and one end
     a text. base_score is log10 of the add-one unigram probability; score that of the tree, whose root is the
-    same distribution, with all words never seen as one symbol. What frequent words give is summed at once;
-    each rarer word of a text goes as one row to the table of counts, so no vocabulary has to fit anywhere.
+    same distribution, with all words never seen as one symbol. A score is a sum of the model's values over a
+    text's words, pairs and triples. Tasks hold the values of the most frequent ones (NEAR of them at most) and
+    sum these at once; of the others, those that a filter of bounded size
+    can't rule out go as rows to the table of values, so no model has to fit anywhere.
     Null and empty texts are one end; without training rows every token is unknown and both scores are 0.
-    Repeated rows give repeated results; null ids are in fold 0; other columns are ignored.
+    Repeated rows give repeated results; null ids are in fold 0; other columns are ignored. Hashes are of 64 bits.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tree, counts = learn(plain.where(crc_bucket(F.col("doc_id"), folds) != held), **options)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    model = states(plain.where(crc_bucket(F.col("doc_id"), folds) != held), **options)
+    _dropped(model.pairs, model.triples)
+    near = model.values.where(_frequent(model.values, NEAR)).select("key", "root", "value").toArrow()
+    order = np.argsort(near["key"].to_numpy())
+    near = [near[n].to_numpy()[order] for n in ("key", "root", "value")]
+    unseen = model.base(0)
+    sent = docs.sparkSession.sparkContext.broadcast((near, _filter(model.values)))
 
     def run(batches):
-        tree = sent.value
+        (keys, roots, values), bits = sent.value
         for whole, a, b in ((x, a, b) for x in batches for a, b in runs_of(x.column(2), RUN_BYTES)):
             batch = whole.slice(a, b - a)
             row, doc = batch.column(0).to_numpy(), batch.column(1)
-            hashes, codes, sizes = _stream(batch.column(2))
-            place = tree.number(hashes)
-            number = place[codes]
+            hashes, codes, sizes, _, pair, at, _, triple = _grams(batch.column(2))
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            known = number >= 0
-            logs = tree.logs(number, sizes)
-            root = np.where(known, tree.base(tree.counts[np.maximum(number, 0)]) if len(tree.counts) else 0.0, 0.0)
-            sums = [np.bincount(owner, x, len(sizes)) for x in (root, logs, known)]
-            rare = np.flatnonzero(~known)
-            pair, n = np.unique(owner[rare] * len(hashes) + codes[rare], return_counts=True)
-            who, word = pair // len(hashes), hashes[pair % len(hashes)]
-            alone = np.setdiff1d(np.arange(len(sizes)), who)  # texts without rare words still need a row
-            lead = hashes[codes[np.cumsum(sizes)[alone] - sizes[alone]]]
-            who, word, n = np.concatenate([who, alone]), np.concatenate([word, lead]), np.concatenate([n, np.zeros(len(alone), np.int64)])
-            first = np.zeros(len(who), bool)
-            first[np.unique(who, return_index=True)[1]] = True
-            told = pa.array(~first)
-            only = lambda values, kind: pc.if_else(told, pa.scalar(None, kind), pa.array(values, kind))
-            columns = [pa.array(row[who]), pa.array(word), pa.array(n, pa.int64()), pc.if_else(told, pa.scalar(None, pa.int64()), doc.take(pa.array(who))), only(sizes[who], pa.int64()), only(sums[2][who].astype(np.int64), pa.int64()), only(sums[0][who], pa.float64()), only(sums[1][who], pa.float64())]
-            for a in range(0, len(who), 1 << 16):
-                yield pa.RecordBatch.from_arrays([c.slice(a, 1 << 16) for c in columns], names=["row", "key", "times", "doc_id", "tokens", "known", "root", "logs"])
-
-    parts = plain.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, key long, times long, doc_id long, tokens long, known long, root double, logs double")
-    total = F.lit(float(tree.tokens + tree.vocabulary + 1))
-    share = F.col("times") * F.log10((F.coalesce(F.col("n"), F.lit(0)) + 1) / total)
-    seen = F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0))
-    summed = parts.join(counts, "key", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), (F.max("known") + F.sum(seen)).alias("n_known"), (F.max("root") + F.sum(share)).alias("base_score"), (F.max("logs") + F.sum(share)).alias("score")
+            sums, rest = np.zeros((3, len(sizes))), []
+            place = _find(keys, hashes)
+            open_ = (place < 0) & _maybe(bits, hashes)
+            give = lambda x, other: np.where(place >= 0, x[np.maximum(place, 0)] if len(x) else 0.0, other)
+            for k, x in enumerate((give(roots, np.where(open_, 0.0, unseen)), give(values, np.where(open_, 0.0, unseen)), place >= 0)):
+                sums[k] = np.bincount(owner, x[codes], len(sizes))
+            i = np.flatnonzero(open_[codes])
+            rest.append((True, owner[i], hashes[codes[i]]))
+            for who, key in ((owner, pair), (owner[at], triple)):
+                i = np.flatnonzero(_maybe(bits, key))
+                who, key = who[i], key[i]
+                place = _find(keys, key)
+                if len(keys):
+                    sums[1] += np.bincount(who, np.where(place >= 0, values[np.maximum(place, 0)], 0.0), len(sizes))
+                rest.append((False, who[place < 0], key[place < 0]))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(np.zeros(len(row), np.int64)), pa.array(np.zeros(len(row), bool)), doc, pa.array(sizes.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=NAMES)
+            for word, who, key in rest:
+                order = np.lexsort((key, who))
+                who, key = who[order], key[order]
+                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(who)), bool), (who[1:] != who[:-1]) | (key[1:] != key[:-1])]))
+                n = np.diff(np.append(new, len(who)))
+                who, key = row[who[new]], key[new]
+                for k in range(0, len(who), 1 << 16):
+                    x = slice(k, k + (1 << 16))
+                    size = len(who[x])
+                    yield pa.RecordBatch.from_arrays([pa.array(who[x]), pa.array(key[x]), pa.array(n[x].astype(np.int64)), pa.array(np.full(size, word)), *(pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=NAMES)
+
+    parts = plain.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, key long, times long, told boolean, doc_id long, tokens long, known long, root double, logs double")
+    missing = F.when(F.col("told"), F.lit(unseen)).otherwise(F.lit(0.0))
+    joined = parts.withColumnRenamed("root", "roots").join(model.values.select("key", "word", F.col("root"), "value"), "key", "left")
+    seen = F.when(F.col("told") & F.col("word"), F.col("times")).otherwise(F.lit(0))
+    summed = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), (F.max("known") + F.sum(seen)).alias("n_known"), (F.max("roots") + F.sum(F.col("times") * F.coalesce("root", missing))).alias("base_score"), (F.max("logs") + F.sum(F.col("times") * F.coalesce("value", missing))).alias("score")
     )
-    return summed.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    _swept(docs.sparkSession)
+    return summed.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

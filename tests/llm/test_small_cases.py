@@ -247,3 +247,69 @@ def test_sketches_merge(spark):
         assert merged[g] == sorted(hashes)[:50]
     d = df.groupBy().agg(F.first("s").alias("s")).select(fingerprint.distinct_shingles(F.col("s"), 1000).alias("n"), fingerprint.containment(F.col("s"), F.col("s"), 1000).alias("c")).first()
     assert (d.n, d.c) == (50.0, 1.0)
+
+
+def brute_scores(train, texts, least=2, kappa=4.0):
+    """log10 probabilities of texts in a suffix tree of up to two words, with plain dictionaries."""
+    import math
+    from collections import Counter, defaultdict
+
+    split = lambda t: [*t.lower().split(), "\n"]
+    counts = Counter()
+    for t in train:
+        w = ["\n", *split(t)]
+        for k in range(1, len(w)):
+            counts.update([(w[k],), (w[k - 1], w[k])] + ([(w[k - 2], w[k - 1], w[k])] if k > 1 else []))
+    tokens, words = sum(n for k, n in counts.items() if len(k) == 1), sum(len(k) == 1 for k in counts)
+    cost, own, back = 0.5 * math.log(max(2, tokens)), {}, {}
+
+    def p(context, s):
+        if not context:
+            return (counts[(s,)] + 1) / (tokens + words + 1)
+        return own.get((*context, s), 10 ** back.get(context, 0.0) * p(context[1:], s))
+
+    for length in (2, 3):
+        told = defaultdict(list)
+        for k, n in counts.items():
+            if len(k) == length and n >= least and (length == 2 or counts[k[:-1]] >= least):
+                q = p(k[1:-1], k[-1])
+                mine = (n + kappa * q) / (counts[k[:-1]] + kappa)
+                if abs(n * math.log(mine / q)) > cost:
+                    told[k[:-1]].append((k, n, mine, q))
+        for c, rows in told.items():
+            a, b = 1 - sum(r[2] for r in rows), 1 - sum(r[3] for r in rows)
+            if a > 0 and b > 0 and sum(n * math.log(x / q) - cost for _, n, x, q in rows) + (counts[c] - sum(r[1] for r in rows)) * math.log(a / b) > 0:
+                back[c] = math.log10(a / b)
+                own |= {r[0]: r[2] for r in rows}
+
+    def score(t):
+        w = ["\n", *split(t)]
+        return sum(math.log10(p(tuple(w[max(0, k - 2) : k]) if k > 1 and w[k - 1] != "\n" and tuple(w[k - 2 : k]) in back else (w[k - 1],), w[k])) for k in range(1, len(w)))
+
+    return [score(t) for t in texts], own
+
+
+def test_suffix_tree_keeps_what_is_rare_in_a_large_corpus(spark):
+    import math
+
+    r = random.Random(3)
+    text = [(i, " ".join(r.choice(["a b c", "d b e", "f g", "h i j k", "l m"]) for _ in range(500))) for i in range(420)]
+    text += [(1000 + i, " ".join(["a b c d"] * 3) + " zero one two three four") for i in range(10)] + [(2000, "zero one two three four"), (2001, "zero new two"), (2002, "")]
+    assert sum(len(t.split()) for _, t in text) > 500_000  # shares of 2e-5 and 1e-6 would ask for more than 10 contexts
+    train = [t for i, t in text if zlib.crc32(str(i).encode()) % 7 != 2]
+    few = [(i, t) for i, t in text if i >= 990 or i < 3]
+    want, own = brute_scores(train, [t for _, t in few])
+    assert ("zero", "one") in own
+    found = {x.doc_id: x.score for x in suffix_tree.score(spark.createDataFrame(text, "doc_id long, text string").repartition(3)).collect()}
+    assert all(math.isclose(found[i], w, rel_tol=1e-9, abs_tol=1e-9) for (i, _), w in zip(few, want))
+
+
+def test_suffix_tree_by_the_join_alone(spark, monkeypatch):
+    import math
+
+    r = random.Random(4)
+    text = [(i, " ".join(f"w{min(int(r.expovariate(0.2)), 40)} x" for _ in range(60))) for i in range(60)]
+    want, _ = brute_scores([t for i, t in text if zlib.crc32(str(i).encode()) % 7 != 2], [t for _, t in text])
+    monkeypatch.setattr(suffix_tree, "NEAR", 0)  # nothing is summed in the tasks
+    found = {x.doc_id: x.score for x in suffix_tree.score(spark.createDataFrame(text, "doc_id long, text string")).collect()}
+    assert all(math.isclose(found[i], w, rel_tol=1e-9) for (i, _), w in zip(text, want))
