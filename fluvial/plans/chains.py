@@ -256,12 +256,24 @@ def neighbour_context(spark, d):
     return events.neighbour_context(rows, ["seq"], "id", "u", "w", "s", "e").select("seq", "id", "neighbour_count", r4("local_density"))
 
 
-@query("gaussian_evidence", f"""WITH {FRAMES}, t AS (SELECT v % 64 AS u, (v * 3) % 36 AS w, event_id % 120 + 1 AS area, 0.5::DOUBLE AS conf, 10 AS dur FROM frames WHERE cls = 'refund' OR event_id % 50 = 0),
+_EVIDENCE = f"""WITH {FRAMES}, t AS (SELECT v % 64 AS u, (v * 3) % 36 AS w, event_id % 120 + 1 AS area, 0.5::DOUBLE AS conf, 10 AS dur FROM frames WHERE cls = 'refund' OR event_id % 50 = 0),
 g AS (SELECT *, greatest(4.0::DOUBLE, least(8.8::DOUBLE, sqrt(area / pi()) * 1.3::DOUBLE)) AS sg FROM t), h AS (SELECT *, least(22.0::DOUBLE, sg * 2.5::DOUBLE) AS su FROM g),
 p AS (SELECT x, y, exp(-0.5 * (power(x - u, 2) + power(y - w, 2)) / (sg * sg)) AS k, conf * (0.5 + 0.5 * least(1.0::DOUBLE, dur / 15.0::DOUBLE)) AS wt FROM h, range(64) a(x), range(36) b(y) WHERE x >= greatest(0, trunc(u - su)) AND x < least(64, trunc(u + su) + 1) AND y >= greatest(0, trunc(w - su)) AND y < least(36, trunc(w + su) + 1)),
 s AS (SELECT x, y, sum(k * wt) AS ev, count(*) FILTER (k >= 0.10) AS support FROM p GROUP BY x, y)
-SELECT x::INTEGER AS x, y::INTEGER AS y, round(1 - exp(-ev / 1.6), 4) AS probability, CASE WHEN support < 0.08 THEN 'unknown' WHEN 1 - exp(-ev / 1.6) >= 0.30 THEN 'water' ELSE 'dry' END AS state FROM s""")
-def gaussian_evidence(spark, d):
+SELECT x::INTEGER AS x, y::INTEGER AS y, round(1 - exp(-ev / 1.6), 4) AS probability, CASE WHEN support < 0.08 THEN 'unknown' WHEN 1 - exp(-ev / 1.6) >= 0.30 THEN 'water' ELSE 'dry' END AS state FROM s"""
+
+
+def _evidence(spark, d, where: str = "true"):
     c = F.col
-    rows = frames(spark, d).where("cls = 'refund' OR event_id % 50 = 0").select((c("v") % 64).alias("u"), ((c("v") * 3) % 36).alias("v"), (c("event_id") % 120 + 1).alias("maximum_area"), F.lit(0.5).alias("confidence"), F.lit(10).alias("duration_frames"))
+    rows = frames(spark, d).where(where).select((c("v") % 64).alias("u"), ((c("v") * 3) % 36).alias("v"), (c("event_id") % 120 + 1).alias("maximum_area"), F.lit(0.5).alias("confidence"), F.lit(10).alias("duration_frames"))
     return events.evidence_map(rows, 64, 36).select("x", "y", r4("probability"), "state")
+
+
+@query("gaussian_evidence", _EVIDENCE)
+def gaussian_evidence(spark, d):
+    return _evidence(spark, d, "cls = 'refund' OR event_id % 50 = 0")
+
+
+@query("gaussian_evidence_all", _EVIDENCE.replace(" WHERE cls = 'refund' OR event_id % 50 = 0", ""))
+def gaussian_evidence_all(spark, d):
+    return _evidence(spark, d)
