@@ -12,19 +12,19 @@ from fluvial.plans.streams import CAMERA, GRID
 W, H = 64, 48
 
 
-def _pixels(spark, d, n: int = 6):
-    """Frames of residuals: each event of a frame's users lights a small disc, brighter with its value."""
+def _pixels(spark, d):
+    """Frames of residuals, one for each twelve frames of a sequence: each event lights a small disc, brighter with its value."""
     c = F.col
-    spots = frames(spark, d).where(f"seq < {n} AND frame < 12").select((c("seq")).alias("sample"), (c("v") % 58 + 3).cast("int").alias("u"), ((c("v") * 7) % 42 + 3).cast("int").alias("w"), (c("v") / 10 + 5).alias("bright"), F.when(c("event_id") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
+    spots = frames(spark, d).select(c("seq").alias("sample"), F.floor(c("frame") / 12).alias("window"), (c("v") % 58 + 3).cast("int").alias("u"), ((c("v") * 7) % 42 + 3).cast("int").alias("w"), (c("v") / 10 + 5).alias("bright"), F.when(c("event_id") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 5))
-    lit = spots.withColumn("o", F.explode(around)).select("sample", (c("w") + c("o.j")).alias("row"), (c("u") + c("o.i")).alias("col"), "bright", (c("bright") * c("sign")).alias("s"))
-    return lit.groupBy("sample", "row", "col").agg(F.max("bright").alias("absolute"), F.sum("s").alias("signed"))
+    lit = spots.withColumn("o", F.explode(around)).select("sample", "window", (c("w") + c("o.j")).alias("row"), (c("u") + c("o.i")).alias("col"), "bright", (c("bright") * c("sign")).alias("s"))
+    return lit.groupBy("sample", "window", "row", "col").agg(F.max("bright").alias("absolute"), F.sum("s").alias("signed"))
 
 
 @query("candidate_detection")
 def candidate_detection(spark, d):
-    found = vision.detect_candidates(_pixels(spark, d), ["sample"], W, H, percentile=90.0, areas=(4, 600))
-    return found.select("sample", "candidate_id", r4("u"), r4("v"), "area", r4("mean_residual"), "polarity", r4("eccentricity"), r4("compactness"), r4("ringness"))
+    found = vision.detect_candidates(_pixels(spark, d), ["sample", "window"], W, H, percentile=90.0, areas=(4, 600))
+    return found.select("sample", "window", "candidate_id", r4("u"), r4("v"), "area", r4("mean_residual"), "polarity", r4("eccentricity"), r4("compactness"), r4("ringness"))
 
 
 def _water(spark, d):
@@ -44,8 +44,8 @@ def prompt_points(spark, d):
 
 @query("ranked_components")
 def ranked_components(spark, d):
-    rows = _pixels(spark, d).select("sample", (F.floor(F.col("row") / 12) * 6 + F.floor(F.col("col") / 12)).alias("component"), (F.col("absolute") / 100).alias("probability"))
-    return vision.ranked_components(rows, ["sample"]).select("sample", "component", r4("mass"), "area", "rank", "rivals")
+    rows = _pixels(spark, d).select("sample", "window", (F.floor(F.col("row") / 12) * 6 + F.floor(F.col("col") / 12)).alias("component"), (F.col("absolute") / 100).alias("probability"))
+    return vision.ranked_components(rows, ["sample", "window"]).select("sample", "window", "component", r4("mass"), "area", "rank", "rivals")
 
 
 @query("shoreline_samples")

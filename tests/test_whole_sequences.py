@@ -22,3 +22,8 @@ def of(spark, long_dir, name):
 def test_gaussian_evidence(spark, long_dir):
     few, every = of(spark, long_dir, "gaussian_evidence"), of(spark, long_dir, "gaussian_evidence_all")
     assert len(every) > len(few) and sum(r.probability for r in every) > 5 * sum(r.probability for r in few)
+
+
+@pytest.mark.parametrize("name", ["candidate_detection", "ranked_components"])
+def test_pixels_of_all_sequences(spark, long_dir, name):
+    assert {(r["sample"], r["window"]) for r in of(spark, long_dir, name)} == {(u, w) for u in (1, 9) for w in range(10)}
