@@ -211,8 +211,12 @@ j AS (SELECT t.seq, t.id AS track, a.id AS event, greatest(0, least(t.e, a.e) -
 k AS (SELECT *, b / greatest(1, 15 - b)::DOUBLE AS iou, b / 9.0::DOUBLE AS ov, greatest(0, 1 - bd / 17.0) AS sp FROM j), q AS (SELECT *, 0.30 * iou + 0.25 * ov + 0.30 * greatest(0, 1 - dist / 28.0) + 0.15 * sp AS score FROM k WHERE b > 0 AND dist <= 28 AND (iou >= 0.05 OR ov >= 0.20) AND sp >= 0.05)"""
 
 
-def _pairs(spark, d):
-    rows = frames(spark, d).where("frame < 60").withColumns({"u": F.col("v") % 60, "w": (F.col("v") * 7) % 60})
+#: The same over whole sequences.
+_ALL_PAIRS = _PAIRS.replace(" AND frame < 60", "")
+
+
+def _pairs(spark, d, where: str = "true"):
+    rows = frames(spark, d).where(where).withColumns({"u": F.col("v") % 60, "w": (F.col("v") * 7) % 60})
     c = F.col
     t = rows.where("cls = 'view'").select("seq", c("event_id").alias("id"), c("frame").alias("start"), (c("frame") + 5).alias("end"), "u", "w")
     a = rows.where("cls = 'purchase'").select("seq", c("event_id").alias("id"), c("frame").alias("start"), (c("frame") + 8).alias("end"), "u", "w")
@@ -224,13 +228,27 @@ def _pairs(spark, d):
     return events.pair_scores(pairs)
 
 
+def _scores(pairs):
+    return pairs.select("seq", "track", "event", *(r4(c) for c in ("temporal_iou", "event_overlap", "center_error", "spatial_score", "score")))
+
+
 @query("track_event_pairs", f"{_PAIRS} SELECT seq, track, event, round(iou, 4) AS temporal_iou, round(ov, 4) AS event_overlap, round(dist, 4) AS center_error, round(sp, 4) AS spatial_score, round(score, 4) AS score FROM q")
 def track_event_pairs(spark, d):
-    return _pairs(spark, d).select("seq", "track", "event", *(r4(c) for c in ("temporal_iou", "event_overlap", "center_error", "spatial_score", "score")))
+    return _scores(_pairs(spark, d, "frame < 60"))
+
+
+@query("track_event_pairs_all", f"{_ALL_PAIRS} SELECT seq, track, event, round(iou, 4) AS temporal_iou, round(ov, 4) AS event_overlap, round(dist, 4) AS center_error, round(sp, 4) AS spatial_score, round(score, 4) AS score FROM q")
+def track_event_pairs_all(spark, d):
+    return _scores(_pairs(spark, d))
 
 
 @query("ambiguous_tracks", f"{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY seq, track ORDER BY score DESC) AS r FROM q) SELECT seq, track, coalesce(round(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 6) < 0.08, false) AS ambiguous FROM r GROUP BY seq, track")
 def ambiguous_tracks(spark, d):
+    return events.unambiguous(_pairs(spark, d, "frame < 60"), ["seq"], "track", "score", 0.08).select("seq", "track", "ambiguous").distinct()
+
+
+@query("ambiguous_tracks_all", f"{_ALL_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY seq, track ORDER BY score DESC) AS r FROM q) SELECT seq, track, coalesce(round(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 6) < 0.08, false) AS ambiguous FROM r GROUP BY seq, track")
+def ambiguous_tracks_all(spark, d):
     return events.unambiguous(_pairs(spark, d), ["seq"], "track", "score", 0.08).select("seq", "track", "ambiguous").distinct()
 
 
@@ -248,14 +266,26 @@ def track_association(spark, d):
     return events.associate(rows, "seq").select("seq", "candidate_id", "track")
 
 
-@query("neighbour_context", f"""WITH {FRAMES}, t AS (SELECT seq, event_id AS id, v % 90 AS u, (v * 3) % 90 AS w, frame AS s, frame + 5 AS e FROM frames WHERE frame < 80)
-SELECT a.seq, a.id, count(b.id) AS neighbour_count, round(count(b.id) FILTER (least(a.e, b.e) - greatest(a.s, b.s) + 1 > 0) / 6.0::DOUBLE, 4) AS local_density FROM t a LEFT JOIN t b ON a.seq = b.seq AND a.id <> b.id AND sqrt(power(a.u - b.u, 2) + power(a.w - b.w, 2)) <= 35 GROUP BY a.seq, a.id""")
-def neighbour_context(spark, d):
+_CONTEXT = f"""WITH {FRAMES}, t AS (SELECT seq, event_id AS id, v % 90 AS u, (v * 3) % 90 AS w, frame AS s, frame + 5 AS e FROM frames WHERE frame < 80)
+SELECT a.seq, a.id, count(b.id) AS neighbour_count, round(count(b.id) FILTER (least(a.e, b.e) - greatest(a.s, b.s) + 1 > 0) / 6.0::DOUBLE, 4) AS local_density FROM t a LEFT JOIN t b ON a.seq = b.seq AND a.id <> b.id AND sqrt(power(a.u - b.u, 2) + power(a.w - b.w, 2)) <= 35 GROUP BY a.seq, a.id"""
+
+
+def _context(spark, d, where: str = "true"):
     c = F.col
-    rows = frames(spark, d).where("frame < 80").select("seq", c("event_id").alias("id"), (c("v") % 90).alias("u"), ((c("v") * 3) % 90).alias("w"), c("frame").alias("s"), (c("frame") + 5).alias("e"))
+    rows = frames(spark, d).where(where).select("seq", c("event_id").alias("id"), (c("v") % 90).alias("u"), ((c("v") * 3) % 90).alias("w"), c("frame").alias("s"), (c("frame") + 5).alias("e"))
     return events.neighbour_context(rows, ["seq"], "id", "u", "w", "s", "e").select("seq", "id", "neighbour_count", r4("local_density"))
 
 
+@query("neighbour_context", _CONTEXT)
+def neighbour_context(spark, d):
+    return _context(spark, d, "frame < 80")
+
+
+@query("neighbour_context_all", _CONTEXT.replace(" WHERE frame < 80", ""))
+def neighbour_context_all(spark, d):
+    return _context(spark, d)
+
+
 _EVIDENCE = f"""WITH {FRAMES}, t AS (SELECT v % 64 AS u, (v * 3) % 36 AS w, event_id % 120 + 1 AS area, 0.5::DOUBLE AS conf, 10 AS dur FROM frames WHERE cls = 'refund' OR event_id % 50 = 0),
 g AS (SELECT *, greatest(4.0::DOUBLE, least(8.8::DOUBLE, sqrt(area / pi()) * 1.3::DOUBLE)) AS sg FROM t), h AS (SELECT *, least(22.0::DOUBLE, sg * 2.5::DOUBLE) AS su FROM g),
 p AS (SELECT x, y, exp(-0.5 * (power(x - u, 2) + power(y - w, 2)) / (sg * sg)) AS k, conf * (0.5 + 0.5 * least(1.0::DOUBLE, dur / 15.0::DOUBLE)) AS wt FROM h, range(64) a(x), range(36) b(y) WHERE x >= greatest(0, trunc(u - su)) AND x < least(64, trunc(u + su) + 1) AND y >= greatest(0, trunc(w - su)) AND y < least(36, trunc(w + su) + 1)),

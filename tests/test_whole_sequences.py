@@ -27,3 +27,9 @@ def test_gaussian_evidence(spark, long_dir):
 @pytest.mark.parametrize("name", ["candidate_detection", "ranked_components"])
 def test_pixels_of_all_sequences(spark, long_dir, name):
     assert {(r["sample"], r["window"]) for r in of(spark, long_dir, name)} == {(u, w) for u in (1, 9) for w in range(10)}
+
+
+@pytest.mark.parametrize("name,column,last", [("track_event_pairs_all", "track", 110), ("ambiguous_tracks_all", "track", 110), ("greedy_match", "event", 61), ("neighbour_context_all", "id", 110)])
+def test_late_frames(spark, long_dir, name, column, last):
+    found = {r[column] for r in of(spark, long_dir, name)}
+    assert all(max(i % 1000 for i in found if i // 1000 == u) >= last for u in (1, 9))
