@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluvial.llm.common import cut, settle
@@ -27,7 +27,9 @@ _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 #: Width of a size band: the next begins at so many times its lower end.
 RATIO = 1.4
 #: Bytes of text that a task hashes at a time.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
+#: Hashes that a task intersects at a time.
+MOST_HASHES = 4 << 20
 
 
 def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
@@ -135,20 +137,20 @@ def similar(overlap, size_a, size_b, percent: int):
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, id) of each document; id is null for an empty set."""
+    """(doc_id, text_hash, size, id) of each document; id is null for an empty set."""
 
     def run(batches):
         for batch in batches:
             found = [(len(h), set_id(h)) if len(h) else (0, None) for h in shingle_sets(batch.column(1), n)]
             ids = [i for _, i in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size for size, _ in found], pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "size", "id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([size for size, _ in found], pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "text_hash", "size", "id"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, size long, id long")
+    return _texts(docs, F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, size long, id long")
 
 
 def tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
@@ -206,13 +208,13 @@ def tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
 class _Fetch:
     """Sets by id, made again from the whole texts of one document each: all that candidates need, nothing for the rest."""
 
-    def __init__(self, docs: DataFrame, own: DataFrame, n: int, most_broadcast: int):
-        self.docs, self.own, self.n, self.most_broadcast = docs, own, n, most_broadcast
+    def __init__(self, docs: DataFrame, owners: DataFrame, n: int, most_broadcast: int):
+        self.docs, self.owners, self.n, self.most_broadcast = docs, owners, n, most_broadcast
 
     def __call__(self, ids: DataFrame, hashes: bool) -> DataFrame:
         """(id, size, content, coarse) of the wanted ids: the bitmap and one down to a quarter as wide (2048 bits at least), or all hashes and null."""
         n = self.n
-        owners = settle(self.own.join(ids.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("_want")).select("_want"))
+        owners = settle(self.owners.join(ids.select("id").distinct(), "id", "left_semi").select(F.col("first.doc_id").alias("_want")))
         small = owners.count() <= self.most_broadcast  # 8 bytes a row; beyond that Spark shuffles
         chosen = _texts(self.docs).join(F.broadcast(owners) if small else owners, F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi")
 
@@ -267,67 +269,144 @@ def _linked(pairs: DataFrame, fetch: _Fetch, percent: int) -> DataFrame:
     return _sides(pairs, fetch(ids, True)).mapInArrow(exact, "a long, b long")
 
 
-def _across(members: DataFrame, maps: DataFrame, tried: DataFrame, percent: int, each: int, chunk: int) -> DataFrame:
-    """Pairs of one tile's sets from different components that bitmaps let pass and that weren't tried.
+def _placed(members: DataFrame, chunk: Column) -> DataFrame:
+    """(tile, _i, _j, _own, id, component): a tile's sets of different components, dealt to groups that compare them.
 
-    Of a set's pairs with one other component the `each` with the greatest bounds. A tile is cut into chunks of
-    about `chunk` sets and each pair of chunks is a task's group, so none holds a whole large tile; the pairs
-    tried that start at a set come along with it.
+    A tile of about `chunk` sets is one group. In a larger one the sets of the largest component make chunks of
+    their own, which meet the others' chunks and not each other, so a tile that is nearly one component costs
+    rows in proportion to it, and no group holds a whole large tile.
     """
-    sizes = members.groupBy("tile").agg(F.count("*").alias("_n"))
-    dealt = members.join(sizes, "tile").withColumn("_chunks", F.ceil(F.col("_n") / chunk).cast("int")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int"))
-    placed = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("tile", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "component")
-    full = placed.join(maps.select("id", "size", "coarse"), "id")
-
-    def compare(key, table):
-        own, ids, comp, size = (table[c].to_numpy() for c in ("_own", "id", "component", "size"))
-        maps = folded([np.frombuffer(m, np.uint64) for m in table["coarse"].to_pylist()])
-        i, j = key[1].as_py(), key[2].as_py()
-        rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b, c, d = [], [], [], []
-        for r in rows:
-            near = cols[comp[cols] != comp[r]]
-            if i == j:
-                near = near[ids[near] > ids[r]]
-            if not len(near):
-                continue
+    parts = members.groupBy("tile", "component").agg(F.count("*").alias("_c"), F.max(chunk).alias("_chunk"))
+    parts = parts.groupBy("tile").agg(F.max(F.struct("_c", "component")).alias("_top"), F.sum("_c").alias("_n"), F.max("_chunk").alias("_chunk")).where(F.col("_top._c") < F.col("_n"))
+    several, chunks = F.col("_n") > F.col("_chunk"), lambda n: F.ceil(n / F.col("_chunk")).cast("int")
+    parts = parts.select("tile", F.col("_top.component").alias("_top"), F.when(several, chunks(F.col("_top._c"))).otherwise(F.lit(0)).alias("_most"), F.when(several, chunks(F.col("_n") - F.col("_top._c"))).otherwise(F.lit(1)).alias("_rest"))
+    dealt = members.join(parts, "tile")
+    large = (F.col("component") == F.col("_top")) & (F.col("_most") > 0)
+    draw = F.xxhash64("id")
+    own = F.when(large, F.pmod(draw, F.greatest("_most", F.lit(1)))).otherwise(F.col("_most") + F.pmod(draw, "_rest")).cast("int")
+    other = F.explode(F.sequence(F.when(large, F.col("_most")).otherwise(F.lit(0)), F.col("_most") + F.col("_rest") - 1))
+    placed = dealt.select("tile", "id", "component", own.alias("_own"), other.alias("_other"))
+    return placed.select("tile", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "component")
+
+
+def _near(key, table: pa.Table, maps: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and columns of the pairs of a group that bitmaps let pass, and the similarity that these allow, likeliest first."""
+    own, comp, size = (table[c].to_numpy() for c in ("_own", "component", "size"))
+    i, j = key[1].as_py(), key[2].as_py()
+    rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    found = []
+    for r in rows:
+        near = cols[comp[cols] != comp[r]]
+        if i == j:
+            near = near[near > r]
+        if len(near):
             bound = overlap_bounds(maps[r], int(size[r]), maps[near], size[near])
             ok = similar(bound, size[r], size[near], percent)
             near, bound = near[ok], bound[ok]
-            a += np.minimum(ids[near], ids[r]).tolist()
-            b += np.maximum(ids[near], ids[r]).tolist()
-            c += bound.tolist()
-            d += [(int(comp[r]), int(x)) for x in comp[near]]
-        if not a:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        a, b, c, d = np.array(a), np.array(b), np.array(c), np.sort(np.array(d), axis=1)
-        order = np.lexsort((b, a, -c, d[:, 1], d[:, 0]))
-        a, b, d = a[order], b[order], d[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (d[1:] != d[:-1]).any(axis=1)
-        at = np.arange(len(a))
-        rank = at - np.maximum.accumulate(np.where(new, at, 0))
-        return pa.table({"a": a[rank < each], "b": b[rank < each]})
-
-    return full.groupBy("tile", "_i", "_j").applyInArrow(compare, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+            found.append((np.full(len(near), r), near, bound / (size[r] + size[near] - bound)))
+    a, b, q = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    order = np.argsort(-q, kind="stable")
+    return a[order], b[order], q[order]
 
 
-def linked_components(docs: DataFrame, n: int = 4, percent: int = 85, most_broadcast: int = 4_000_000, chunk: int = 512) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the least doc_id that links lead to.
+def _joining(a: np.ndarray, b: np.ndarray, labels: np.ndarray, test=lambda x, y: True) -> list[tuple[int, int]]:
+    """Of the pairs, in their order, those that join two components of labels and pass the test: fewer than there are labels."""
+    root: dict[int, int] = {}
 
-    Sets are of hashed n-grams of words (64 bits), lower-cased in A-Z; a text with fewer words is one n-gram;
-    one without words, or null, links with nothing. Two documents link when 100 * overlap >= percent * union.
-    Equal sets are one set from the start. In every tile each set is checked against the least one; then
-    components that still share a tile are compared, first by the few pairs of theirs that bitmaps find
-    likeliest, at last by all that bitmaps let pass. So a large group of near copies costs rows in proportion
-    to it, and yet no link between components is missed. Repeated rows
-    give repeated results; a null doc_id is linked like others but names no component (null if it has only
-    such rows); other columns are ignored.
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(int(labels[x])), find(int(labels[y]))
+        if p != q and test(x, y):
+            root[p] = q
+            kept.append((x, y))
+    return kept
+
+
+def _likeliest(members: DataFrame, maps: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components, of each group a spanning forest of those that bitmaps let pass.
+
+    The likeliest come first, so where bitmaps order pairs rightly, the forest's pairs that link join all that
+    links can join. A group gives fewer pairs than it has sets.
     """
+
+    def compare(key, table):
+        ids = table["id"].to_numpy()
+        a, b, _ = _near(key, table, folded([np.frombuffer(m, np.uint64) for m in table["coarse"].to_pylist()]), percent)
+        pairs = [sorted((int(ids[x]), int(ids[y]))) for x, y in _joining(a, b, table["component"].to_numpy())]
+        return pa.table({"a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64())})
+
+    full = _placed(members, F.lit(chunk)).join(maps.select("id", "size", "coarse"), "id")
+    return full.groupBy("tile", "_i", "_j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _open(members: DataFrame, maps: DataFrame, column: str, percent: int, chunk: int) -> DataFrame:
+    """The members (tile, id, component) that the bitmaps of this column let pass with a set of another component."""
+
+    def compare(key, table):
+        a, b, _ = _near(key, table, folded([np.frombuffer(m, np.uint64) for m in table[column].to_pylist()]), percent)
+        return table.select(["tile", "id", "component"]).take(pa.array(np.unique(np.concatenate([a, b])), pa.int64()))
+
+    full = _placed(members, F.lit(chunk)).join(maps.select("id", "size", column), "id")
+    return full.groupBy("tile", "_i", "_j").applyInArrow(compare, "tile long, id long, component long").distinct()
+
+
+def _joins(members: DataFrame, fetch: _Fetch, percent: int, chunk: int) -> DataFrame:
+    """Links (a, b) that join components of members (tile, id, component, size), by exact intersection in each group.
+
+    A pair of which a link within the group has already joined the components isn't intersected. Groups hold about
+    MOST_HASHES hashes at most.
+    """
+
+    def compare(key, table):
+        ids, hashes = table["id"].to_numpy(), [np.frombuffer(h, np.uint64) for h in table["content"].to_pylist()]
+        linked = lambda x, y: bool(similar(len(np.intersect1d(hashes[x], hashes[y], assume_unique=True)), len(hashes[x]), len(hashes[y]), percent))
+        a, b, _ = _near(key, table, folded([bitmap(h) for h in hashes]), percent)
+        pairs = [(int(ids[x]), int(ids[y])) for x, y in _joining(a, b, table["component"].to_numpy(), linked)]
+        return pa.table({"a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64())})
+
+    each = members.groupBy("tile").agg(F.least(F.lit(chunk), F.greatest(F.lit(1), F.floor(F.lit(MOST_HASHES) / F.max("size")))).alias("_each"))
+    placed = _placed(members.join(each, "tile").select("tile", "id", "component", "_each"), F.col("_each"))
+    full = placed.join(fetch(members, True).select("id", "size", "content"), "id")
+    return full.groupBy("tile", "_i", "_j").applyInArrow(compare, "a long, b long")
+
+
+def _labelled(members: DataFrame, component: DataFrame) -> DataFrame:
+    """The members of tiles that hold sets of more than one component, with their components."""
+    rows = members.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.groupBy("tile").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p <> _q").select("tile")
+    return settle(rows.join(mixed, "tile"))
+
+
+def looked_up(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """rows, left-joined to names, which has each key once; a key may hold any share of the rows, and null finds nothing.
+
+    Keys of more than a ten-thousandth of the rows (and more than 1000), so fewer than 10,000 of them, are
+    broadcast with their names; no other makes a large group.
+    """
+    most = max(1000, rows.count() // 10_000)
+    frequent = cut(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key).join(names, key, "left"))
+    often = rows.join(F.broadcast(frequent), key)
+    seldom = rows.where(F.col(key).isNotNull()).join(F.broadcast(frequent.select(key)), key, "left_anti").join(names, key, "left")
+    none = rows.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in names.schema if f.name != key))
+    return often.unionByName(seldom).unionByName(none)
+
+
+def _components(docs: DataFrame, n: int, percent: int, most_broadcast: int, chunk: int) -> DataFrame:
+    """(doc_id, text_hash, size, id, first) a row: first is (no id, doc_id, text_hash) of the first row of its component."""
     spark = docs.sparkSession
-    groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = cut(sets(docs, n))
-    fetch = _Fetch(docs, own, n, most_broadcast)
+    held = own.agg(F.sum("size")).first()[0] or 0
+    # keys are about a third as many as hashes, 16 bytes each: 64 MB of them a group
+    groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), held * 16 // 3 // (64 << 20))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    each = cut(own.where("id IS NOT NULL").groupBy("id").agg(first))
+    fetch = _Fetch(docs, each, n, most_broadcast)
     every = settle(tiles(docs, n, percent, groups).distinct())
     # sets that agree in one part often agree in more: of tiles with the same sets one is enough
     marks = every.groupBy("tile").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_s"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("_x"), F.min("id").alias("a"))
@@ -337,39 +416,55 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85, most_broad
     links = settle(_linked(settle(_bounded(pairs, maps, percent)), fetch, percent))
     component = settle(connected_components(links))
     # tiles of two sets are done; in larger ones sets of different components are still to be compared
-    larger = tile.where("_n > 2").select("tile", "id")
-    for each in (8, 2**62):  # the likeliest pairs join most components, so few are left for the last, whole round
-        labelled = larger.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = labelled.groupBy("tile").agg(F.min("component").alias("_p"), F.max("component").alias("_q")).where("_p <> _q").select("tile")
-        still = settle(labelled.join(mixed, "tile").select("tile", "id", "component"))
-        more = settle(_across(still, maps, pairs, percent, each, chunk))
-        larger = still.select("tile", "id")
-        near = settle(_bounded(more, maps, percent))
-        pairs = pairs.unionByName(more)
-        if near.isEmpty():
-            continue
-        extra = settle(_linked(near, fetch, percent))
-        if not extra.isEmpty():
-            links = links.unionByName(extra)
-            component = settle(connected_components(links))
-    joined = own.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("_class", F.coalesce("component", "id"))
-    names = joined.where("_class IS NOT NULL").groupBy("_class").agg(F.min("doc_id").alias("_least"))
-    return joined.join(names, "_class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+    still = _labelled(tile.where("_n > 2").select("tile", "id"), component)
+    likely = settle(_likeliest(still, maps, percent, chunk).join(pairs, ["a", "b"], "left_anti"))
+    extra = settle(_linked(settle(_bounded(likely, maps, percent)), fetch, percent))
+    if not extra.isEmpty():
+        links = links.unionByName(extra)
+        component = settle(connected_components(links))
+        still = _labelled(still.select("tile", "id"), component)
+    for column in ("coarse", "content"):  # few are left for the wider bitmaps
+        still = settle(_open(still, maps, column, percent, chunk))
+    extra = settle(_joins(still.join(maps.select("id", "size"), "id"), fetch, percent, chunk))
+    if not extra.isEmpty():
+        component = settle(connected_components(links.unionByName(extra)))
+    each = cut(each.join(component.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("component", "id").alias("_class")))
+    named = looked_up(each.select("id", "_class"), "_class", each.groupBy("_class").agg(F.min("first").alias("first")))
+    return looked_up(own, "id", cut(named.select("id", "first")))
+
+
+def linked_components(docs: DataFrame, n: int = 4, percent: int = 85, most_broadcast: int = 4_000_000, chunk: int = 512) -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id, the least doc_id that links lead to.
+
+    Sets are of hashed n-grams of words (64 bits), lower-cased in A-Z; a text with fewer words is one n-gram;
+    one without words, or null, links with nothing. Two documents link when 100 * overlap >= percent * union.
+    Equal sets are one set from the start. In every tile each set is checked against the least one. In tiles that
+    still hold several components bitmaps choose the likeliest pairs, a spanning forest of a group, to be
+    intersected; the sets that bitmaps still let pass with another component are then intersected exactly within
+    their tile, as far as no link has joined them. No step gives more rows than its groups have sets, and no
+    link between components is missed. Repeated rows
+    give repeated results; a null doc_id is linked like others but names no component (null if it has only
+    such rows); other columns are ignored.
+    """
+    found = _components(docs, n, percent, most_broadcast, chunk)
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, n: int = 4, percent: int = 85, most_broadcast: int = 4_000_000) -> DataFrame:
-    """The documents, with all their columns, that name their component; of repeated rows of one, one.
+def keep_first(docs: DataFrame, n: int = 4, percent: int = 85, most_broadcast: int = 4_000_000, chunk: int = 512) -> DataFrame:
+    """The documents, with all their columns, that come first in their component: by least doc_id, null last.
 
-    Rows without doc_id stay if nothing with an id is in their component.
+    Rows that share a doc_id, or have none, are told apart by their texts: of rows with one doc_id (or none) and
+    one text, one stays, and rows without doc_id stay only where nothing with an id is in their component. Texts
+    without words link with nothing and all stay.
     """
-    found = linked_components(docs, n, percent, most_broadcast)
-    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")))
-    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_own"))
-    small = first.count() <= most_broadcast  # 16 bytes a row; beyond that Spark shuffles
-    kept = packed.join(F.broadcast(first) if small else first, F.col("_own").eqNullSafe(F.col("_keep")))
-    single = kept.where((F.col("_rows") == 1) | F.col("_keep").isNull())
-    repeated = kept.where((F.col("_rows") > 1) & F.col("_keep").isNotNull()).dropDuplicates(["_own"])
-    return single.unionByName(repeated).select("_doc.*")
+    found = _components(docs, n, percent, most_broadcast, chunk)
+    first = found.where(F.col("id").isNull() | F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").eqNullSafe(F.col("first")))
+    first = cut(first.groupBy(F.col("doc_id").alias("_keep"), F.col("text_hash").alias("_hash")).agg(F.max(F.when(F.col("id").isNotNull(), F.lit(1)).otherwise(F.lit(0))).alias("_linked"), F.count("*").alias("_rows")))
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    small = first.count() <= most_broadcast  # 32 bytes a row; beyond that Spark shuffles
+    kept = packed.join(F.broadcast(first) if small else first, F.col("_own").eqNullSafe(F.col("_keep")) & (F.col("_text") == F.col("_hash")))
+    repeated = (F.col("_rows") > 1) & (F.col("_linked") == 1)
+    return kept.where(~repeated).unionByName(kept.where(repeated).dropDuplicates(["_own", "_text"])).select("_doc.*")
 
 
 def oracle() -> str:
