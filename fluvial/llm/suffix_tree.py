@@ -1,17 +1,18 @@
-"""LM scoring: a probabilistic suffix tree over words, with contexts of up to two words."""
+"""LM scoring: a probabilistic suffix tree over words, with contexts of up to `depth` words."""
 
 from __future__ import annotations
 
 import gc
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvial.llm.common import crc_bucket, ensure_checkpoint_dir
@@ -19,12 +20,14 @@ from fluvial.llm.tokens import chunks_of, runs_of
 
 #: The end of a text as a token: a hash of what no word is.
 END = xxhash.xxh64_intdigest("\n") - 2**63
-#: Bytes of text that a task counts or scores at a time.
-COUNT_BYTES, RUN_BYTES = 8 << 20, 3 << 20
+#: Bytes of text that a task encodes, counts or scores at a time.
+RUN_BYTES = 4 << 20
+#: Tokens whose counts meet in one group, about.
+GROUP_TOKENS = 2_000_000
 #: Bits of the filter of the model's keys, at most; more keys than that only let more rows through to the join.
 MOST_BITS = 1 << 29
-#: So many of the most frequent words, pairs and triples, at most, are summed in the tasks, without the join.
-NEAR = 3_000_000
+#: So many of the model's most frequent entries, at most, are summed in the tasks, without the join.
+NEAR = 1_000_000
 
 
 def _stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,40 +53,42 @@ def _hash(values: np.ndarray, seed) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _grams(texts: pa.Array):
-    """Hash of each token; of it after the word before; places with two words before, hash of those two, and hash of all three.
+def _key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Key of an entry: Spark's xxhash64 of the keys of its context and of the entry without its first word."""
+    return _hash(suffix, _hash(context, 42))
 
-    A text begins after an end, before which nothing is. A hash of more words is xxhash64(context, word).
+
+def _levels(hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For contexts of 1 to depth words: places that have one, keys of these contexts, of what is a word shorter, of all.
+
+    A text begins after an end, before which nothing is. The key of one word is its hash.
     """
-    hashes, codes, sizes = _stream(texts)
-    word, first = hashes[codes], np.cumsum(sizes) - sizes
-    seed = _hash(hashes, 42)
-    before = np.concatenate([seed[-1:], seed[codes[:-1]]])[: len(codes)]
-    before[first] = seed[-1]
-    pair = _hash(word, before)
-    there = np.ones(len(word), bool)
-    there[first] = False
-    at = np.flatnonzero(there)
-    return hashes, codes, sizes, word, pair, at, pair[at - 1], _hash(word[at], _hash(pair[at - 1], 42))
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    suffix = hashes[codes]
+    for length in range(1, depth + 1):
+        at = np.flatnonzero(place >= length - 1)
+        context = np.where(place[at] > 0, suffix[at - 1], END) if length == 1 else suffix[at - 1]
+        key = np.zeros(len(codes), np.int64)
+        key[at] = _key(context, suffix[at])
+        yield at, context, suffix[at], key[at]
+        suffix = key
 
 
 @dataclass
 class Model:
-    """The states kept, as tables that grow with the corpus.
+    """The states kept, as a table that grows with the corpus.
 
     A state's distribution: the symbols told (with their own smoothed probability), and for the others the
-    parent's scaled by `back` so that all sum to 1. The parent of a context is the context without its first
-    word; the root is the base distribution. So log10 of a token's probability is that of its word, plus what
-    its context of one word adds, plus what the one of two adds; `values` holds these by hash of the words,
-    a context's scale at the context, which has as many tokens after it as it has places.
+    parent's scaled so that all sum to 1. The parent of a context is the context without its first word; the
+    root is the base distribution. So log10 of a token's probability is `root` of its word, and for contexts of
+    1, 2, ... words before it `back` of the context (its scale, if it is a state) and `more` of the context and
+    the word (what being told adds). A context has as many tokens after it as it has places.
     """
 
     tokens: int
     vocabulary: int
-    words: DataFrame  # key, n, log (of the base distribution), back
-    pairs: DataFrame  # c, s, n, told, log: all seen twice or more; log of s after c, told or not
-    triples: DataFrame  # c, s, n, log, back: told ones of contexts kept
-    values: DataFrame  # key, n, word, root, value
+    depth: int
+    values: DataFrame  # key, n, word, root, more, back
 
     def base(self, n):
         return math.log10((n + 1) / (self.tokens + self.vocabulary + 1))
@@ -96,157 +101,191 @@ def _swept(spark: SparkSession) -> None:
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """df from the shared folder, computed once."""
+    """df from the shared folder, computed once; rows hold up to some MB, so few of them are read at a time."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/suffix-tree-{uuid.uuid4()}"
     _swept(spark)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _dropped(*saved: DataFrame) -> None:
     """Takes saved tables that nothing reads any more from the shared folder."""
     for df in saved:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0])
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
+        files = df.inputFiles()
+        if files:
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
-def _counted(docs: DataFrame, count) -> DataFrame:
-    """(c, s, n) summed over all texts; count(texts) gives a run's contexts, words and how often each two are there."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b in runs_of(batch.column(0), COUNT_BYTES):
-                c, s, n = count(batch.column(0).slice(a, b - a))
-                for k in range(0, len(s), 1 << 16):
-                    x = slice(k, k + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(s[x]), pa.array(n[x].astype(np.int64))], names=["c", "s", "n"])
 
-    # dealt out before any is summed: most entries of a run are in no other, so tasks would only fill their memory and spill
-    return docs.select("text").mapInArrow(run, "c long, s long, n long").repartition("c", "s").groupBy("c", "s").agg(F.sum("n").alias("n"))
+RUNS = "row array<long>, doc_id array<long>, train array<boolean>, sizes array<int>, codes binary, hashes binary"
 
 
-def _counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Words (s, n), and words after one word c, and after two of hash c, from `least` on.
+def _encoded(docs: DataFrame) -> DataFrame:
+    """Runs of about RUN_BYTES of the texts of docs (doc_id, train, text) as token numbers and their words' hashes, saved."""
 
-    What is so frequent holds only shorter ones as frequent, so a filter of these, of bounded size, keeps most others
-    from being dealt out; what it lets through is counted all the same.
+    def run(batches):
+        for batch in batches:
+            for a, b in runs_of(batch.column(3), RUN_BYTES):
+                hashes, codes, sizes = _stream(batch.column(3).slice(a, b - a))
+                # the most frequent first, and bytes of one weight side by side: both compress well
+                often = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")
+                rank = np.empty(len(often), "<i4")
+                rank[often] = np.arange(len(often))
+                hashes, packed = hashes[often], rank[codes].view(np.uint8).reshape(-1, 4).T.tobytes()
+                whole = pa.array([0, b - a], pa.int32())
+                lists = [pa.ListArray.from_arrays(whole, pa.concat_arrays([c])) for c in (*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(sizes, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([packed], pa.binary()), pa.array([hashes.tobytes()], pa.binary())], names=["row", "doc_id", "train", "sizes", "codes", "hashes"])
+
+    return _saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "train", "text").mapInArrow(run, RUNS))
+
+
+def _read(batches) -> Iterator[tuple]:
+    """hashes, codes, sizes, and whether each document is learnt from, its row and its doc_id (Arrow) of each run."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row, doc, train, sizes, codes, hashes = (batch.column(k)[i] for k in range(6))
+            yield np.frombuffer(hashes.as_buffer(), np.int64), np.frombuffer(codes.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<i4")[:, 0], sizes.values.to_numpy().astype(np.int64), train.values.to_numpy(zero_copy_only=False), row.values.to_numpy(), doc.values
+
+
+def _counted(runs: DataFrame, length: int, least: int, tokens: int = 0, bits=None, frequent=None) -> DataFrame:
+    """(c, s, n): how often a context c of `length` words and the word that ends s come together, from `least` on; saved.
+
+    Without contexts c is 0. What is so frequent holds only shorter ones as frequent, so a filter of these (bits) keeps
+    most others from being dealt out. Each run sends packed arrays to groups by context; frequent contexts
+    are dealt out by entry, so no group holds more than its share.
     """
-    send = docs.sparkSession.sparkContext.broadcast
-
-    def words(texts):
-        hashes, codes, _ = _stream(texts)
-        n = np.bincount(codes, minlength=len(hashes))
-        return np.zeros(np.count_nonzero(n), np.int64), hashes[n > 0], n[n > 0]
+    groups = max(64, tokens // GROUP_TOKENS)
 
-    one = _saved(_counted(docs, words).select("s", "n"))
-    bits = send(_filter(one.where(F.col("n") >= least).select(F.col("s").alias("key"))))
-
-    def pairs(texts):
-        hashes, codes, _, word, pair, at, _, _ = _grams(texts)
-        there = _maybe(bits.value, hashes)
-        before = np.full(len(word), len(hashes) - 1)
-        before[at] = codes[at - 1]
-        use = np.flatnonzero(there[codes] & there[before])
-        _, i, n = np.unique(pair[use], return_index=True, return_counts=True)
-        return hashes[before[use[i]]], word[use[i]], n
-
-    two = _saved(_counted(docs, pairs).where(F.col("n") >= least))
-    bits2 = send(_filter(two.select(F.xxhash64("c", "s").alias("key"))))
-
-    def triples(texts):
-        _, _, _, word, pair, at, context, triple = _grams(texts)
-        there = _maybe(bits2.value, pair)
-        use = np.flatnonzero(there[at] & there[at - 1])
-        _, i, n = np.unique(triple[use], return_index=True, return_counts=True)
-        return context[use[i]], word[at[use[i]]], n
-
-    return one, two, _saved(_counted(docs, triples).where(F.col("n") >= least))
-
-
-def _told(entries: DataFrame, tokens: int, kappa: float) -> DataFrame:
-    """Entries (c, s, n, total, parent, as log10) that tell enough, with p and gain.
-
-    An entry is told if n * |ln(p / parent)| is more than what it costs to write, half the logarithm of the
-    number of tokens.
-    """
-    parent = F.pow(F.lit(10.0), F.col("parent"))
-    rows = entries.withColumn("p", (F.col("n") + kappa * parent) / (F.col("total") + kappa))
-    rows = rows.withColumn("gain", F.col("n") * (F.ln("p") - F.col("parent") * math.log(10)))
-    return rows.where(F.abs("gain") > 0.5 * math.log(max(2, tokens)))
-
-
-def _kept(told: DataFrame, tokens: int) -> DataFrame:
-    """Contexts (c, total, back) of told entries that pass the divergence test, with log10 of their scale.
-
-    A context is kept if what its entries gain on the training text, less what they cost, and what the symbols
-    not told lose or gain by the scale, is positive.
+    def run(batches):
+        for hashes, codes, sizes, train, _, _ in _read(batches):
+            codes, sizes = codes[np.repeat(train, sizes)], sizes[train]
+            if length:
+                *_, (_, c, s, key) = _levels(hashes, codes, sizes, length)
+                use = np.flatnonzero(_maybe(bits.value, c) & _maybe(bits.value, s))
+                key, i, n = np.unique(key[use], return_index=True, return_counts=True)
+                c, s = c[use[i]], s[use[i]]
+                by = np.where(_find(frequent.value, c) >= 0, key, _hash(c, 7))
+            else:
+                n = np.bincount(codes, minlength=len(hashes))
+                s, n = hashes[n > 0], n[n > 0]
+                c, by = np.zeros(len(s), np.int64), s
+            group = (by.view(np.uint64) % np.uint64(groups)).astype(np.int64)
+            order = np.lexsort((c, group))
+            c, s, n, group = c[order], s[order], n[order], group[order]
+            n = n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32)
+            cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+            out = [(int(group[a]), c[a:b].tobytes(), s[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "c", "s", "n"])
+
+    def gather(_, table):
+        c, s, n = (table[x].to_pylist() for x in ("c", "s", "n"))
+        n = np.concatenate([np.frombuffer(x, np.uint8 if len(x) * 8 == len(y) else np.uint32) for x, y in zip(n, s)])
+        c, s = (np.concatenate([np.frombuffer(x, np.int64) for x in y]) for y in (c, s))
+        key = _key(c, s)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.diff(key[order].view(np.uint64), prepend=~key[order[:1]].view(np.uint64)))
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        at, n = order[first][n >= least], n[n >= least]
+        order = np.lexsort((s[at], c[at]))
+        return pa.table({"c": c[at][order], "s": s[at][order], "n": n[order]})
+
+    packed = runs.mapInArrow(run, "part long, c binary, s binary, n binary")
+    return _saved(packed.groupBy("part").applyInArrow(gather, "c long, s long, n long"))
+
+
+def _tested(near: DataFrame, tokens: int, kappa: float) -> DataFrame:
+    """near (c, s, n, parent, total) with log, more and, in one row a context, back.
+
+    An entry is told if n * |ln(p / parent)| is more than what it costs to write, half the logarithm of the number of
+    tokens. A context is a state if what its entries gain on the training text, less what they cost, and what the
+    symbols not told lose or gain by the scale, is positive. A context's entries meet in one task, at most one
+    for each different word after it; Spark sorts them on disk where they are many.
     """
     cost = 0.5 * math.log(max(2, tokens))
-    by = told.groupBy("c").agg(F.max("total").alias("total"), F.sum(F.col("gain") - cost).alias("worth"), F.sum("p").alias("p"), F.sum(F.pow(F.lit(10.0), F.col("parent"))).alias("q"), F.sum("n").alias("n")).where("p < 1 AND q < 1")
-    by = by.withColumn("scale", F.greatest(F.lit(1e-12), (1 - F.col("p")) / F.greatest(F.lit(1e-12), 1 - F.col("q"))))
-    return by.where(F.col("worth") + (F.col("total") - F.col("n")) * F.ln("scale") > 0).select("c", "total", F.log10("scale").alias("back"))
-
-
-def states(docs: DataFrame, least: int = 2, kappa: float = 4.0) -> Model:
-    """The model of the text column of docs: Spark counts, tests and keeps; no part of it comes to the driver.
-
-    Every word is counted. Entries of both lengths count from `least` occurrences on, and a context of two words
-    so often seen can be a state; beyond that the divergence test alone decides.
+    by = Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parent = F.pow(F.lit(10.0), F.col("parent"))
+    rows = near.withColumn("p", (F.col("n") + kappa * parent) / (F.col("total") + kappa)).withColumn("gain", F.col("n") * (F.ln("p") - F.col("parent") * math.log(10)))
+    rows = rows.withColumn("told", F.abs("gain") > cost)
+    over = lambda x: F.coalesce(F.sum(F.when(F.col("told"), x)).over(by), F.lit(0.0))
+    rows = rows.select("*", over(F.col("gain") - cost).alias("worth"), over(F.col("p")).alias("ps"), over(parent).alias("qs"), over(F.col("n").cast("double")).alias("ns"), (F.row_number().over(Window.partitionBy("c").orderBy("s")) == 1).alias("first"))
+    rows = rows.withColumn("scale", F.greatest(F.lit(1e-12), (1 - F.col("ps")) / F.greatest(F.lit(1e-12), 1 - F.col("qs"))))
+    state = (F.col("ps") > 0) & (F.col("ps") < 1) & (F.col("qs") < 1) & (F.col("worth") + (F.col("total") - F.col("ns")) * F.ln("scale") > 0)
+    rows = rows.withColumn("back", F.when(state, F.log10("scale"))).withColumn("own", F.when(state & F.col("told"), F.log10("p")))
+    log = F.coalesce("own", F.col("parent") + F.coalesce("back", F.lit(0.0)))
+    return rows.select("c", "s", "n", "total", log.alias("log"), (F.col("own") - F.col("parent") - F.col("back")).alias("more"), F.when(F.col("first"), F.col("back")).alias("back"))
+
+
+def states(runs: DataFrame, depth: int = 3, least: int = 3, kappa: float = 4.0) -> Model:
+    """The model of the documents of runs that are learnt from: Spark counts, tests and keeps; no part comes to the driver.
+
+    Every word is counted. Longer entries count from `least` occurrences on, with contexts of up to depth words, as long
+    as a shorter one makes any state; beyond that the divergence test alone decides.
     """
-    one, two, three = _counts(docs, least)
+    send = runs.sparkSession.sparkContext.broadcast
+    one = _counted(runs, 0, 1)
     whole = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, vocabulary = int(whole["n"]), int(whole["v"])
-    log = F.log10((F.col("n") + 1) / F.lit(float(tokens + vocabulary + 1)))
-    words = one.select(F.col("s").alias("key"), "n", log.alias("log"))
-    near = two.join(words.select(F.col("key").alias("c"), F.col("n").alias("total")), "c").join(words.select(F.col("key").alias("s"), F.col("log").alias("parent")), "s")
-    near = _saved(near.select("c", "s", "n", "total", "parent"))
-    _dropped(two)
-    told = _saved(_told(near, tokens, kappa))
-    back = _saved(_kept(told, tokens).select("c", "back"))
-    own = _saved(told.join(back, "c").select("c", "s", "n", F.log10("p").alias("own"), (F.log10("p") - F.col("parent") - F.col("back")).alias("more")))
-    level = near.join(back, "c", "left").join(own.select("c", "s", "own"), ["c", "s"], "left")
-    pairs = _saved(level.select("c", "s", "n", F.col("own").isNotNull().alias("told"), F.coalesce("own", F.col("parent") + F.coalesce("back", F.lit(0.0))).alias("log")))
-    _dropped(near, told)
-    triples = three.join(pairs.select(F.xxhash64("c", "s").alias("c"), F.col("s").alias("last"), F.col("n").alias("total")), "c")
-    triples = triples.withColumn("key", F.xxhash64("last", "s")).join(pairs.select(F.xxhash64("c", "s").alias("key"), F.col("log").alias("parent")), "key").drop("key")
-    told = _saved(_told(triples, tokens, kappa))
-    _dropped(three)
-    back2 = _saved(_kept(told, tokens))
-    triples = _saved(told.join(back2.select("c", "back"), "c").select("c", "s", "n", F.log10("p").alias("log"), "back", (F.log10("p") - F.col("parent") - F.col("back")).alias("more")))
-    words = words.join(back.withColumnRenamed("c", "key"), "key", "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
-    longer = own.select(F.xxhash64("c", "s").alias("key"), "n", F.col("more").alias("value")).unionByName(back2.select(F.col("c").alias("key"), F.col("total").alias("n"), F.col("back").alias("value")))
-    longer = longer.unionByName(triples.select(F.xxhash64("c", "s").alias("key"), "n", F.col("more").alias("value"))).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
-    values = words.select("key", "n", F.lit(True).alias("word"), F.col("log").alias("root"), (F.col("log") + F.col("back")).alias("value")).unionByName(longer.select("key", "n", F.lit(False).alias("word"), F.lit(0.0).alias("root"), "value"))
-    values = _saved(values)
-    _dropped(told, back2, own)
-    return Model(tokens, vocabulary, words, pairs, triples, values)
+    level = one.select(F.col("s").alias("key"), "n", F.log10((F.col("n") + 1) / F.lit(float(tokens + vocabulary + 1))).alias("log"))
+    none, values, held = F.lit(0.0), [], [one]
+    words = level.select("key", "n", F.lit(True).alias("word"), F.col("log").alias("root"), none.alias("more"), none.alias("back"))
+    for length in range(1, depth + 1):
+        bits = send(_filter(level.where(F.col("n") >= least).select("key")))
+        # a word of which each thousandth token is one, or a longer context as frequent: 1000 at most
+        frequent = send(np.sort(level.where(F.col("n") > tokens // 1000).select("key").toArrow()["key"].to_numpy()))
+        found = _counted(runs, length, least, tokens, bits, frequent)
+        near = _saved(found.join(level.select(F.col("key").alias("s"), F.col("log").alias("parent")), "s"))
+        _dropped(found)
+        tested = _saved(_tested(near.join(level.select(F.col("key").alias("c"), F.col("n").alias("total")), "c"), tokens, kappa).select(F.xxhash64("c", "s").alias("key"), "n", "log", "more", "c", "total", "back"))
+        _dropped(near, *held[1:])
+        told = tested.where("more IS NOT NULL").select("key", "n", F.lit(False).alias("word"), none.alias("root"), "more", none.alias("back"))
+        scales = tested.where("back IS NOT NULL").select(F.col("c").alias("key"), F.col("total").alias("n"), F.lit(False).alias("word"), none.alias("root"), none.alias("more"), "back")
+        values.append(_saved(told.unionByName(scales)))
+        held, level = [one, tested], tested.select("key", "n", "log")
+        bits.destroy()
+        if values[-1].isEmpty():
+            break
+    every = words
+    for x in values:
+        every = every.unionByName(x)
+    model = _saved(every.groupBy("key").agg(F.max("n").alias("n"), F.max("word").alias("word"), *(F.sum(x).alias(x) for x in ("root", "more", "back"))))
+    _dropped(*values, *held)
+    return Model(tokens, vocabulary, depth, model)
 
 
 @dataclass
 class SuffixTree:
-    """A model in arrays, sorted by key, to look into one of a small corpus."""
-
-    tokens: int
-    vocabulary: int
-    words: np.ndarray  # hashes
-    counts: np.ndarray
-    back1: np.ndarray  # by word: log10 scale of the state of that word, 0 if there is none
-    pair_key: np.ndarray  # word * size + next
-    pair_log: np.ndarray
-    state_key: np.ndarray  # states of two words: first * size + second
-    back2: np.ndarray
-    triple_key: np.ndarray  # state * size + next
-    triple_log: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return max(1, len(self.words))
-
-    def base(self, counts) -> np.ndarray:
-        return np.log10((counts + 1) / (self.tokens + self.vocabulary + 1))
+    """A small corpus's model in memory: key -> (is a word, root, more, back)."""
+
+    model: Model
+    entries: dict[int, tuple[bool, float, float, float]]
+
+    def log10(self, before: list[str], word: str | None) -> float:
+        """log10 of the probability of a word, None for the end, after the words before it in its text."""
+        hashed = lambda w: END if w is None else xxhash.xxh64_intdigest(w) - 2**63
+        none = (False, 0.0, 0.0, 0.0)
+        token = hashed(word)
+        known, total, _, _ = self.entries.get(token, none)
+        total = total if known else self.model.base(0)
+        text = np.array([hashed(w) for w in (None, *before)], np.int64)
+        keys, last = text, np.array([token], np.int64)  # of the entries that end at each place, and of the one that ends at the word
+        for length in range(1, self.model.depth + 1):
+            if len(keys) == 0 or length > len(before) + 1 or (length > 1 and length > len(before)):
+                break
+            context = keys[-1:]
+            last = _key(context, last)
+            total += self.entries.get(int(context[0]), none)[3] + self.entries.get(int(last[0]), none)[2]
+            keys = _key(keys[:-1], keys[1:])
+        return total
+
+
+def learn(docs: DataFrame, **options) -> SuffixTree:
+    """The whole model of all texts on the driver, so for small corpora only."""
+    model = states(_encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("train"), F.col("text").cast("string").alias("text"))), **options)
+    return SuffixTree(model, {r.key: (r.word, r.root, r.more, r.back) for r in model.values.collect()})
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -257,23 +296,6 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def learn(docs: DataFrame, **options) -> tuple[SuffixTree, DataFrame]:
-    """The whole model on the driver, so for small corpora only, and the table (key, n) of all words' counts."""
-    model = states(docs, **options)
-    got = lambda df, *names: [df.select(*names).toArrow()[n].to_numpy() for n in names]
-    key, n, back = got(model.words.orderBy("key"), "key", "n", "back")
-    place, size = lambda x: _find(key, x), max(1, len(key))
-    c, s, log = got(model.pairs.where("told"), "c", "s", "log")
-    pair = place(c) * size + place(s)
-    order = np.argsort(pair)
-    context = model.pairs.select(F.xxhash64("c", "s").alias("c"), F.col("c").alias("a"), F.col("s").alias("b"))
-    a, b, t, log2, scale = got(model.triples.join(context, "c"), "a", "b", "s", "log", "back")
-    state, first = np.unique(place(a) * size + place(b), return_index=True)
-    triple = _find(state, place(a) * size + place(b)) * size + place(t)
-    order2 = np.argsort(triple)
-    return SuffixTree(model.tokens, model.vocabulary, key, n, back, pair[order], log[order], state, scale[first], triple[order2], log2[order2]), model.words.select("key", "n")
-
-
 def _frequent(values: DataFrame, most: int) -> Column:
     """Whether a key is of the most frequent ones, `most` at most; counts are told apart in sixteenths of a power of two."""
     level = F.floor(16 * F.log2("n"))
@@ -287,11 +309,11 @@ def _frequent(values: DataFrame, most: int) -> Column:
 
 
 def _filter(values: DataFrame) -> np.ndarray:
-    """Bits, a power of two and MOST_BITS at most, of which one is set for the leading bits of each key."""
-    most = values.count() * 8
+    """Bits, a power of two and MOST_BITS at most, of which two are set for each key: by its leading bits and its hash's."""
+    most = values.count() * 16
     width = min(MOST_BITS.bit_length() - 1, max(20, most.bit_length()))
-    at = F.shiftrightunsigned("key", 64 - width)
-    rows = values.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at = values.select(F.explode(F.array("key", F.xxhash64("key"))).alias("key")).select(F.shiftrightunsigned("key", 64 - width).alias("at"))
+    rows = at.select(F.shiftright("at", 15).alias("bucket"), F.col("at").bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bits = np.zeros(1 << (width - 3), np.uint8)
     for batch in rows.toArrow().to_batches():
         for bucket, part in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -301,11 +323,19 @@ def _filter(values: DataFrame) -> np.ndarray:
 
 def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be among those of the filter; False is sure."""
-    at = keys.view(np.uint64) >> np.uint64(64 - (len(bits).bit_length() + 2))
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    def there(x: np.ndarray) -> np.ndarray:
+        at = x.view(np.uint64) >> np.uint64(64 - (len(bits).bit_length() + 2))
+        return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    found = there(keys)
+    at = np.flatnonzero(found)
+    found[at] = there(_hash(keys[at], 42))
+    return found
 
 
-NAMES = ["row", "key", "times", "told", "doc_id", "tokens", "known", "root", "logs"]
+NAMES = ["row", "key", "times", "doc"]
+DOC = pa.struct([("doc_id", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("root", pa.float64()), ("logs", pa.float64())])
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, **options) -> DataFrame:
@@ -313,62 +343,62 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, **options) -> DataFram
 
     The model learns from documents whose fold isn't `held`. Tokens are words, lower-cased in A-Z, and one end
     a text. base_score is log10 of the add-one unigram probability; score that of the tree, whose root is the
-    same distribution, with all words never seen as one symbol. A score is a sum of the model's values over a
-    text's words, pairs and triples. Tasks hold the values of the most frequent ones (NEAR of them at most) and
-    sum these at once; of the others, those that a filter of bounded size
-    can't rule out go as rows to the table of values, so no model has to fit anywhere.
+    same distribution, with all words never seen as one symbol. Texts are split into words once and kept as
+    numbers. A score is a sum of the model's values over a text's words and the contexts before them. Tasks hold
+    the values of the most frequent ones (NEAR of them at most) and sum these at once; of the others, those that
+    a filter of bounded size can't rule out go as rows to the table of values, so no model has to fit anywhere.
     Null and empty texts are one end; without training rows every token is unknown and both scores are 0.
     Repeated rows give repeated results; null ids are in fold 0; other columns are ignored. Hashes are of 64 bits.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = states(plain.where(crc_bucket(F.col("doc_id"), folds) != held), **options)
-    _dropped(model.pairs, model.triples)
-    near = model.values.where(_frequent(model.values, NEAR)).select("key", "root", "value").toArrow()
+    train = crc_bucket(F.col("doc_id"), folds) != held
+    runs = _encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("train", train))
+    model = states(runs, **options)
+    value = F.col("root") + F.col("more") + F.col("back")
+    near = model.values.where(_frequent(model.values, NEAR)).select("key", "root", value.alias("value")).toArrow()
     order = np.argsort(near["key"].to_numpy())
     near = [near[n].to_numpy()[order] for n in ("key", "root", "value")]
-    unseen = model.base(0)
+    unseen, depth = model.base(0), model.depth
     sent = docs.sparkSession.sparkContext.broadcast((near, _filter(model.values)))
 
     def run(batches):
         (keys, roots, values), bits = sent.value
-        for whole, a, b in ((x, a, b) for x in batches for a, b in runs_of(x.column(2), RUN_BYTES)):
-            batch = whole.slice(a, b - a)
-            row, doc = batch.column(0).to_numpy(), batch.column(1)
-            hashes, codes, sizes, _, pair, at, _, triple = _grams(batch.column(2))
+        give = lambda x, place, other: np.where(place >= 0, x[np.maximum(place, 0)] if len(x) else 0.0, other)
+        for hashes, codes, sizes, _, row, doc in _read(batches):
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            sums, rest = np.zeros((3, len(sizes))), []
+            sums = np.zeros((3, len(sizes)))
             place = _find(keys, hashes)
-            open_ = (place < 0) & _maybe(bits, hashes)
-            give = lambda x, other: np.where(place >= 0, x[np.maximum(place, 0)] if len(x) else 0.0, other)
-            for k, x in enumerate((give(roots, np.where(open_, 0.0, unseen)), give(values, np.where(open_, 0.0, unseen)), place >= 0)):
+            asked = (place < 0) & _maybe(bits, hashes)
+            other = np.where(asked, 0.0, unseen)
+            for k, x in enumerate((give(roots, place, other), give(values, place, other), place >= 0)):
                 sums[k] = np.bincount(owner, x[codes], len(sizes))
-            i = np.flatnonzero(open_[codes])
-            rest.append((True, owner[i], hashes[codes[i]]))
-            for who, key in ((owner, pair), (owner[at], triple)):
+            i = np.flatnonzero(asked[codes])
+            rest = [(-1, owner[i], hashes[codes[i]])]
+            for at, _, _, key in _levels(hashes, codes, sizes, depth):
                 i = np.flatnonzero(_maybe(bits, key))
-                who, key = who[i], key[i]
+                who, key = owner[at[i]], key[i]
                 place = _find(keys, key)
-                if len(keys):
-                    sums[1] += np.bincount(who, np.where(place >= 0, values[np.maximum(place, 0)], 0.0), len(sizes))
-                rest.append((False, who[place < 0], key[place < 0]))
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(np.zeros(len(row), np.int64)), pa.array(np.zeros(len(row), bool)), doc, pa.array(sizes.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=NAMES)
-            for word, who, key in rest:
+                sums[1] += np.bincount(who, give(values, place, 0.0), len(sizes))
+                rest.append((1, who[place < 0], key[place < 0]))
+            parts = [doc.cast(pa.int64()), pa.array(sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(np.zeros(len(row), np.int64)), pa.StructArray.from_arrays(parts, fields=list(DOC))], names=NAMES)
+            for sign, who, key in rest:
                 order = np.lexsort((key, who))
                 who, key = who[order], key[order]
                 new = np.flatnonzero(np.concatenate([np.ones(min(1, len(who)), bool), (who[1:] != who[:-1]) | (key[1:] != key[:-1])]))
-                n = np.diff(np.append(new, len(who)))
+                n = np.diff(np.append(new, len(who))).astype(np.int64) * sign
                 who, key = row[who[new]], key[new]
                 for k in range(0, len(who), 1 << 16):
                     x = slice(k, k + (1 << 16))
-                    size = len(who[x])
-                    yield pa.RecordBatch.from_arrays([pa.array(who[x]), pa.array(key[x]), pa.array(n[x].astype(np.int64)), pa.array(np.full(size, word)), *(pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(who[x]), pa.array(key[x]), pa.array(n[x]), pa.nulls(len(who[x]), DOC)], names=NAMES)
 
-    parts = plain.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, key long, times long, told boolean, doc_id long, tokens long, known long, root double, logs double")
-    missing = F.when(F.col("told"), F.lit(unseen)).otherwise(F.lit(0.0))
-    joined = parts.withColumnRenamed("root", "roots").join(model.values.select("key", "word", F.col("root"), "value"), "key", "left")
-    seen = F.when(F.col("told") & F.col("word"), F.col("times")).otherwise(F.lit(0))
+    parts = runs.mapInArrow(run, "row long, key long, times long, doc struct<doc_id: long, tokens: long, known: long, root: double, logs: double>")
+    # times are negative for words, which are unseen where the table lacks them
+    joined = parts.join(model.values.select("key", "word", F.col("root").alias("_root"), value.alias("_value")), "key", "left")
+    missing, times = F.when(F.col("times") < 0, F.lit(unseen)).otherwise(F.lit(0.0)), F.abs("times")
+    seen = F.when((F.col("times") < 0) & F.col("word"), times).otherwise(F.lit(0))
     summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), (F.max("known") + F.sum(seen)).alias("n_known"), (F.max("roots") + F.sum(F.col("times") * F.coalesce("root", missing))).alias("base_score"), (F.max("logs") + F.sum(F.col("times") * F.coalesce("value", missing))).alias("score")
-    )
+        F.max("doc.doc_id").alias("doc_id"), F.max("doc.tokens").alias("n_tokens"), (F.max("doc.known") + F.sum(seen)).alias("n_known"),
+        (F.max("doc.root") + F.sum(times * F.coalesce("_root", missing))).alias("base_score"), (F.max("doc.logs") + F.sum(times * F.coalesce("_value", missing))).alias("score"),
+    )
     _swept(docs.sparkSession)
     return summed.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -128,31 +128,16 @@ def test_suffix_tree_sums_to_one_and_matches_brute_base(docs, spark):
     import math
     from collections import Counter
 
-    import numpy as np
-
     r = random.Random(2)
     text = [(i, " ".join(r.choice(["a b c", "d b e", "f g"]) for _ in range(100))) for i in range(8)] + [(100 + i, f"some other words n{i} once{i}" + " more of them" * 5) for i in range(20)]
     found = spark.createDataFrame(text, "doc_id long, text string")
-    tree, counts = suffix_tree.learn(found)
-    assert len(tree.pair_key) and len(tree.state_key)
-    table = {r.key: r.n for r in counts.collect()}
-    size = tree.size
-    frequent = set(tree.words.tolist())
-    rare = 10 ** tree.base(np.array([0]))[0] + sum(10 ** tree.base(np.array([n]))[0] for k, n in table.items() if k not in frequent)
-    for two, one in [(-1, int(tree.pair_key[0] // size)), *((int(k // size), int(k % size)) for k in tree.state_key[:5])]:
-        total = 0.0
-        state = suffix_tree._find(tree.state_key, np.array([two * size + one]))[0] if two >= 0 else -1
-        for w in range(size):
-            p = tree.base(tree.counts[w : w + 1])[0] + tree.back1[one]
-            at = suffix_tree._find(tree.pair_key, np.array([one * size + w]))[0]
-            p = tree.pair_log[at] if at >= 0 else p
-            if state >= 0:
-                p += tree.back2[state]
-                at = suffix_tree._find(tree.triple_key, np.array([state * size + w]))[0]
-                p = tree.triple_log[at] if at >= 0 else p
-            total += 10**p
-        total += rare * 10 ** (tree.back1[one] + (tree.back2[state] if state >= 0 else 0))
-        assert math.isclose(total, 1.0, rel_tol=1e-6)
+    tree = suffix_tree.learn(found, depth=4)
+    words = {w for _, t in text for w in t.split()}
+    befores = [[], ["a"], ["a", "b"], ["d", "b"], ["a", "b", "c"], ["c", "d", "b"], ["of", "them"], ["more", "of", "them", "more"], ["never", "seen"]]
+    assert any(m for _, _, m, _ in tree.entries.values()) and any(b for _, _, _, b in tree.entries.values())
+    for before in befores:
+        # all words never seen are one symbol
+        assert math.isclose(sum(10 ** tree.log10(before, w) for w in [*words, None, "never seen"]), 1.0, rel_tol=1e-6)
     train = Counter()
     for i, t in text:
         if zlib.crc32(str(i).encode()) % 7 != 2:
@@ -249,17 +234,17 @@ def test_sketches_merge(spark):
     assert (d.n, d.c) == (50.0, 1.0)
 
 
-def brute_scores(train, texts, least=2, kappa=4.0):
-    """log10 probabilities of texts in a suffix tree of up to two words, with plain dictionaries."""
+def brute_scores(train, texts, least=3, kappa=4.0, depth=3):
+    """log10 probabilities of texts in a suffix tree of up to depth words, with plain dictionaries."""
     import math
     from collections import Counter, defaultdict
 
-    split = lambda t: [*t.lower().split(), "\n"]
+    split = lambda t: ["\n", *t.lower().split(), "\n"]
     counts = Counter()
     for t in train:
-        w = ["\n", *split(t)]
+        w = split(t)
         for k in range(1, len(w)):
-            counts.update([(w[k],), (w[k - 1], w[k])] + ([(w[k - 2], w[k - 1], w[k])] if k > 1 else []))
+            counts.update(tuple(w[a : k + 1]) for a in range(max(0, k - depth), k + 1))
     tokens, words = sum(n for k, n in counts.items() if len(k) == 1), sum(len(k) == 1 for k in counts)
     cost, own, back = 0.5 * math.log(max(2, tokens)), {}, {}
 
@@ -268,10 +253,10 @@ def brute_scores(train, texts, least=2, kappa=4.0):
             return (counts[(s,)] + 1) / (tokens + words + 1)
         return own.get((*context, s), 10 ** back.get(context, 0.0) * p(context[1:], s))
 
-    for length in (2, 3):
+    for length in range(2, depth + 2):
         told = defaultdict(list)
         for k, n in counts.items():
-            if len(k) == length and n >= least and (length == 2 or counts[k[:-1]] >= least):
+            if len(k) == length and n >= least:
                 q = p(k[1:-1], k[-1])
                 mine = (n + kappa * q) / (counts[k[:-1]] + kappa)
                 if abs(n * math.log(mine / q)) > cost:
@@ -283,8 +268,8 @@ def brute_scores(train, texts, least=2, kappa=4.0):
                 own |= {r[0]: r[2] for r in rows}
 
     def score(t):
-        w = ["\n", *split(t)]
-        return sum(math.log10(p(tuple(w[max(0, k - 2) : k]) if k > 1 and w[k - 1] != "\n" and tuple(w[k - 2 : k]) in back else (w[k - 1],), w[k])) for k in range(1, len(w)))
+        w = split(t)
+        return sum(math.log10(p(tuple(w[max(0, k - depth) : k]), w[k])) for k in range(1, len(w)))
 
     return [score(t) for t in texts], own
 
@@ -304,12 +289,16 @@ def test_suffix_tree_keeps_what_is_rare_in_a_large_corpus(spark):
     assert all(math.isclose(found[i], w, rel_tol=1e-9, abs_tol=1e-9) for (i, _), w in zip(few, want))
 
 
-def test_suffix_tree_by_the_join_alone(spark, monkeypatch):
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_suffix_tree_by_the_join_alone(spark, monkeypatch, depth):
     import math
 
     r = random.Random(4)
-    text = [(i, " ".join(f"w{min(int(r.expovariate(0.2)), 40)} x" for _ in range(60))) for i in range(60)]
-    want, _ = brute_scores([t for i, t in text if zlib.crc32(str(i).encode()) % 7 != 2], [t for _, t in text])
+    phrases = ["a m n o p", "b m n o q", "d e f", "g e h", "s t u v", "k t u l", "x"]
+    text = [(i, " ".join(f"w{min(int(r.expovariate(0.2)), 40)} {r.choice(phrases)}" for _ in range(60))) for i in range(60)]
+    want, own = brute_scores([t for i, t in text if zlib.crc32(str(i).encode()) % 7 != 2], [t for _, t in text], depth=depth)
+    assert max(map(len, own)) == depth + 1
     monkeypatch.setattr(suffix_tree, "NEAR", 0)  # nothing is summed in the tasks
-    found = {x.doc_id: x.score for x in suffix_tree.score(spark.createDataFrame(text, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(suffix_tree, "RUN_BYTES", 1000)
+    found = {x.doc_id: x.score for x in suffix_tree.score(spark.createDataFrame(text, "doc_id long, text string"), depth=depth).collect()}
     assert all(math.isclose(found[i], w, rel_tol=1e-9) for (i, _), w in zip(text, want))
