@@ -98,10 +98,35 @@ def parse(data: bytes) -> Frame:
             end = found.start() if found else len(data)
             frame.scans.append((scan, data[at:end], tables))
             at = end
+    else:
+        raise ValueError("the image has no end")
     frame.quant, frame.restart, frame.comment = quant, restart, comment
+    _checked(frame, len(data))
     return frame
 
 
+def _checked(frame: Frame, size: int) -> None:
+    """Raises ValueError where headers can't belong to a whole image of so many bytes."""
+    parts = frame.components
+    if not frame.scans or len(parts) not in (1, 3) or not frame.width or not frame.height:
+        raise ValueError("no image of one or three components")
+    if any(not (1 <= c.h <= 4 and 1 <= c.v <= 4) or max(x.h for x in parts) % c.h or max(x.v for x in parts) % c.v for c in parts):
+        raise ValueError("sampling that isn't read here")
+    if any(len(frame.quant[c.table]) not in (65, 129) or len(frame.quant[c.table]) != 1 + 64 * (1 + (frame.quant[c.table][0] >> 4)) for c in parts):
+        raise ValueError("a cut quantisation table")
+    # a first scan has a bit a block at least
+    if sum(int(np.prod(frame.grid(c)[:2])) for c in range(len(parts))) > 8 * size:
+        raise ValueError("fewer bits than blocks")
+    for scan, _, tables in frame.scans:
+        if not (0 <= scan.first <= scan.last <= 63 and scan.low <= 13) or (scan.first == 0) != (scan.last == 0) or (scan.first and len(scan.components) != 1):
+            raise ValueError("a scan that isn't progressive")
+        used = [] if scan.first == 0 and scan.high else list(scan.dc) if scan.first == 0 else [16 + scan.ac[0]]
+        if any(len(tables[t]) < 16 or len(tables[t]) != 16 + sum(tables[t][:16]) for t in used):
+            raise ValueError("a cut Huffman table")
+        if any(code >= 1 << length for t in used for _, code, length in _codes(tables[t])) or (scan.first == 0 and any(s > 15 for t in used for s, _, _ in _codes(tables[t]))):
+            raise ValueError("no Huffman code")
+
+
 def _codes(table: bytes) -> list[tuple[int, int, int]]:
     """(symbol, code, length) of a Huffman table as its segment states it."""
     code, at, found = 0, 16, []
@@ -162,16 +187,22 @@ class _Lanes:
         self.mcus = np.minimum(every, np.array(mcus)[self.image] - self.rank * every)
         self.first_mcu = self.rank * every
         self.start = (begins - np.cumsum(drop)[begins] + drop[begins]) * 8
+        self.end = np.append(self.start[1:], (len(raw) - 8 - np.count_nonzero(drop)) * 8)
         self.data = raw[~drop]
         wide = np.concatenate([self.data, np.zeros(8, np.uint8)]).astype(np.int64)
         n = len(self.data)
         self.window = wide[:n] << 32 | wide[1 : n + 1] << 24 | wide[2 : n + 2] << 16 | wide[3 : n + 3] << 8 | wide[4 : n + 4]
         keep = self.mcus > 0
         if not keep.all():
-            for name in ("image", "rank", "mcus", "first_mcu", "start"):
+            for name in ("image", "rank", "mcus", "first_mcu", "start", "end"):
                 setattr(self, name, getattr(self, name)[keep])
 
 
+def _within(bit: np.ndarray, end: np.ndarray) -> None:
+    if (bit > end).any():
+        raise ValueError("the bytes of a scan end too early")
+
+
 def _dc(scan: Scan, lanes: _Lanes, coefs, blocks, tables) -> None:
     """blocks(place, lane numbers, MCU within the lane): component and block of each."""
     bit = lanes.start.copy()
@@ -194,6 +225,7 @@ def _dc(scan: Scan, lanes: _Lanes, coefs, blocks, tables) -> None:
             last[on, c] += np.where(size > 0, value, 0)
             coefs[c][block, 0] = last[on, c] << scan.low
             bit[on] += length + size
+    _within(bit, lanes.end)
 
 
 _EXTRA = np.array([rs & 15 or (rs >> 4 if rs >> 4 < 15 else 0) for rs in range(256)])
@@ -203,7 +235,7 @@ def _ac_first(scan: Scan, lanes: _Lanes, coef: np.ndarray, blocks, table: np.nda
     flat = coef.reshape(-1)
     lane = np.arange(len(lanes.start))
     bit, number, k = lanes.start.copy(), np.zeros(len(lane), np.int64), np.full(len(lane), scan.first, np.int64)
-    todo = lanes.mcus
+    todo, ends = lanes.mcus, lanes.end
     place = blocks.flat(lane)
     base = place[number + blocks.begin] << 6
     begin = blocks.begin.copy()
@@ -218,6 +250,8 @@ def _ac_first(scan: Scan, lanes: _Lanes, coef: np.ndarray, blocks, table: np.nda
         plain = size > 0
         if plain.all():
             k += run
+            if k.max() > scan.last:
+                raise ValueError("a coefficient beyond its block")
             value &= (1 << size) - 1
             value -= np.where(value < 1 << size - 1, (1 << size) - 1, 0)
             flat[base + k] = value << scan.low
@@ -231,6 +265,8 @@ def _ac_first(scan: Scan, lanes: _Lanes, coef: np.ndarray, blocks, table: np.nda
             v = value & low
             v -= np.where(v < 1 << np.maximum(size, 1) - 1, low, 0)
             k += np.where(plain, run, 0)
+            if k.max() > scan.last:
+                raise ValueError("a coefficient beyond its block")
             flat[(base + k)[plain]] = (v << scan.low)[plain]
             end = ~plain & (run < 15)
             skip = np.where(end, (1 << run) + (value & (1 << run) - 1), 0)
@@ -240,7 +276,8 @@ def _ac_first(scan: Scan, lanes: _Lanes, coef: np.ndarray, blocks, table: np.nda
         k = np.where(over, scan.first, k)
         left = number < todo
         if not left.all():
-            bit, number, k, todo, begin = bit[left], number[left], k[left], todo[left], begin[left]
+            _within(bit[~left], ends[~left])
+            bit, number, k, todo, begin, ends = bit[left], number[left], k[left], todo[left], begin[left], ends[left]
         base = place[number + begin] << 6
 
 
@@ -248,7 +285,7 @@ def _ac_refine(scan: Scan, lanes: _Lanes, coef: np.ndarray, blocks, table: np.nd
     bits = np.unpackbits(lanes.data)
     columns = np.arange(scan.first, scan.last + 1)
     lane = np.arange(len(lanes.start))
-    place, begin, todo = blocks.flat(lane), blocks.begin.copy(), lanes.mcus
+    place, begin, todo, ends = blocks.flat(lane), blocks.begin.copy(), lanes.mcus, lanes.end
     bit, number, k, rest = lanes.start.copy(), np.zeros(len(lane), np.int64), np.full(len(lane), scan.first, np.int64), np.zeros(len(lane), np.int64)
     one = np.int16(1 << scan.low)
 
@@ -293,7 +330,8 @@ def _ac_refine(scan: Scan, lanes: _Lanes, coef: np.ndarray, blocks, table: np.nd
             k[tail] = scan.first
         left = number < todo
         if not left.all():
-            bit, number, k, rest, todo, begin = bit[left], number[left], k[left], rest[left], todo[left], begin[left]
+            _within(bit[~left], ends[~left])
+            bit, number, k, rest, todo, begin, ends = bit[left], number[left], k[left], rest[left], todo[left], begin[left], ends[left]
 
 
 class _Blocks:

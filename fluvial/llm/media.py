@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,10 @@ from fluvial.llm.tokens import runs_of
 
 #: Widest image in MCUs of 16 x 16 pixels.
 WIDE = 64
+#: Comment of an image that holds a payload: its bytes.
+_HOLDS = re.compile(rb"payload of (\d+) bytes")
+#: What damaged bytes may raise in the reader.
+_DAMAGED = (ValueError, IndexError, KeyError, AttributeError, TypeError, OverflowError, ZeroDivisionError, struct.error)
 
 
 def _frame(blocks: int, comment: bytes) -> jpeg.Frame:
@@ -31,7 +35,7 @@ def to_jpegs(payloads: list[bytes]) -> list[bytes]:
     Byte b is the coefficient b from 128 on and b - 255 below, so none is 0 and all have the same size. The
     payload fills the blocks of Y, then Cb, then Cr; blocks left over are 0. Its length is in the comment.
     """
-    frames = [_frame(len(p) // 64, str(len(p)).encode()) for p in payloads]
+    frames = [_frame(len(p) // 64, b"payload of %d bytes" % len(p)) for p in payloads]
     planes = [[], [], []]
     for p, f in zip(payloads, frames):
         grids = [int(np.prod(f.grid(c)[:2])) for c in range(3)]
@@ -45,10 +49,13 @@ def to_jpegs(payloads: list[bytes]) -> list[bytes]:
     return jpeg.write(frames, [np.concatenate(p) for p in planes])
 
 
-def payload_of(frame: jpeg.Frame, coefs: list[np.ndarray]) -> bytes:
-    """The payload that to_jpegs stored."""
-    size = int(frame.comment)
-    data = np.concatenate(coefs)[: size // 64].astype(np.int16)
+def payload_of(frame: jpeg.Frame, coefs: list[np.ndarray]) -> bytes | None:
+    """The payload that to_jpegs stored; None for any other image."""
+    found = _HOLDS.fullmatch(frame.comment)
+    data = np.concatenate(coefs)
+    if not found or int(found[1]) % 64 or not 0 < int(found[1]) <= data.size:
+        return None
+    data = data[: int(found[1]) // 64].astype(np.int16)
     return np.where(data < 0, data + 255, data).astype(np.uint8).tobytes()
 
 
@@ -77,14 +84,27 @@ def store(docs: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _coefficients(frames: list[jpeg.Frame]) -> list[list[np.ndarray] | None]:
+    """jpeg.coefficients of images together; where that fails, of each half, so a damaged image alone gives None."""
+    try:
+        return jpeg.coefficients(frames)
+    except _DAMAGED:
+        half = len(frames) // 2
+        return [None] if not half else _coefficients(frames[:half]) + _coefficients(frames[half:])
+
+
 def decode(media: DataFrame, column: str = "media", tensors: bool = True, payload: bool = False, batch_bytes: int = 1 << 20) -> DataFrame:
     """media's columns and, decoded from a column of progressive JPEGs: width, height, feature.
 
     With tensors also rgb, height * width * 3 bytes at full resolution; with payload the bytes that store
-    kept. Images of one script and one set of tables are decoded together. A null image, or one that can't
-    be read, gives nulls. Columns of these names must not be there before.
+    kept, null for an image that it didn't make. Images of one script and one set of tables are decoded
+    together. A null image, one that can't be read, or whose bytes end too early, gives nulls, and no other
+    image suffers. Columns of media that have one of these names give way to the decoded ones.
     """
     spec = [("width", "int", pa.int32()), ("height", "int", pa.int32()), ("feature", "string", pa.string())] + [("rgb", "binary", pa.binary())] * tensors + [("payload", "binary", pa.binary())] * payload
+    media = media.drop(*({n for n, _, _ in spec} - {column}))
+    if column in {n for n, _, _ in spec}:
+        raise ValueError(f"the images can't be in a column named {column}")
     schema = ", ".join([f"`{n}` {t}" for n, t in media.dtypes] + [f"{n} {t}" for n, t, _ in spec])
 
     def read(raw: list[bytes | None]) -> list[tuple]:
@@ -93,12 +113,13 @@ def decode(media: DataFrame, column: str = "media", tensors: bool = True, payloa
             try:
                 if r is not None:
                     frames[i] = jpeg.parse(r)
-            except (ValueError, IndexError, KeyError, AttributeError):
+            except _DAMAGED:
                 pass  # not an image of this kind: nulls
         found = [(None,) * len(spec)] * len(raw)
-        for (i, f), coefs in zip(frames.items(), jpeg.coefficients(list(frames.values()))):
-            rgb = jpeg.pixels(f, coefs)
-            found[i] = (f.width, f.height, feature_of(rgb)) + (rgb.tobytes(),) * tensors + ((payload_of(f, coefs) if f.comment.isdigit() else None),) * payload
+        for (i, f), coefs in zip(frames.items(), _coefficients(list(frames.values())) if frames else []):
+            if coefs is not None:
+                rgb = jpeg.pixels(f, coefs)
+                found[i] = (f.width, f.height, feature_of(rgb)) + (rgb.tobytes(),) * tensors + ((payload_of(f, coefs),) if payload else ())
         return found
 
     def run(batches):

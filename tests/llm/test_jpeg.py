@@ -176,6 +176,28 @@ def test_inverse_transform_and_colours():
 
 
 def test_what_is_no_image_gives_nulls(spark):
-    df = spark.createDataFrame([(1, None), (2, b"no image"), (3, b""), (4, bytes(media.to_jpegs([b"x" * 64])[0]))], "i int, media binary")
-    found = {r.i: (r.width, r.height, r.rgb is None) for r in media.decode(df).collect()}
-    assert found == {1: (None, None, True), 2: (None, None, True), 3: (None, None, True), 4: (16, 16, False)}
+    foreign = jpeg.write([jpeg.Frame(16, 16, jpeg.YCC, comment=b"64")], [np.full((4, 64), -255, np.int16), np.zeros((1, 64), np.int16), np.zeros((1, 64), np.int16)])[0]
+    df = spark.createDataFrame([(1, None, 7), (2, b"no image", 7), (3, b"", 7), (4, bytes(media.to_jpegs([b"x" * 64])[0]), 7), (5, bytes(foreign), 7)], "i int, media binary, width long")
+    found = {r.i: (r.width, r.height, r.rgb is None, r.payload) for r in media.decode(df, payload=True).collect()}
+    assert found == {1: (None, None, True, None), 2: (None, None, True, None), 3: (None, None, True, None), 4: (16, 16, False, b"x" * 64), 5: (16, 16, False, None)}
+
+
+def test_damaged_images_give_nulls_and_harm_no_other(spark):
+    r = np.random.default_rng(5)
+    payload = r.integers(0, 256, 64 * 30).astype(np.uint8).tobytes()
+    whole = media.to_jpegs([payload])[0]
+    cut = [whole[:n] for n in (*range(0, 700, 7), *range(700, len(whole) - 2, 211))]
+    flipped = []
+    for at in r.integers(2, len(whole), 150):
+        b = bytearray(whole)
+        b[at] ^= 1 << int(r.integers(0, 8))
+        flipped.append(bytes(b))
+    huge = bytearray(whole)
+    at = huge.index(b"\xff\xc2")
+    huge[at + 5 : at + 9] = b"\xff\xff\xff\xff"
+    rows = [(0, whole), *((1, c) for c in cut), *((2, f) for f in flipped), (1, bytes(huge)), (1, b"\xff\xd8\xff\xc2"), (3, whole)]
+    found = media.decode(spark.createDataFrame(rows, "kind int, media binary").coalesce(1), payload=True).collect()
+    assert len(found) == len(rows)
+    assert all(x.payload == payload for x in found if x.kind in (0, 3)) and all(x.width is None and x.payload is None for x in found if x.kind == 1)
+    # a changed bit is found, or read as other coefficients
+    assert all(x.payload is None or len(x.payload) == len(payload) for x in found if x.kind == 2)
