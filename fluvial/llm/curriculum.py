@@ -93,15 +93,35 @@ def assign(docs: DataFrame, tilt: Column | None = None) -> DataFrame:
         .withColumn("_rest", F.col("target") - F.col("_passes") * F.col("source_size"))
         .withColumn("_times", F.col("_passes") + (F.col("_before") + F.col("size") * 0.5 < F.col("_rest")).cast("long"))
         .withColumn("position", F.when(F.col("_times") > 0, training_time(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("_before") + F.col("size") * 0.5, F.col("target")), F.lit(0.0))), F.col("_tilt"))))
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("_times") * F.col("size")).alias("taken"), F.col("_times").alias("times"), "position", "_before", "_tilt")
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("_times") * F.col("size")).alias("taken"), F.col("_times").alias("times"), "position", "_before", "_tilt", "_md5")
     )
 
 
+def in_order(docs: DataFrame, tilt: Column | None = None, blocks: int = 4096) -> DataFrame:
+    """assign, range-partitioned and sorted by position, with rank: the document's place (from 1) among all that the mix takes.
+
+    Positions come from the source's schedule, integrated and inverted; ties go by source, MD5 of the id, id and
+    size. Ranks are counted in blocks of equal ranges of position, of which there are at most `blocks` and one, so no
+    window spans the table. Documents that aren't taken have neither position nor rank and come last.
+    """
+    held = cut(assign(docs, tilt).withColumn("_block", F.when(F.col("position").isNotNull(), F.floor(F.col("position") * blocks)).otherwise(F.lit(blocks + 1))))
+    counts = held.groupBy("_block").agg(F.count("*").alias("_n"))
+    first = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_first"))
+    within = Window.partitionBy("_block").orderBy("position", F.asc_nulls_last("source"), "_md5", F.asc_nulls_last("doc_id"), "size")
+    taken = held.where("position IS NOT NULL").withColumn("_rank", F.row_number().over(within))
+    ranked = taken.join(F.broadcast(first), "_block").withColumn("rank", (F.col("_first") + F.col("_rank")).cast("long")).drop("_rank", "_first")  # blocks + 1 rows
+    left = held.where("position IS NULL").withColumn("rank", F.lit(None).cast("long"))
+    # those left out are spread over the last ranges
+    key = F.coalesce(F.col("position"), F.lit(2.0) + F.crc32("_md5") / F.lit(2.0**32))
+    return ranked.unionByName(left).withColumn("_order", key).repartitionByRange("_order").sortWithinPartitions("_order", "rank").drop("_order", "_block", "_md5")
+
+
 def curriculum(docs: DataFrame, tilt: Column | None = None, position: str | None = "position") -> DataFrame:
     """The mix in training order: docs' columns and the position, a row for each time a document is taken.
 
     The n-th time stands one pass of its source later. Rows are range-partitioned and sorted by position, so
-    writing them keeps the order; position names the column, None leaves it out. Documents of one doc_id are
+    writing them keeps the order; position names the column, which takes the place of one of docs of that name,
+    None leaves it out. Documents of one doc_id are
     told apart by their number of words; among those that also agree in it each gets the positions of the
     first. Null doc_ids meet each other.
     """
@@ -110,7 +130,8 @@ def curriculum(docs: DataFrame, tilt: Column | None = None, position: str | None
     plan = plan.withColumn("_positions", F.transform(F.sequence(F.lit(0), (F.col("times") - 1).cast("int")), lambda n: training_time(share(n), F.col("_tilt"))))
     # one row per id and size, so the join can't multiply repeated rows
     plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.min("_positions").alias("_positions"))
-    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_own"), word_count(F.col("text")).alias("_words"))
+    names = [c for c in docs.columns if c != position]
+    packed = docs.select(F.struct(*names).alias("_doc"), F.col("doc_id").cast("long").alias("_own"), word_count(F.col("text")).alias("_words"))
     mixed = packed.join(plan, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))).select("_doc", F.explode("_positions").alias("_position"))
     ordered = mixed.repartitionByRange(F.col("_position")).sortWithinPartitions("_position")
     return ordered.select("_doc.*", *([F.col("_position").alias(position)] if position else []))
@@ -133,12 +154,17 @@ WITH d AS (
   FROM f WINDOW o AS (ORDER BY ratio, source NULLS LAST)
 ), l AS (
   SELECT (max(budget) - coalesce(sum(lim) FILTER (is_full), 0.0)) / sum(weight) FILTER (NOT is_full) AS lev FROM g
-), t AS (SELECT source, source_size, round(CASE WHEN is_full THEN lim ELSE weight * lev END, 4) AS target FROM g, l), b AS (
-  SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (
+), t AS (SELECT source, source_size, round(CASE WHEN is_full THEN lim ELSE weight * lev END, 4) AS target, weight FROM g, l), b AS (
+  SELECT d.*, t.source_size, t.target, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 0.8::DOUBLE * (2.0::DOUBLE / t.weight - 1.0::DOUBLE))) AS tilt, coalesce(sum(size) OVER (
     PARTITION BY d.source ORDER BY k, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS passes
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, passes + CASE WHEN before + size * 0.5 < target - passes * source_size THEN 1 ELSE 0 END AS times,
+    least(1.0::DOUBLE, CASE WHEN target > 0 THEN (before + size * 0.5::DOUBLE) / target ELSE 0.0 END) AS q, 1.0::DOUBLE + tilt AS e FROM b
+), r AS (SELECT *, e + sqrt(greatest(0.0::DOUBLE, e * e - 4.0::DOUBLE * tilt * q)) AS below FROM c), p AS (
+  SELECT *, CASE WHEN times > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN below = 0 THEN 0.0 ELSE 2.0::DOUBLE * q / below END)) END AS place FROM r
 )
-SELECT doc_id, size, source_size, target,
-  ((passes + CASE WHEN before + size * 0.5 < target - passes * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM b"""
+SELECT doc_id, size, source_size, target, (times * size)::BIGINT AS taken, round(place, 9) AS position,
+  CASE WHEN place IS NOT NULL THEN row_number() OVER (ORDER BY place NULLS LAST, source NULLS LAST, k, doc_id NULLS LAST, size) END::BIGINT AS rank
+FROM p"""

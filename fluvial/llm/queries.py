@@ -34,7 +34,8 @@ def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_time_varying_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = curriculum.in_order(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), "rank")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
