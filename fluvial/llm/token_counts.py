@@ -39,7 +39,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, batch_bytes
                 for p in safe_pieces(t, piece_bytes):
                     pieces.append(p)
                     owners.append(i)
-                    held += len(p)
+                    held += len(p.encode("utf-8"))
                     if held >= batch_bytes:
                         flush()
                         held = 0

@@ -73,7 +73,7 @@ class WordEncoder:
     their call, which bounds a worker's memory.
     """
 
-    def __init__(self, text: str, most: int = 400_000):
+    def __init__(self, text: str, most: int = 200_000):
         self.tokenizer = load(text)
         found = re.search(r'"end_of_word_suffix"\s*:\s*"([^"]*)"', text)
         suffix = found[1] if found else ""

@@ -87,7 +87,7 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         words = feature_words(text if isinstance(text, str) else "")  # pandas may say NaN for null
-        if len(self.known) > 200_000:  # bounds a worker's memory
+        if len(self.known) > 100_000:  # bounds a worker's memory
             self.known = {}
         known, counts = self.known, Counter()
         for w in words:
