@@ -12,26 +12,29 @@ from fluvial.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity stays below 0.7, learnt from the labelled ones."""
+    """Documents whose toxicity stays below 0.7, learnt from the labelled ones.
+
+    A null or empty text has the score of no words; repeated rows share one fate; an empty table stays empty.
+    """
     short_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by n-gram Jaccard similarity the one with the least doc_id."""
+    """Of documents linked by n-gram Jaccard similarity the one with the least doc_id; those without words all stay."""
     short_batches(spark)
     return jaccard_join.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their targets, in training order; a document taken twice has two rows."""
+    """The sources mixed to their targets, in training order; a document taken twice has two rows, one of size 0 none or one."""
     return curriculum.curriculum(docs, position=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces of the documents' tokens, numbered as sequences."""
-    short_batches(spark, False)
-    return packing.pack_documents(docs, tokenizer_path())
+    """Power-of-two pieces of the documents' tokens, numbered as sequences; within a length the mix's order stays."""
+    short_batches(spark)
+    return packing.pack_documents(docs, tokenizer_path(), keep_order=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack)]
