@@ -192,6 +192,25 @@ def probability_class(p: Column, low: float, high: float) -> Column:
     return F.when(p >= high, "water_ripple").when(p <= low, "dry_splash").otherwise("uncertain")
 
 
+def hybrid_probability(model: Column, rule: Column, model_weight: float = 0.75) -> Column:
+    """Blend of a model's probability of water with a rule's score, which is kept in [0, 1]; null if either is."""
+    return F.lit(model_weight) * model + F.lit(1.0 - model_weight) * clip(rule, 0.0, 1.0)
+
+
+def hybrid_classification(rows: DataFrame, probability: Column, low: float, high: float) -> DataFrame:
+    """rows with a class by two thresholds and the confidence of the likelier side; a null probability is uncertain."""
+    return rows.withColumn("classification", probability_class(probability, low, high)).withColumn("confidence", F.greatest(probability, 1 - probability))
+
+
+def hybrid_evidence(rule: DataFrame, model: DataFrame) -> DataFrame:
+    """Pixels of two evidence maps: the greater probability; water where the rule says so, whatever the model says, or the model does."""
+    side = lambda m, n: m.select("x", "y", F.col("probability").alias(f"_{n}p"), F.col("state").alias(f"_{n}s"))
+    both = side(rule, "r").join(side(model, "m"), ["x", "y"], "full")
+    water = F.coalesce(F.col("_rs") == "water", F.lit(False)) | F.coalesce(F.col("_ms") == "water", F.lit(False))
+    dry = F.coalesce(F.col("_rs") == "dry", F.lit(False)) | F.coalesce(F.col("_ms") == "dry", F.lit(False))
+    return both.select("x", "y", F.greatest("_rp", "_mp").alias("probability"), F.when(water, "water").when(dry, "dry").otherwise("unknown").alias("state"))
+
+
 def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, weight: str | None = None, l2: float = 0.02, rate: float = 0.08, steps: int = 1800, most_rows: int = 200_000) -> dict:
     """Weighted full-batch gradient descent from zero weights and the prior's bias, over z-scores kept in [-12, 12].
 

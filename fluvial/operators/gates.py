@@ -163,3 +163,55 @@ def invariants(checks: DataFrame, named: Sequence[tuple[str, Column]]) -> DataFr
     """(name, passed) for each named condition over a one-row table; null counts as failed."""
     listed = F.array(*(F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in named))
     return checks.select(F.explode(listed).alias("c")).select("c.*")
+
+
+def monitor(summaries: DataFrame) -> DataFrame:
+    """summaries with monitor_status: healthy only if six conditions hold, each of which fails where its column is null.
+
+    Columns: downstream_eligible, authoritative, warnings_allowed (counts that must be 0), outputs_unchanged (true),
+    formal_executed and ground_truth_used (false).
+    """
+    zero = [F.col(c) == 0 for c in ("downstream_eligible", "authoritative", "warnings_allowed")]
+    safe = [F.coalesce(c, F.lit(False)) for c in (*zero, F.col("outputs_unchanged"), ~F.col("formal_executed"), ~F.col("ground_truth_used"))]
+    every = safe[0]
+    for c in safe[1:]:
+        every = every & c
+    return summaries.withColumn("monitor_status", F.when(every, "healthy").otherwise("unsafe"))
+
+
+def api_view(states: DataFrame, status: Column) -> DataFrame:
+    """Read-only rows of canonical states: measurements of valid ones alone, no warning level, nothing for downstream use.
+
+    A state that claims to be eligible for downstream use fails the query.
+    """
+    refused = F.when(F.coalesce(F.col("quality.eligible_for_downstream"), F.lit(True)), F.raise_error(F.lit("a state eligible for downstream use")).cast("boolean")).otherwise(F.lit(False))
+    ids = [c for c in states.columns if c not in ("identity", "measurements", "quality", "provenance")]
+    return states.select(
+        *ids,
+        status.alias("candidate_status"),
+        F.when(F.col("quality.valid"), F.col("measurements")).alias("measurements"),
+        F.lit(None).cast("string").alias("warning_level"),
+        F.lit(False).alias("authoritative"),
+        refused.alias("eligible_for_downstream"),
+    )
+
+
+#: What fault_suite injects: a column of a summary and the value it must not have.
+FAULTS = (
+    ("downstream_eligible", "downstream_eligible", "1"), ("authoritative", "authoritative", "1"), ("warning_allowed", "warnings_allowed", "1"), ("downstream_missing", "downstream_eligible", None),
+    ("outputs_changed", "outputs_unchanged", "false"), ("outputs_unknown", "outputs_unchanged", None), ("formal_executed", "formal_executed", "true"), ("truth_used", "ground_truth_used", "true"), ("truth_unknown", "ground_truth_used", None),
+)
+
+
+def fault_suite(summaries: DataFrame) -> DataFrame:
+    """Each summary with each fault of FAULTS, and whether the monitor rejected it although it takes the clean one for healthy."""
+    clean = monitor(summaries).withColumnRenamed("monitor_status", "_clean")
+    types = dict(summaries.dtypes)
+    spread = clean.withColumn("fault", F.explode(F.array(*(F.lit(n) for n, _, _ in FAULTS))))
+    for column in dict.fromkeys(c for _, c, _ in FAULTS):
+        value = F.col(column)
+        for name, c, bad in FAULTS:
+            if c == column:
+                value = F.when(F.col("fault") == name, F.lit(bad).cast(types[c])).otherwise(value)
+        spread = spread.withColumn(column, value)
+    return monitor(spread).withColumn("rejected", (F.col("_clean") == "healthy") & (F.col("monitor_status") == "unsafe")).drop("_clean")

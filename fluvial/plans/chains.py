@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fluvial.operators import events, forecast, gates, joins
+from fluvial.operators import evaluation, events, forecast, gates, joins
 from fluvial.operators.stats import latest
 from fluvial.plans.adapters import FRAMES, POINTS, SCORED, frames, points, scored, table
 from fluvial.plans.registry import query, r4
@@ -161,6 +161,35 @@ def invariants(spark, d):
     return gates.invariants(one, [("rows_present", F.col("n") > 0), ("keys_unique", F.col("n") == F.col("k")), ("quantity_positive", F.col("q") > 0), ("impossible", F.col("n") < 0)])
 
 
+_MONITOR = """WITH s AS (SELECT l_returnflag AS case_id, count(*) AS records, count(*) FILTER (l_discount > 0.10) AS eligible, 0 AS authoritative, count(*) FILTER (l_quantity > 49) AS warnings, max(l_linenumber) < 8 AS same FROM lineitem GROUP BY l_returnflag)"""
+
+
+def _summaries(spark, d):
+    """One row a return flag: what a run of shadow states is summed up to."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("case_id")).agg(
+        F.count("*").alias("records"), F.count_if(F.col("l_discount") > 0.10).alias("downstream_eligible"), F.count_if(F.col("l_quantity") > 49).alias("warnings_allowed"), (F.max("l_linenumber") < 8).alias("outputs_unchanged")
+    )
+    return rows.withColumns({"authoritative": F.lit(0), "formal_executed": F.lit(False), "ground_truth_used": F.lit(False)})
+
+
+@query("monitor_status", f"{_MONITOR} SELECT case_id, records, CASE WHEN eligible = 0 AND authoritative = 0 AND warnings = 0 AND same THEN 'healthy' ELSE 'unsafe' END AS monitor_status FROM s")
+def monitor_status(spark, d):
+    return gates.monitor(_summaries(spark, d)).select("case_id", "records", "monitor_status")
+
+
+@query("api_view", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN 'pass' ELSE 'reject' END AS candidate_status, CASE WHEN l_returnflag <> 'R' THEN round(l_quantity, 4) END AS quantity, NULL::VARCHAR AS warning_level, false AS eligible FROM lineitem")
+def api_view(spark, d):
+    found = gates.api_view(_states(spark, d), F.when(F.col("quality.valid"), "pass").otherwise("reject"))
+    return found.select("l_orderkey", "l_linenumber", "candidate_status", r4(F.col("measurements.l_quantity"), "quantity"), "warning_level", F.col("eligible_for_downstream").alias("eligible"))
+
+
+@query("fault_suite", """WITH s AS (SELECT l_returnflag AS case_id FROM lineitem GROUP BY l_returnflag) SELECT case_id, fault, true AS rejected FROM s,
+  (VALUES ('downstream_eligible'), ('authoritative'), ('warning_allowed'), ('downstream_missing'), ('outputs_changed'), ('outputs_unknown'), ('formal_executed'), ('truth_used'), ('truth_unknown')) f(fault)""")
+def fault_suite(spark, d):
+    clean = _summaries(spark, d).withColumns({"downstream_eligible": F.lit(0), "warnings_allowed": F.lit(0)})
+    return gates.fault_suite(clean).select("case_id", "fault", "rejected")
+
+
 # ---- events ----
 
 _OBS = f"""{FRAMES}, obs AS (SELECT seq, cls, frame, v, event_id, row_number() OVER (PARTITION BY seq, cls ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY seq, cls) AS n FROM frames)"""
@@ -186,6 +215,32 @@ def rule_classifier(spark, d):
     return events.rule_classification(rows).select("seq", "cls", r4("water_score"), r4("dry_score"), "classification", r4("confidence"))
 
 
+_BLEND = f"""WITH {SCORED}, b AS (SELECT doc_id, truth, source, score AS rule, round(1 - score * score, 4) AS model FROM scored),
+h AS (SELECT *, round(0.75::DOUBLE * model + 0.25::DOUBLE * least(1, greatest(0, rule)), 6) AS p FROM b)"""
+
+
+def _blended(spark, d):
+    rows = scored(spark, d).withColumn("model", F.round(1 - F.col("score") * F.col("score"), 4))
+    return rows.withColumn("p", F.round(events.hybrid_probability(F.col("model"), F.col("score")), 6))
+
+
+@query("hybrid_score", f"{_BLEND} SELECT doc_id, p AS probability, CASE WHEN p >= 0.6 THEN 'water_ripple' WHEN p <= 0.4 THEN 'dry_splash' ELSE 'uncertain' END AS classification, round(greatest(p, 1 - p), 6) AS confidence FROM h")
+def hybrid_score(spark, d):
+    rows = events.hybrid_classification(_blended(spark, d), F.col("p"), 0.4, 0.6)
+    return rows.select("doc_id", F.col("p").alias("probability"), "classification", F.round("confidence", 6).alias("confidence"))
+
+
+@query("classification_metrics", f"""{_BLEND}, m AS (SELECT *, truth = 1 AS w, p >= 0.6 AS pw, p <= 0.4 AS pd FROM h WHERE truth IS NOT NULL),
+c AS (SELECT count(*) AS n, count(*) FILTER (w AND pw) AS ww, count(*) FILTER (w AND pd) AS wd, count(*) FILTER (w AND NOT pw AND NOT pd) AS wu, count(*) FILTER (NOT w AND pw) AS dw, count(*) FILTER (NOT w AND pd) AS dd,
+  count(*) FILTER (NOT w AND NOT pw AND NOT pd) AS du, avg(power(p - w::INTEGER, 2)) AS brier, avg((NOT pw AND NOT pd)::INTEGER) AS u FROM m),
+f AS (SELECT *, CASE WHEN 2 * ww + dw + wd + wu > 0 THEN 2.0::DOUBLE * ww / (2 * ww + dw + wd + wu) ELSE 0 END AS wf, CASE WHEN 2 * dd + wd + dw + du > 0 THEN 2.0::DOUBLE * dd / (2 * dd + wd + dw + du) ELSE 0 END AS df FROM c)
+SELECT n AS samples, round(wf, 4) AS water_f1, round(df, 4) AS dry_f1, round((wf + df) / 2, 4) AS macro_f1, round(u, 4) AS uncertain_rate, round(brier, 4) AS brier_score, ww AS water_water, wd AS water_dry, wu AS water_uncertain, dw AS dry_water, dd AS dry_dry, du AS dry_uncertain FROM f""")
+def classification_metrics(spark, d):
+    rows = _blended(spark, d).where("truth IS NOT NULL")
+    found = evaluation.classification_metrics(rows, F.col("truth") == 1, F.col("truth") == 0, F.col("p"), 0.4, 0.6)
+    return found.select("samples", *(r4(c) for c in ("water_f1", "dry_f1", "macro_f1", "uncertain_rate", "brier_score")), *(f"{a}_{b}" for a in ("water", "dry") for b in ("water", "dry", "uncertain")))
+
+
 def _logit(x: str, m: float, s: float, w: float) -> str:
     return f"{w} * least(12.0, greatest(-12.0, ({x} - {m}) / {s}))"
 
@@ -205,18 +260,14 @@ def logistic_fit(spark, d):
     return spark.createDataFrame([(n, round(v, 4)) for n, v in values], "name string, value double")
 
 
-_PAIRS = f"""WITH {FRAMES}, t AS (SELECT seq, event_id AS id, frame AS s, frame + 5 AS e, v % 60 AS u, (v * 7) % 60 AS w FROM frames WHERE cls = 'view' AND frame < 60), a AS (SELECT seq, event_id AS id, frame AS s, frame + 8 AS e, v % 60 AS u, (v * 7) % 60 AS w FROM frames WHERE cls = 'purchase' AND frame < 60),
+_PAIRS = f"""WITH {FRAMES}, t AS (SELECT seq, event_id AS id, frame AS s, frame + 5 AS e, v % 60 AS u, (v * 7) % 60 AS w FROM frames WHERE cls = 'view'), a AS (SELECT seq, event_id AS id, frame AS s, frame + 8 AS e, v % 60 AS u, (v * 7) % 60 AS w FROM frames WHERE cls = 'purchase'),
 j AS (SELECT t.seq, t.id AS track, a.id AS event, greatest(0, least(t.e, a.e) - greatest(t.s, a.s) + 1) AS b, sqrt(power(t.u - a.u, 2) + power(t.w - a.w, 2)) AS dist, 
   sqrt(power(least(greatest(a.u, t.u - 4), t.u + 4) - a.u, 2) + power(least(greatest(a.w, t.w - 4), t.w + 4) - a.w, 2)) AS bd FROM t JOIN a ON t.seq = a.seq AND t.s <= a.e AND a.s <= t.e),
 k AS (SELECT *, b / greatest(1, 15 - b)::DOUBLE AS iou, b / 9.0::DOUBLE AS ov, greatest(0, 1 - bd / 17.0) AS sp FROM j), q AS (SELECT *, 0.30 * iou + 0.25 * ov + 0.30 * greatest(0, 1 - dist / 28.0) + 0.15 * sp AS score FROM k WHERE b > 0 AND dist <= 28 AND (iou >= 0.05 OR ov >= 0.20) AND sp >= 0.05)"""
 
 
-#: The same over whole sequences.
-_ALL_PAIRS = _PAIRS.replace(" AND frame < 60", "")
-
-
-def _pairs(spark, d, where: str = "true"):
-    rows = frames(spark, d).where(where).withColumns({"u": F.col("v") % 60, "w": (F.col("v") * 7) % 60})
+def _pairs(spark, d):
+    rows = frames(spark, d).withColumns({"u": F.col("v") % 60, "w": (F.col("v") * 7) % 60})
     c = F.col
     t = rows.where("cls = 'view'").select("seq", c("event_id").alias("id"), c("frame").alias("start"), (c("frame") + 5).alias("end"), "u", "w")
     a = rows.where("cls = 'purchase'").select("seq", c("event_id").alias("id"), c("frame").alias("start"), (c("frame") + 8).alias("end"), "u", "w")
@@ -234,20 +285,20 @@ def _scores(pairs):
 
 @query("track_event_pairs", f"{_PAIRS} SELECT seq, track, event, round(iou, 4) AS temporal_iou, round(ov, 4) AS event_overlap, round(dist, 4) AS center_error, round(sp, 4) AS spatial_score, round(score, 4) AS score FROM q")
 def track_event_pairs(spark, d):
-    return _scores(_pairs(spark, d, "frame < 60"))
+    return _scores(_pairs(spark, d))
 
 
-@query("track_event_pairs_all", f"{_ALL_PAIRS} SELECT seq, track, event, round(iou, 4) AS temporal_iou, round(ov, 4) AS event_overlap, round(dist, 4) AS center_error, round(sp, 4) AS spatial_score, round(score, 4) AS score FROM q")
+@query("track_event_pairs_all", f"{_PAIRS} SELECT seq, track, event, round(iou, 4) AS temporal_iou, round(ov, 4) AS event_overlap, round(dist, 4) AS center_error, round(sp, 4) AS spatial_score, round(score, 4) AS score FROM q")
 def track_event_pairs_all(spark, d):
     return _scores(_pairs(spark, d))
 
 
 @query("ambiguous_tracks", f"{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY seq, track ORDER BY score DESC) AS r FROM q) SELECT seq, track, coalesce(round(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 6) < 0.08, false) AS ambiguous FROM r GROUP BY seq, track")
 def ambiguous_tracks(spark, d):
-    return events.unambiguous(_pairs(spark, d, "frame < 60"), ["seq"], "track", "score", 0.08).select("seq", "track", "ambiguous").distinct()
+    return events.unambiguous(_pairs(spark, d), ["seq"], "track", "score", 0.08).select("seq", "track", "ambiguous").distinct()
 
 
-@query("ambiguous_tracks_all", f"{_ALL_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY seq, track ORDER BY score DESC) AS r FROM q) SELECT seq, track, coalesce(round(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 6) < 0.08, false) AS ambiguous FROM r GROUP BY seq, track")
+@query("ambiguous_tracks_all", f"{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY seq, track ORDER BY score DESC) AS r FROM q) SELECT seq, track, coalesce(round(max(score) FILTER (r = 1) - max(score) FILTER (r = 2), 6) < 0.08, false) AS ambiguous FROM r GROUP BY seq, track")
 def ambiguous_tracks_all(spark, d):
     return events.unambiguous(_pairs(spark, d), ["seq"], "track", "score", 0.08).select("seq", "track", "ambiguous").distinct()
 
@@ -266,44 +317,44 @@ def track_association(spark, d):
     return events.associate(rows, "seq").select("seq", "candidate_id", "track")
 
 
-_CONTEXT = f"""WITH {FRAMES}, t AS (SELECT seq, event_id AS id, v % 90 AS u, (v * 3) % 90 AS w, frame AS s, frame + 5 AS e FROM frames WHERE frame < 80)
+_CONTEXT = f"""WITH {FRAMES}, t AS (SELECT seq, event_id AS id, v % 90 AS u, (v * 3) % 90 AS w, frame AS s, frame + 5 AS e FROM frames)
 SELECT a.seq, a.id, count(b.id) AS neighbour_count, round(count(b.id) FILTER (least(a.e, b.e) - greatest(a.s, b.s) + 1 > 0) / 6.0::DOUBLE, 4) AS local_density FROM t a LEFT JOIN t b ON a.seq = b.seq AND a.id <> b.id AND sqrt(power(a.u - b.u, 2) + power(a.w - b.w, 2)) <= 35 GROUP BY a.seq, a.id"""
 
 
-def _context(spark, d, where: str = "true"):
+def _context(spark, d):
     c = F.col
-    rows = frames(spark, d).where(where).select("seq", c("event_id").alias("id"), (c("v") % 90).alias("u"), ((c("v") * 3) % 90).alias("w"), c("frame").alias("s"), (c("frame") + 5).alias("e"))
+    rows = frames(spark, d).select("seq", c("event_id").alias("id"), (c("v") % 90).alias("u"), ((c("v") * 3) % 90).alias("w"), c("frame").alias("s"), (c("frame") + 5).alias("e"))
     return events.neighbour_context(rows, ["seq"], "id", "u", "w", "s", "e").select("seq", "id", "neighbour_count", r4("local_density"))
 
 
 @query("neighbour_context", _CONTEXT)
 def neighbour_context(spark, d):
-    return _context(spark, d, "frame < 80")
+    return _context(spark, d)
 
 
-@query("neighbour_context_all", _CONTEXT.replace(" WHERE frame < 80", ""))
+@query("neighbour_context_all", _CONTEXT)
 def neighbour_context_all(spark, d):
     return _context(spark, d)
 
 
-_EVIDENCE = f"""WITH {FRAMES}, t AS (SELECT v % 64 AS u, (v * 3) % 36 AS w, event_id % 120 + 1 AS area, 0.5::DOUBLE AS conf, 10 AS dur FROM frames WHERE cls = 'refund' OR event_id % 50 = 0),
+_EVIDENCE = f"""WITH {FRAMES}, t AS (SELECT v % 64 AS u, (v * 3) % 36 AS w, event_id % 120 + 1 AS area, 0.5::DOUBLE AS conf, 10 AS dur FROM frames),
 g AS (SELECT *, greatest(4.0::DOUBLE, least(8.8::DOUBLE, sqrt(area / pi()) * 1.3::DOUBLE)) AS sg FROM t), h AS (SELECT *, least(22.0::DOUBLE, sg * 2.5::DOUBLE) AS su FROM g),
 p AS (SELECT x, y, exp(-0.5 * (power(x - u, 2) + power(y - w, 2)) / (sg * sg)) AS k, conf * (0.5 + 0.5 * least(1.0::DOUBLE, dur / 15.0::DOUBLE)) AS wt FROM h, range(64) a(x), range(36) b(y) WHERE x >= greatest(0, trunc(u - su)) AND x < least(64, trunc(u + su) + 1) AND y >= greatest(0, trunc(w - su)) AND y < least(36, trunc(w + su) + 1)),
 s AS (SELECT x, y, sum(k * wt) AS ev, count(*) FILTER (k >= 0.10) AS support FROM p GROUP BY x, y)
 SELECT x::INTEGER AS x, y::INTEGER AS y, round(1 - exp(-ev / 1.6), 4) AS probability, CASE WHEN support < 0.08 THEN 'unknown' WHEN 1 - exp(-ev / 1.6) >= 0.30 THEN 'water' ELSE 'dry' END AS state FROM s"""
 
 
-def _evidence(spark, d, where: str = "true"):
+def _evidence(spark, d):
     c = F.col
-    rows = frames(spark, d).where(where).select((c("v") % 64).alias("u"), ((c("v") * 3) % 36).alias("v"), (c("event_id") % 120 + 1).alias("maximum_area"), F.lit(0.5).alias("confidence"), F.lit(10).alias("duration_frames"))
+    rows = frames(spark, d).select((c("v") % 64).alias("u"), ((c("v") * 3) % 36).alias("v"), (c("event_id") % 120 + 1).alias("maximum_area"), F.lit(0.5).alias("confidence"), F.lit(10).alias("duration_frames"))
     return events.evidence_map(rows, 64, 36).select("x", "y", r4("probability"), "state")
 
 
 @query("gaussian_evidence", _EVIDENCE)
 def gaussian_evidence(spark, d):
-    return _evidence(spark, d, "cls = 'refund' OR event_id % 50 = 0")
+    return _evidence(spark, d)
 
 
-@query("gaussian_evidence_all", _EVIDENCE.replace(" WHERE cls = 'refund' OR event_id % 50 = 0", ""))
+@query("gaussian_evidence_all", _EVIDENCE)
 def gaussian_evidence_all(spark, d):
     return _evidence(spark, d)

@@ -295,3 +295,35 @@ def test_metadata_and_weather(spark):
     assert [(r.mm, r.rain_label, r.factor) for r in rows] == [(0.0, "no_rain", 0.7), (20.0, "moderate_rain", 1.3)]
     status = config.path_status(spark.createDataFrame([("a",)], "path string"), spark.createDataFrame([("a", True), ("b", False)], "path string, required boolean"))
     assert config.overall_status(status).first().overall == "warning"
+
+
+def test_hybrid_evidence_keeps_the_rules_water(spark):
+    from fluvial.operators import events
+
+    rule = spark.createDataFrame([(0, 0, 0.4, "water"), (1, 0, 0.1, "dry"), (2, 0, 0.1, "unknown")], "x int, y int, probability double, state string")
+    model = spark.createDataFrame([(0, 0, 0.1, "dry"), (1, 0, 0.9, "water"), (3, 0, 0.2, "dry")], "x int, y int, probability double, state string")
+    found = {r.x: (r.probability, r.state) for r in events.hybrid_evidence(rule, model).collect()}
+    assert found == {0: (0.4, "water"), 1: (0.9, "water"), 2: (0.1, "unknown"), 3: (0.2, "dry")}
+
+
+def test_classification_metrics_with_abstention(spark):
+    from fluvial.operators import evaluation
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 0, 0.9), (1, 0, 0.5), (1, 0, 0.1), (0, 1, 0.2), (0, 1, 0.7)], "w int, d int, p double")
+    r = evaluation.classification_metrics(rows, F.col("w") == 1, F.col("d") == 1, F.col("p"), 0.4, 0.6).first()
+    assert (r.samples, r.water_water, r.water_dry, r.water_uncertain, r.dry_water, r.dry_dry, r.dry_uncertain) == (5, 1, 1, 1, 1, 1, 0)
+    assert (r.water_precision, r.water_recall, r.water_f1, r.dry_f1, r.uncertain_rate) == (0.5, 1 / 3, 0.4, 0.5, 0.2)
+    assert abs(r.brier_score - (0.01 + 0.25 + 0.81 + 0.04 + 0.49) / 5) < 1e-12
+    empty = evaluation.classification_metrics(rows.limit(0), F.col("w") == 1, F.col("d") == 1, F.col("p"), 0.4, 0.6).first()
+    assert (empty.samples, empty.macro_f1, empty.brier_score, empty.uncertain_rate) == (0, 0.0, 0.0, 0.0)
+
+
+def test_monitor_fails_closed(spark):
+    from fluvial.operators import gates
+
+    columns = "downstream_eligible int, authoritative int, warnings_allowed int, outputs_unchanged boolean, formal_executed boolean, ground_truth_used boolean"
+    rows = spark.createDataFrame([(0, 0, 0, True, False, False), (0, 0, 1, True, False, False), (0, 0, 0, None, False, False)], columns)
+    assert [r.monitor_status for r in gates.monitor(rows).collect()] == ["healthy", "unsafe", "unsafe"]
+    found = gates.fault_suite(rows).collect()
+    assert [r.rejected for r in found[:9]] == [True] * 9 and not any(r.rejected for r in found[9:])
