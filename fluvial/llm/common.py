@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,12 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's shared folder; a local one is set only where none is configured, as in tests."""
+    """Use the session's shared folder; where none is configured a local master gets a local one, and a cluster is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "fluvial-checkpoints"))
 
 
