@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fluvial.llm.common import cut, settle
 from fluvial.llm.components import connected_components
-from fluvial.llm.tokens import chunks_of, runs_of
+from fluvial.llm.tokens import chunks_of, giving_back, runs_of
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 #: Width of a size band: the next begins at so many times its lower end.
@@ -150,7 +150,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
             ids = [i for _, i in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([size for size, _ in found], pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "text_hash", "size", "id"])
 
-    return _texts(docs, F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, size long, id long")
+    return _texts(docs, F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(giving_back(run), "doc_id long, text_hash long, size long, id long")
 
 
 def tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
@@ -201,7 +201,7 @@ def tiles(docs: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
         k, i = np.concatenate([k[same], read("keys", np.uint64, True)]), np.concatenate([i[same], read("ids", np.int64, True)])
         return pa.table({"tile": k.view(np.int64), "id": i})
 
-    packed = _texts(docs).mapInArrow(split, "part long, told boolean, keys binary, ids binary")
+    packed = _texts(docs).mapInArrow(giving_back(split), "part long, told boolean, keys binary, ids binary")
     return packed.groupBy("part").applyInArrow(gather, "tile long, id long")
 
 
@@ -226,7 +226,7 @@ class _Fetch:
                 columns = ([set_id(h) for h in found], pa.int64()), ([len(h) for h in found], pa.int64()), ([c.tobytes() for c in content], pa.binary()), (coarse, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["id", "size", "content", "coarse"])
 
-        found = cut(chosen.mapInArrow(run, "id long, size long, content binary, coarse binary"))
+        found = cut(chosen.mapInArrow(giving_back(run), "id long, size long, content binary, coarse binary"))
         # documents with one id twice are rare, so only then are contents shuffled to make ids different
         return found if found.groupBy("id").count().where("count > 1").isEmpty() else cut(found.dropDuplicates(["id"]))
 

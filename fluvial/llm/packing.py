@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.llm.common import cut
-from fluvial.llm.tokens import read_tokenizer, runs_of, word_encoder
+from fluvial.llm.tokens import giving_back, read_tokenizer, runs_of, word_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -67,7 +67,7 @@ def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int
 
     more = ("part", "row") if order else ()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.cast("long").alias(n) for n, c in zip(more, order or ())))
-    return rows.mapInArrow(run, SCHEMA + "".join(f", {n} long" for n in more))
+    return rows.mapInArrow(giving_back(run), SCHEMA + "".join(f", {n} long" for n in more))
 
 
 def number_sequences(pieces: DataFrame, blocks: int = 1024) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from itertools import chain
 
 import numpy as np
@@ -17,6 +19,20 @@ _LOADED: dict[int, object] = {}
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+)?")
 
 
+def giving_back(run: Callable) -> Callable:
+    """run over batches, after which the worker's free memory goes back to the system: a worker stays small until its next task."""
+
+    @wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def chunks_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different space-separated chunks of texts, the number of each chunk in order, and how many a text has.
 
