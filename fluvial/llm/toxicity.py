@@ -30,7 +30,6 @@ IDENTITY_GROUPS = (
     ("young", "elderly"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 def feature_words(text: str) -> list[str]:
@@ -38,16 +37,15 @@ def feature_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def swapped(text: str, groups=IDENTITY_GROUPS, most: int = 8) -> list[list[str]]:
-    """Words of the whole text after one identity term of one sentence gave way to the next of its group.
+def swapped(text: str, groups=IDENTITY_GROUPS) -> list[list[str]]:
+    """Words of the whole text after one of its identity terms gave way to the next of its group, in every sentence that has it.
 
-    One list for each sentence and term in it, for the first `most` of them. Terms change one at a time, so
-    that the scores of two can't make up for each other.
+    One list for each different term, so there are at most as many as groups have terms, however long the text.
+    Terms change one at a time, so that the scores of two can't make up for each other.
     """
     after = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
-    sentences = [feature_words(s) for s in _SENTENCE.findall(text)]
-    named = [(i, t) for i, s in enumerate(sentences) for t in dict.fromkeys(w for w in s if w in after)][:most]
-    return [[after[w] if j == i and w == t else w for j, s in enumerate(sentences) for w in s] for i, t in named]
+    words = feature_words(text)
+    return [[after[w] if w == t else w for w in words] for t in dict.fromkeys(w for w in words if w in after)]
 
 
 #: Lengths of the beginnings of words that count as features, and the grades a count can reach.
@@ -183,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     document the greatest counts. A word, a beginning of words, or a grade of its count is used if at
     least 3 documents have it and its share of label 1 differs from the whole by more than chance over all
     (documents * divergence > log of their number), and so are identity terms. The loss is the mean log loss, l2 / 2 * |w|^2, and swap_penalty times the mean square
-    of the change in log-odds when a sentence's identity terms are swapped. Without labels, or with only
+    of the change in log-odds when an identity term of the sentences is swapped. Without labels, or with only
     one, the score is the smoothed share of label 1 for every text.
     """
     table = _examples(docs, labels, label, folds, held, most, groups)
@@ -255,6 +253,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The documents, with all their columns, whose score stays below threshold."""
+    """The documents, with all their columns, whose score stays below threshold.
+
+    A null or empty text has the score of no words; repeated rows share one fate, null ids too; an empty table
+    stays empty; columns of any other name stay as they are.
+    """
     model = fit(docs, labels, **options)
     return docs.where(model.column(F.col("text")) < threshold)

@@ -122,6 +122,8 @@ def test_toxicity_ignores_who_is_named(spark):
     insulting = {i for i, t in rows if "you " in t}
     assert all((x.predicted == 1) == (x.doc_id in insulting) for x in held) and len(held) > 100
     assert toxicity.swapped("A muslim spoke. Rain fell.")[0] == ["a", "christian", "spoke", "rain", "fell"]
+    late = toxicity.swapped("Rain fell. " * 50 + "A muslim spoke. Women sang. " * 20)  # every mention, wherever it stands
+    assert [(x.count("muslim"), x.count("christian"), x.count("women"), x.count("men")) for x in late] == [(0, 20, 20, 0), (20, 0, 0, 20)]
 
 
 def test_suffix_tree_sums_to_one_and_matches_brute_base(docs, spark):
