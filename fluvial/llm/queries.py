@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.llm import curriculum, fingerprint, jaccard_join, licenses, media, packing, sharding, suffix_tree, token_counts, toxicity
+from fluvial.llm import curriculum, fill_middle, filter_audit, fingerprint, grammar, jaccard_join, licenses, media, packing, sharding, suffix_tree, token_counts, toxicity
 from fluvial.llm.common import table
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -60,6 +60,18 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_features(table(spark, sf_dir, "documents"))
 
 
+def op11_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.stored_documents(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform(table(spark, sf_dir, "documents"), digests=True).drop("segments")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
@@ -72,8 +84,17 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_token_counts": op9_token_counts,
         "op10_progressive_jpeg": op10_progressive_jpeg,
+        "op11_repair_files": op11_repair_files,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_time_varying_curriculum": curriculum.oracle(), "op7_weighted_hash_tree": sharding.oracle(), "op8_ngram_jaccard_join": jaccard_join.oracle()}
+    return {
+        "op5_time_varying_curriculum": curriculum.oracle(),
+        "op7_weighted_hash_tree": sharding.oracle(),
+        "op8_ngram_jaccard_join": jaccard_join.oracle(),
+        "op12_fill_in_middle": fill_middle.oracle(),
+        "op13_filter_audit": filter_audit.oracle(),
+    }

@@ -89,6 +89,8 @@ class WordEncoder:
     their call, which bounds a worker's memory.
     """
 
+    pattern, units_of = _PLAIN, staticmethod(chunks_of)
+
     def __init__(self, text: str, most: int = 200_000):
         self.tokenizer = load(text)
         found = re.search(r'"end_of_word_suffix"\s*:\s*"([^"]*)"', text)
@@ -138,7 +140,7 @@ class WordEncoder:
 
     def _learn(self, missing: list[str]) -> list[str]:
         """Learn chunks; returns these and the parts of them that were learnt on the way."""
-        match, codes = _PLAIN.fullmatch, self.codes
+        match, codes = self.pattern.fullmatch, self.codes
         found = [match(c) for c in missing] if self.plain else [None] * len(missing)
         both = [(c, m[1], m[2]) for c, m in zip(missing, found) if m and m[2]]
         stems = list(dict.fromkeys([c for c, m in zip(missing, found) if m and not m[2]] + [s for _, s, _ in both if s not in codes]))
@@ -161,8 +163,8 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow array of texts one after another, and each text's number of ids."""
-        full, used = len(self.codes) >= self.most, self.used
-        names, codes, sizes = chunks_of(texts)
+        full, used = len(self.codes) >= self.most or self.used >= 20 * self.most, self.used
+        names, codes, sizes = self.units_of(texts)
         missing = [c for c in names if c not in self.codes]
         learnt = self._learn(missing) if missing else []
         codes = np.fromiter(map(self.codes.__getitem__, names), np.int64, len(names))[codes] if len(codes) else np.zeros(0, np.int64)
@@ -175,13 +177,77 @@ class WordEncoder:
         return ids, np.diff(upto)
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
+#: Fixed value: as _PLAIN, with the one space that a byte-level token may begin with.
+_SPACED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+)?")
 
 
-def word_encoder(text: str) -> WordEncoder:
-    key = hash(text)
+class ByteEncoder(WordEncoder):
+    """Ids of whole texts, equal to the library's, for a byte-level BPE whose tokens begin with at most one space.
+
+    Such a tokenizer always begins a new pre-token at a single space between two characters that aren't white
+    space, so a text's ids are those of its units, cut before each such space, one after another. Units are
+    learnt once and kept as in WordEncoder. Pieces beside other white space stay one unit with their neighbours.
+    """
+
+    pattern = _SPACED
+
+    def __init__(self, text: str, most: int = 200_000):
+        super().__init__(text, most)
+        self.begins = np.zeros(len(self.ends), bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.startswith("Ġ")]] = True
+        self.plain = True
+
+    def _learn_letters(self, stems: list[str]) -> None:
+        spaced, rest = [s for s in stems if s[0] == " "], [s for s in stems if s[0] != " "]
+        for a in range(0, len(spaced), 2000):
+            part = spaced[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(part) and at[0] == 0:
+                self._keep(part, ids, np.diff(at, append=len(ids)))
+            else:
+                rest += part
+        self._learn_each(rest)
+
+    def units_of(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Different units of texts, the number of each unit in order, and how many a text has."""
+        listed = pc.split_pattern(texts.fill_null(""), " ")
+        coded = listed.flatten().dictionary_encode()
+        names, codes = coded.dictionary, coded.indices.to_numpy()
+        ends = listed.offsets.to_numpy()[1:] - listed.offsets[0].as_py()
+        first = np.zeros(len(codes), bool)
+        first[np.concatenate([[0], ends[:-1]])[: len(ends)]] = True
+        # pieces that may follow a cut, and that a cut may follow
+        filled = pc.not_equal(names, "")
+        head, tail = (pc.and_(filled, pc.equal(trim(names), names)).to_numpy(zero_copy_only=False) for trim in (pc.utf8_ltrim_whitespace, pc.utf8_rtrim_whitespace))
+        starts = first.copy()
+        starts[1:] |= tail[codes[:-1]] & head[codes[1:]]
+        at = np.flatnonzero(starts)
+        size = np.diff(at, append=len(codes))
+        # a unit of one piece is its name, with a space unless it begins its text
+        key = np.where(first[at], codes[at].astype(np.int64) + len(names), codes[at])
+        used = np.zeros(2 * len(names), bool)
+        several = np.flatnonzero(size > 1)
+        used[key[size == 1]] = True
+        number = np.cumsum(used) - 1
+        bare = names.filter(pa.array(used[len(names) :]))
+        found = pc.binary_join_element_wise("", names.filter(pa.array(used[: len(names)])), " ").to_pylist() + bare.to_pylist()
+        unit = number[key]
+        if len(several):
+            numbers = dict(zip(found, range(len(found))))
+            for u, a, n in zip(several.tolist(), at[several].tolist(), size[several].tolist()):
+                text = ("" if first[a] else " ") + " ".join(names.take(pa.array(codes[a : a + n])).to_pylist())
+                unit[u] = numbers.setdefault(text, len(numbers))
+            found = list(numbers)
+        return found, unit, np.diff(np.searchsorted(at, ends), prepend=0)
+
+_ENCODERS: dict[tuple, WordEncoder] = {}
+
+
+def word_encoder(text: str, kind: type[WordEncoder] = WordEncoder) -> WordEncoder:
+    key = kind, hash(text)
     if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(text)
+        _ENCODERS[key] = kind(text)
     return _ENCODERS[key]
 
 
