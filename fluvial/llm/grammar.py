@@ -72,43 +72,39 @@ class Shard:
     """One shard opened for reading at any place."""
 
     def __init__(self, terminals: int, rules: bytes, lengths: bytes, symbols: bytes):
-        self.terminals, self.symbols = terminals, np.frombuffer(symbols, "<u4").astype(np.int64)
-        pairs, self.lengths = np.frombuffer(rules, "<u4").reshape(-1, 2).astype(np.int64), np.frombuffer(lengths, "<u4").astype(np.int64)
-        self.ends = np.cumsum(self._length(self.symbols))
-        self.begins = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.flat = self._expanded(pairs)
-
-    def _length(self, symbols: np.ndarray) -> np.ndarray:
-        return np.where(symbols < self.terminals, 1, self.lengths[np.maximum(symbols - self.terminals, 0)]) if len(self.lengths) else np.ones(len(symbols), np.int64)
-
-    def _expanded(self, pairs: np.ndarray) -> np.ndarray:
+        self.symbols = np.frombuffer(symbols, "<u4").astype(np.int32)
+        pairs = np.frombuffer(rules, "<u4").reshape(-1, 2).astype(np.int32)
+        #: Of every symbol, how many ids it expands to and where they begin in flat.
+        self.lengths = np.concatenate([np.ones(terminals, np.int32), np.frombuffer(lengths, "<u4").astype(np.int32)])
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.concatenate([np.arange(terminals, dtype=np.int32), self._expanded(pairs, terminals)])
+        self.ends = np.cumsum(self.lengths[self.symbols], dtype=np.int64)
+
+    @staticmethod
+    def _expanded(pairs: np.ndarray, terminals: int) -> np.ndarray:
         """All rules' ids one after another: every rule is replaced by its pair, again and again."""
         flat = pairs.ravel()
-        while len(rule := np.flatnonzero(flat >= self.terminals)):
+        while len(rule := np.flatnonzero(flat >= terminals)):
             size = np.ones(len(flat), np.int64)
             size[rule] = 2
             at = np.cumsum(size) - size
-            wide = np.empty(int(size.sum()), np.int64)
+            wide = np.empty(int(size.sum()), np.int32)
             wide[at] = flat
-            wide[at[rule]], wide[at[rule] + 1] = pairs[flat[rule] - self.terminals].T
+            wide[at[rule]], wide[at[rule] + 1] = pairs[flat[rule] - terminals].T
             flat = wide
         return flat
 
     def read(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids from start to stop; only symbols that reach into this stretch are expanded."""
         stop = (int(self.ends[-1]) if len(self.ends) else 0) if stop is None else stop
-        a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
+        a, b = int(np.searchsorted(self.ends, start, "right")), int(np.searchsorted(self.ends, stop, "left")) + 1
         symbols = self.symbols[a:b]
-        size = self._length(symbols)
-        rule = symbols >= self.terminals
-        base = np.where(rule, self.begins[np.maximum(symbols - self.terminals, 0)] if len(self.lengths) else 0, 0)
-        ends = np.cumsum(size)
-        at = np.repeat(base - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-        ids = np.repeat(symbols, size)
-        inner = np.repeat(rule, size)
-        ids[inner] = self.flat[at[inner]]
+        size = self.lengths[symbols]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = np.repeat(self.begins[symbols] - ends + size, size)
+        ids += np.arange(len(ids))
         before = int(self.ends[a - 1]) if a else 0
-        return ids[start - before : stop - before]
+        return self.flat[ids[start - before : stop - before]]
 
 
 def shifted(crc: int, n: int) -> int:
@@ -160,7 +156,7 @@ def _shards(batches: Iterator[pa.RecordBatch], part: int, spec: str, end_id: int
         yield closed(np.concatenate(held), pieces)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids: int = 1 << 20, batch_bytes: int = 4 << 20, least: int = 16) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids: int = 1 << 19, batch_bytes: int = 8 << 20, least: int = 16) -> None:
     """Write the ids of every document and then end_id, in ascending doc_id, as shards of the module's format.
 
     Texts are range-partitioned by doc_id once; each task encodes its part in runs of about batch_bytes of text

@@ -191,23 +191,16 @@ class ByteEncoder(WordEncoder):
 
     pattern = _SPACED
 
-    def __init__(self, text: str, most: int = 200_000):
+    def __init__(self, text: str, most: int = 800_000):
         super().__init__(text, most)
-        self.begins = np.zeros(len(self.ends), bool)
-        self.begins[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.startswith("Ġ")]] = True
         self.plain = True
 
     def _learn_letters(self, stems: list[str]) -> None:
-        spaced, rest = [s for s in stems if s[0] == " "], [s for s in stems if s[0] != " "]
-        for a in range(0, len(spaced), 2000):
-            part = spaced[a : a + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(self.begins[ids])
-            if len(at) == len(part) and at[0] == 0:
-                self._keep(part, ids, np.diff(at, append=len(ids)))
-            else:
-                rest += part
-        self._learn_each(rest)
+        """ASCII letters stand for themselves among the vocabulary's characters, so the model takes them as they are."""
+        own = [s.replace(" ", "Ġ") for s in stems if s.isascii()]
+        found = [[t.id for t in tokens] for tokens in map(self.tokenizer.model.tokenize, own)]
+        self._keep([s for s in stems if s.isascii()], np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        self._learn_each([s for s in stems if not s.isascii()])
 
     def units_of(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Different units of texts, the number of each unit in order, and how many a text has."""
