@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvial.llm.common import ensure_checkpoint_dir
@@ -30,6 +30,15 @@ PIECES = "part int, ordinal long, doc_id long, at long, n_tokens long, crc long"
 _DOCUMENTS = pa.list_(pa.struct([("ordinal", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("total", pa.int64())]))
 
 
+#: Pairs are counted in 2 ** BITS bins first.
+BITS = 18
+
+
+def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bin of each pair by a multiplicative hash."""
+    return (((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - BITS)).astype(np.intp)
+
+
 def compress(ids: np.ndarray, terminals: int, least: int = 16, most_rules: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (pairs) and their expansion lengths of an array of ids below terminals.
 
@@ -39,8 +48,8 @@ def compress(ids: np.ndarray, terminals: int, least: int = 16, most_rules: int =
     """
     seq, rules, lengths, made = ids.astype(np.uint32), [np.empty((0, 2), np.int64)], np.ones(terminals, np.int64), 0
     while len(seq) > 1 and made < most_rules:
-        bins = ((seq[:-1] * np.uint32(2654435761)) ^ (seq[1:] * np.uint32(2246822519))) >> np.uint32(14)
-        full = np.bincount(bins, minlength=1 << 18)
+        bins = _bins(seq[:-1], seq[1:])
+        full = np.bincount(bins, minlength=1 << BITS)
         bound = max(least, int(full.max()) // 4)
         where = np.flatnonzero((full >= bound)[bins])
         pairs = (seq[where].astype(np.int64) << 32) | seq[where + 1]
@@ -49,8 +58,12 @@ def compress(ids: np.ndarray, terminals: int, least: int = 16, most_rules: int =
         count = np.diff(first, append=len(ordered))
         if not len(count) or count.max() < least:
             break
-        chosen = ordered[first[count >= min(bound, count.max())]][: most_rules - made]
-        which = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
+        frequent = np.flatnonzero(count >= min(bound, count.max()))
+        chosen = ordered[first[frequent[np.argsort(count[frequent], kind="stable")]]][-(most_rules - made) :]
+        # a bin holds its most frequent pair; another one of the same bin waits for a later round
+        held = np.full(1 << BITS, -1)
+        held[_bins((chosen >> 32).astype(np.uint32), chosen.astype(np.uint32))] = np.arange(len(chosen))
+        which = held[bins[where]]
         found = chosen[which] == pairs
         hit, which = where[found], which[found]
         # of hits that overlap, the first, third and so on of each run
@@ -206,7 +219,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     # one row a part, so at most as many as the writing job had tasks
     parts = spark.read.parquet(path).groupBy("part").agg(F.sum("ids").alias("_n"))
-    before = parts.alias("a").join(parts.alias("b"), F.col("a.part") > F.col("b.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    before = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
     found = read_pieces(spark, path).groupBy("part", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("_at"), F.first("n_tokens").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     return found.join(F.broadcast(before), "part").select("doc_id", (F.col("_before") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 

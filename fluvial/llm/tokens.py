@@ -165,9 +165,12 @@ class WordEncoder:
         """All ids of an Arrow array of texts one after another, and each text's number of ids."""
         full, used = len(self.codes) >= self.most or self.used >= 20 * self.most, self.used
         names, codes, sizes = self.units_of(texts)
-        missing = [c for c in names if c not in self.codes]
-        learnt = self._learn(missing) if missing else []
-        codes = np.fromiter(map(self.codes.__getitem__, names), np.int64, len(names))[codes] if len(codes) else np.zeros(0, np.int64)
+        known = list(map(self.codes.get, names))
+        new = [k for k, c in enumerate(known) if c is None]
+        learnt = self._learn([names[k] for k in new]) if new else []
+        for k in new:
+            known[k] = self.codes[names[k]]
+        codes = np.array(known, np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
         ids, counts = self._ids(codes)
         upto = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
         if full:  # chunks met by now are mostly rare: these aren't kept
@@ -193,6 +196,8 @@ class ByteEncoder(WordEncoder):
 
     def __init__(self, text: str, most: int = 800_000):
         super().__init__(text, most)
+        self.begins = np.zeros(len(self.ends), bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.startswith("Ġ")]] = True
         self.plain = True
 
     def _learn_letters(self, stems: list[str]) -> None:
@@ -202,6 +207,20 @@ class ByteEncoder(WordEncoder):
         self._keep([s for s in stems if s.isascii()], np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
         self._learn_each([s for s in stems if not s.isascii()])
 
+    def _learn_each(self, chunks: list[str]) -> None:
+        """Chunks with a space in front alone go to the library as one text, cut where tokens begin with a space."""
+        joined, rest = [c for c in chunks if c.rfind(" ") == 0 and not c[-1].isspace()], []
+        for a in range(0, len(joined), 1000):
+            part = joined[a : a + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(part) and at[0] == 0:
+                self._keep(part, ids, np.diff(at, append=len(ids)))
+            else:
+                rest += part
+        alone = {*joined}
+        super()._learn_each(rest + [c for c in chunks if c not in alone])
+
     def units_of(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Different units of texts, the number of each unit in order, and how many a text has."""
         listed = pc.split_pattern(texts.fill_null(""), " ")
