@@ -1,4 +1,4 @@
-"""Track association as a stream: the same rule as in batch, its open tracks kept as state."""
+"""Track association as a stream in event time: the same rule as in batch, open frames and open tracks kept as state."""
 
 from __future__ import annotations
 
@@ -7,35 +7,92 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fluvial.operators.events import CANDIDATE, OpenTracks
 
+#: Session setting that stateful processors with timers need.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-def stream_associate(candidates: DataFrame, sequence: str, max_gap: int = 2, **options) -> DataFrame:
-    """candidates (a stream) with track.
 
-    A sequence's state is its open tracks alone, which the gap bounds. Frames of one batch are taken in order;
-    rows of a frame at or before the last one taken are dropped as late.
+class Association(StatefulProcessor):
+    """One sequence's state: rows of frames that may still grow (`open`), and its open tracks (`tracks`).
+
+    A frame is associated when the watermark has passed its time, so rows of one frame may come in any number
+    of batches. Open tracks are those of the last max_gap + 1 frames; forget_ms after a sequence's last frame
+    both states go.
     """
-    rows = candidates.select(sequence, *CANDIDATE)
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tracks, last = OpenTracks(max_gap=max_gap, **options), -1
-        if state.exists:
-            kept = json.loads(state.get[0])
-            tracks.count, last = kept["count"], kept["last"]
-            tracks.last = {int(t): c for t, c in kept["open"].items()}
-        group = pd.concat(list(batches))
+
+    def __init__(self, fields: list[str], types: str, forget_ms: int, options: dict):
+        self.fields, self.types, self.forget_ms, self.options = fields, types, forget_ms, options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", self.types)
+        self.tracks = handle.getValueState("tracks", "kept string, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for part in rows:
+            part = part[["ms", *self.fields]]
+            self.open.appendList([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in part.itertuples(index=False)])
+            for ms in part["ms"].unique().tolist():
+                self.handle.registerTimer(int(ms))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # the first timer of a batch takes all frames that the watermark has passed; the others find none
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = pd.DataFrame(list(self.open.get()), columns=["ms", *self.fields])
+        ready, waiting = held[held["ms"] <= now], held[held["ms"] > now]
+        if not len(ready):
+            if not len(waiting) and self.tracks.exists() and self.tracks.get()[1] + self.forget_ms <= now:
+                self.tracks.clear()
+                self.open.clear()
+            return
+        tracks, last = OpenTracks(**self.options), None
+        if self.tracks.exists():
+            text, last = self.tracks.get()
+            kept = json.loads(text)
+            tracks.count, tracks.last = kept["count"], {int(t): c for t, c in kept["open"].items()}
         parts = []
-        for frame, own in group[group["frame"] > last].sort_values(["frame", "candidate_id"]).groupby("frame"):
-            own = own.copy()
-            own["track"] = tracks.step(int(frame), own.to_dict("records"))
-            last = int(frame)
+        for (ms, frame), own in ready.sort_values(["frame", "candidate_id"]).groupby(["ms", "frame"]):
+            if last is not None and ms - last > self.forget_ms:  # a new sequence, however batches fell
+                tracks = OpenTracks(**self.options)
+            own, last = own.copy(), int(ms)
+            own["track"] = tracks.step(int(frame), own[self.fields].to_dict("records"))
             parts.append(own)
-        plain = {t: {k: (v.item() if hasattr(v, "item") else v) for k, v in c.items()} for t, c in tracks.last.items()}
-        state.update((json.dumps({"count": tracks.count, "last": last, "open": plain}),))
-        if parts:
-            yield pd.concat(parts)
+        if not len(waiting) and last + self.forget_ms <= now:
+            self.tracks.clear()
+            self.open.clear()
+        else:
+            plain = {t: {k: (v.item() if hasattr(v, "item") else v) for k, v in c.items()} for t, c in tracks.last.items()}
+            self.tracks.update((json.dumps({"count": tracks.count, "open": plain}), last))
+            self.open.clear()
+            if len(waiting):
+                self.open.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in waiting.itertuples(index=False)])
+            self.handle.registerTimer(last + self.forget_ms)
+        found = pd.concat(parts).drop(columns="ms")
+        found.insert(0, "sequence_key", key[0])
+        yield found
 
-    return rows.groupBy(sequence).applyInPandasWithState(run, f"{fields}, track int", "kept string", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def stream_associate(candidates: DataFrame, sequence: str, time: str, late: str = "0 seconds", forget_ms: int = 3_600_000, **options) -> DataFrame:
+    """candidates (a stream) with track, in append mode: each frame once, when the watermark has passed its time.
+
+    time is the frame's time, the same in all of its rows; rows later than `late` behind the newest time seen
+    are dropped, as Spark's watermark does. A sequence that goes on more than forget_ms after its last frame
+    is a new one, whose tracks count from 0. The session must use the state store of PROVIDER. Times are whole
+    milliseconds; null times and null sequences are left out.
+    """
+    rows = candidates.where(F.col(time).isNotNull() & F.col(sequence).isNotNull()).withWatermark(time, late)
+    rows = rows.select(F.col(sequence).alias("sequence_key"), time, F.unix_millis(time).alias("ms"), *CANDIDATE)
+    types = dict(rows.dtypes)
+    fields = ", ".join(f"`{n}` {types[n]}" for n in CANDIDATE)
+    found = rows.groupBy("sequence_key").transformWithStateInPandas(
+        Association(list(CANDIDATE), f"ms long, {fields}", forget_ms, options), f"sequence_key {types['sequence_key']}, {fields}, track int", "append", "eventtime"
+    )
+    return found.withColumnRenamed("sequence_key", sequence)

@@ -38,6 +38,31 @@ def sessions(events: DataFrame, time: str, keys: list[str], gap: str, late: str
     return rows.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
 
 
+def run_to_watermark(spark: SparkSession, stream_of, path: str, end: DataFrame, settings: dict[str, str] | None = None, **options) -> DataFrame:
+    """What a stream in append mode gives for the files under path and then for the rows of end, which close its windows.
+
+    stream_of makes the query's stream of a stream of files, read with end's schema. The files run to their end
+    first; then the same query goes on from its checkpoint with end alone, whose late times move the watermark
+    past every row before. settings hold while it runs.
+    """
+    folder = shared_folder(spark)
+    kept = {k: spark.conf.get(k, None) for k in settings or {}}
+    end.limit(0).write.parquet(f"{folder}/end")
+    files = lambda at, **more: spark.readStream.schema(end.schema).options(**more).parquet(at)
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        for closing in (False, True):
+            if closing:
+                end.write.mode("append").parquet(f"{folder}/end")
+            both = stream_of(files(path, **options).union(files(f"{folder}/end")))
+            both.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.parquet(f"{folder}/out")
+
+
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream over the files present gives, written to the shared folder and read back."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
