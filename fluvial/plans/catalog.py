@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluvial.plans import chains, frames, images, levels, rasters, registry, streams
+from fluvial.plans import chains, frames, images, levels, rasters, registry, runs, streams
 
-MODULES = (rasters, frames, chains, streams, images, levels)
+MODULES = (rasters, frames, chains, streams, images, levels, runs)
 
 
 def queries() -> dict[str, registry.Query]:
