@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluvial.functions.exprs import ratio_floor_one, ratio_or_null, ratio_or_zero
 from fluvial.operators.joins import nearest_distance
+from fluvial.operators.order import ranked
 from fluvial.sources.checkpoints import cut
 
 #: Neighbours of a cell.
@@ -55,31 +58,72 @@ def outer_ring(mask: DataFrame, nx: int, ny: int) -> DataFrame:
     return dilate(mask, nx, ny).join(mask, ["ix", "iy"], "left_anti")
 
 
-def components(mask: DataFrame, connectivity: int = 8, most_rounds: int = 100) -> DataFrame:
+#: Cells along the sides of the blocks that components are first found in.
+BLOCK = 256
+
+
+def _local_roots(ix: np.ndarray, iy: np.ndarray, steps: Sequence[tuple[int, int]]) -> np.ndarray:
+    """For different cells in order of iy, ix the index of the first cell of each one's component."""
+    wide = int(ix.max() - ix.min()) + 3
+    place = (iy - iy.min() + 1) * wide + (ix - ix.min() + 1)
+    pairs = []
+    for i, j in steps:
+        if (j, i) < (0, 0):  # each pair of neighbours from its later cell alone
+            at = np.minimum(np.searchsorted(place, place + j * wide + i), len(place) - 1)
+            met = np.flatnonzero(place[at] == place + j * wide + i)
+            pairs.append(np.stack([at[met], met]))
+    a, b = np.concatenate(pairs, axis=1)
+    root = np.arange(len(place))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def components(mask: DataFrame, connectivity: int = 8, block: int = BLOCK, most_rounds: int = 100) -> DataFrame:
     """mask with component (1 for the one that comes first in order of iy, ix) for four or eight neighbours.
 
-    Each round gives a cell the least number among its own, its neighbours', and that of the cell its number
-    names; so numbers also jump, and rounds grow slower than the longest path. Rounds are checkpointed.
+    Components are found within blocks of cells first, so that only pairs of their first cells meet across
+    blocks' borders; each round gives such a cell the least one among its own, its partners', and that of the
+    cell that it names. So rounds grow with the logarithm of the blocks that a component spans, and are
+    checkpointed. A task holds one block.
     """
     steps = FOUR if connectivity == 4 else EIGHT
-    wide = mask.agg((F.max("ix") + 1).alias("w")).first()["w"]
-    if wide is None:
-        return mask.withColumn("component", F.lit(0).cast("int"))
-    own = F.col("iy") * F.lit(int(wide)) + F.col("ix")
-    cells = cut(mask.select("ix", "iy").distinct().withColumn("_c", own))
-    for _ in range(most_rounds):
-        told = neighbours(cells, steps, ["_c"]).select("ix", "iy", "_c").join(cells.select("ix", "iy"), ["ix", "iy"], "left_semi")
-        least = told.unionByName(cells).groupBy("ix", "iy").agg(F.min("_c").alias("_c"))
-        root = least.select(own.alias("_c"), F.col("_c").alias("_r"))
-        jumped = cut(least.join(root, "_c").select("ix", "iy", F.least("_c", "_r").alias("_c")))
-        changed = jumped.withColumnRenamed("_c", "_n").join(cells, ["ix", "iy"]).where("_n <> _c").isEmpty()
-        cells = jumped
-        if changed:
-            break
-    else:
-        raise RuntimeError("components didn't settle")
-    roots = cells.select("_c").distinct()
-    numbered = roots.select("_c", F.expr("row_number() over (order by _c)").cast("int").alias("component"))  # one row a component
+
+    def local(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates().sort_values(["iy", "ix"])
+        x, y = group["ix"].to_numpy(), group["iy"].to_numpy()
+        root = _local_roots(x, y, steps)
+        return pd.DataFrame({"ix": x, "iy": y, "ry": y[root], "rx": x[root]})
+
+    whole = mask.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy")).where("ix IS NOT NULL AND iy IS NOT NULL")
+    blocks = whole.groupBy(F.floor(F.col("ix") / block).alias("bx"), F.floor(F.col("iy") / block).alias("by"))
+    cells = cut(blocks.applyInPandas(local, "ix long, iy long, ry long, rx long").withColumn("_c", F.struct("ry", "rx")).select("ix", "iy", "_c"))
+    last = F.pmod(F.col("ix"), F.lit(block)).isin(0, block - 1) | F.pmod(F.col("iy"), F.lit(block)).isin(0, block - 1)
+    border = cells.where(last)
+    met = neighbours(border, steps, ["_c"]).withColumnRenamed("_c", "_o").join(border, ["ix", "iy"]).where("_c <> _o").select("_c", "_o").distinct()
+    edges, roots = cut(met), None
+    if not edges.isEmpty():
+        labels = cut(edges.select(F.col("_c").alias("_v"), F.col("_c").alias("_m")).distinct())
+        for _ in range(most_rounds):
+            told = edges.join(labels, edges["_o"] == labels["_v"]).select(edges["_c"].alias("_v"), "_m")
+            least = told.unionByName(labels).groupBy("_v").agg(F.min("_m").alias("_m"))
+            root = least.select(F.col("_v").alias("_m"), F.col("_m").alias("_r"))
+            jumped = cut(least.join(root, "_m").select("_v", F.least("_m", "_r").alias("_m")))
+            settled = jumped.withColumnRenamed("_m", "_n").join(labels, "_v").where("_n <> _m").isEmpty()
+            labels = jumped
+            if settled:
+                break
+        else:
+            raise RuntimeError("components didn't settle")
+        roots = labels.select(F.col("_v").alias("_c"), "_m")
+        cells = cells.join(roots, "_c", "left").select("ix", "iy", F.coalesce("_m", "_c").alias("_c"))
+    numbered = ranked(cells.select("_c").distinct(), ["_c"], "_n").select("_c", (F.col("_n") + 1).cast("int").alias("component"))
     return cells.join(numbered, "_c").select("ix", "iy", "component")
 
 

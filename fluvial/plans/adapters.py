@@ -111,3 +111,26 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORED = """scored AS (SELECT d.doc_id, d.source, d.lang, round(least(n_chars / 5000.0::DOUBLE, 1.0::DOUBLE), 4) AS score, l.quality AS truth
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+#: Columns of the wide grid: its rows are lineitem's suppliers, so it grows with the table.
+WIDE = 100
+
+
+def wide_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as a raster of WIDE columns and one row a supplier: z, the median price of a cell, and n."""
+    rows = table(spark, sf_dir, "lineitem").select(((F.col("l_partkey") * 7 + F.col("l_linenumber") * 13) % WIDE).cast("long").alias("ix"), F.col("l_suppkey").cast("long").alias("iy"), F.col("l_extendedprice").alias("z"))
+    return rows.groupBy("ix", "iy").agg(F.count("*").alias("n"), F.round(F.percentile("z", 0.5), 4).alias("z"))
+
+
+WIDE_RASTER = f"wide AS (SELECT ((l_partkey * 7 + l_linenumber * 13) % {WIDE})::BIGINT AS ix, l_suppkey::BIGINT AS iy, count(*) AS n, round(median(l_extendedprice), 4) AS z FROM lineitem GROUP BY 1, 2)"
+
+
+def wide_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as an image of WIDE columns, a pixel an event: purchases and sign-ups are water, every other view is unknown."""
+    state = F.when(F.col("event_type").isin("purchase", "signup"), "water").when((F.col("event_type") == "view") & (F.col("event_id") % 2 == 0), "unknown").otherwise("dry")
+    return table(spark, sf_dir, "events").select((F.col("event_id") % WIDE).alias("u"), F.floor(F.col("event_id") / WIDE).alias("v"), state.alias("state"))
+
+
+WIDE_PIXELS = f"""px AS (SELECT event_id % {WIDE} AS u, event_id // {WIDE} AS v, CASE WHEN event_type IN ('purchase', 'signup') THEN 'water'
+  WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'unknown' ELSE 'dry' END AS state FROM events)"""

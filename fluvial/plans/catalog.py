@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluvial.plans import chains, frames, images, levels, rasters, registry, runs, streams
+from fluvial.plans import chains, frames, images, levels, rasters, registry, runs, streams, support
 
-MODULES = (rasters, frames, chains, streams, images, levels, runs)
+MODULES = (rasters, frames, chains, streams, images, levels, runs, support)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -70,10 +70,11 @@ def test_components_and_holes_against_a_search(spark):
                     seen.add(c)
                     todo += [(c[0] + i, c[1] + j) for i, j in steps]
             want.append(seen)
-        parts = {}
-        for row in regions.components(cells(spark, mask), n).collect():
-            parts.setdefault(row.component, set()).add((row.ix, row.iy))
-        assert [parts[k] for k in sorted(parts)] == want
+        for block in (3, 256):  # a component over many blocks, and all in one
+            parts = {}
+            for row in regions.components(cells(spark, mask), n, block).collect():
+                parts.setdefault(row.component, set()).add((row.ix, row.iy))
+            assert [parts[k] for k in sorted(parts)] == want
     ring = {(x, y) for x in range(5) for y in range(5)} - {(2, 2)}
     assert got(regions.holes(cells(spark, ring), 8, 8)) == {(2, 2)}
     assert got(regions.fill_holes(cells(spark, ring), 8, 8)) == ring | {(2, 2)}
