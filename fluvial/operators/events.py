@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.functions.exprs import clip, ratio_or_zero
+from fluvial.operators.evidence import TILE, kernel_tiles
 from fluvial.operators.joins import near_pairs
 
 #: Columns of a candidate besides its sequence.
@@ -202,15 +203,6 @@ def hybrid_classification(rows: DataFrame, probability: Column, low: float, high
     return rows.withColumn("classification", probability_class(probability, low, high)).withColumn("confidence", F.greatest(probability, 1 - probability))
 
 
-def hybrid_evidence(rule: DataFrame, model: DataFrame) -> DataFrame:
-    """Pixels of two evidence maps: the greater probability; water where the rule says so, whatever the model says, or the model does."""
-    side = lambda m, n: m.select("x", "y", F.col("probability").alias(f"_{n}p"), F.col("state").alias(f"_{n}s"))
-    both = side(rule, "r").join(side(model, "m"), ["x", "y"], "full")
-    water = F.coalesce(F.col("_rs") == "water", F.lit(False)) | F.coalesce(F.col("_ms") == "water", F.lit(False))
-    dry = F.coalesce(F.col("_rs") == "dry", F.lit(False)) | F.coalesce(F.col("_ms") == "dry", F.lit(False))
-    return both.select("x", "y", F.greatest("_rp", "_mp").alias("probability"), F.when(water, "water").when(dry, "dry").otherwise("unknown").alias("state"))
-
-
 def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, weight: str | None = None, l2: float = 0.02, rate: float = 0.08, steps: int = 1800, most_rows: int = 200_000) -> dict:
     """Weighted full-batch gradient descent from zero weights and the prior's bias, over z-scores kept in [-12, 12].
 
@@ -241,20 +233,14 @@ def sample_negatives(rows: DataFrame, keys: Sequence[str], positive: Column, ord
 
 
 def evidence_map(tracks: DataFrame, width: int, height: int, least_sigma: float = 4.0, reach: float = 22.0, scale: float = 1.6, water_at: float = 0.30, unknown_below: float = 0.08) -> DataFrame:
-    """Pixels near water tracks with probability, supporting tracks and state: water, unknown or dry.
+    """Pixels near water tracks with evidence, supporting tracks, probability and state: water, unknown or dry.
 
     tracks: u, v, maximum_area, confidence, duration_frames. Each track spreads a Gaussian over the pixels in
-    its reach alone; pixels that none reaches are unknown and have no row.
+    its reach alone, summed tile by tile; pixels that none reaches are unknown and have no row.
     """
-    sigma = F.greatest(F.lit(least_sigma), F.least(F.lit(reach / 2.5), F.sqrt(F.greatest(F.col("maximum_area").cast("double"), F.lit(1.0)) / F.pi()) * 1.3))
-    rows = tracks.withColumn("_sigma", sigma).withColumn("_support", F.least(F.lit(reach), F.col("_sigma") * 2.5))
-    # bounds are cut toward zero, as integer conversion does
-    span = lambda c, n: F.sequence(F.greatest(F.lit(0), (F.col(c) - F.col("_support")).cast("int")), F.least(F.lit(n), (F.col(c) + F.col("_support")).cast("int") + 1) - 1)
-    inside = rows.where((F.col("u") + F.col("_support") >= 0) & (F.col("v") + F.col("_support") >= 0) & ((F.col("u") - F.col("_support")).cast("int") < width) & ((F.col("v") - F.col("_support")).cast("int") < height))
-    pixels = inside.withColumn("x", F.explode(span("u", width))).withColumn("y", F.explode(span("v", height)))
-    kernel = F.exp(-0.5 * ((F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v"))) / (F.col("_sigma") * F.col("_sigma")))
     weight = F.col("confidence") * (0.5 + 0.5 * F.least(F.lit(1.0), F.col("duration_frames") / 15.0))
-    summed = pixels.withColumn("_k", kernel).groupBy("x", "y").agg(F.sum(F.col("_k") * weight).alias("evidence"), F.count_if(F.col("_k") >= 0.10).alias("support"))
+    tiles = kernel_tiles(tracks, [], {"evidence": weight}, width, height, least_sigma, reach)
+    each = tiles.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(TILE * TILE - 1)))).where(F.get("reached", F.col("_i")) > 0)
+    summed = each.select((F.col("tx") * TILE + F.col("_i") % TILE).alias("x"), (F.col("ty") * TILE + F.floor(F.col("_i") / TILE)).cast("int").alias("y"), F.get("evidence", F.col("_i")).alias("evidence"), F.get("support", F.col("_i")).cast("long").alias("support"))
     p = 1 - F.exp(-F.col("evidence") / scale)
-    unknown = F.col("support") < unknown_below
-    return summed.withColumn("probability", p).withColumn("state", F.when(unknown, "unknown").when(F.col("probability") >= water_at, "water").otherwise("dry"))
+    return summed.withColumn("probability", p).withColumn("state", F.when(F.col("support") < unknown_below, "unknown").when(F.col("probability") >= water_at, "water").otherwise("dry"))

@@ -298,15 +298,6 @@ def test_metadata_and_weather(spark):
     assert config.overall_status(status).first().overall == "warning"
 
 
-def test_hybrid_evidence_keeps_the_rules_water(spark):
-    from fluvial.operators import events
-
-    rule = spark.createDataFrame([(0, 0, 0.4, "water"), (1, 0, 0.1, "dry"), (2, 0, 0.1, "unknown")], "x int, y int, probability double, state string")
-    model = spark.createDataFrame([(0, 0, 0.1, "dry"), (1, 0, 0.9, "water"), (3, 0, 0.2, "dry")], "x int, y int, probability double, state string")
-    found = {r.x: (r.probability, r.state) for r in events.hybrid_evidence(rule, model).collect()}
-    assert found == {0: (0.4, "water"), 1: (0.9, "water"), 2: (0.1, "unknown"), 3: (0.2, "dry")}
-
-
 def test_classification_metrics_with_abstention(spark):
     from fluvial.operators import evaluation
     from pyspark.sql import functions as F
