@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluvial.plans import chains, evidence, frames, images, levels, rasters, registry, runs, streams, support
+from fluvial.plans import chains, evidence, frames, images, levels, rasters, registry, runs, shadow, streams, support
 
-MODULES = (rasters, frames, chains, streams, images, levels, runs, support, evidence)
+MODULES = (rasters, frames, chains, streams, images, levels, runs, support, evidence, shadow)
 
 
 def queries() -> dict[str, registry.Query]:
