@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.functions.exprs import ratio_or_zero
+from fluvial.operators.quantiles import MOST, quantiles
+from fluvial.sources.checkpoints import cut
 
 
 def robust_filter(rows: DataFrame, keys: Sequence[str], value: str, method: str = "mad", factor: float = 3.5, iqr_factor: float = 1.5) -> DataFrame:
@@ -39,10 +41,10 @@ def robust_filter(rows: DataFrame, keys: Sequence[str], value: str, method: str
 
 def trimmed_median(rows: DataFrame, keys: Sequence[str], value: str, trim: float = 0.1, least: int = 10) -> DataFrame:
     """Median of each group without floor(trim * n) values at each end, from `least` values on."""
-    ordered = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(ordered)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    cut = F.when(F.col("_n") >= least, F.floor(F.col("_n") * trim)).otherwise(0)
-    return ranked.where((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut)).groupBy(*keys).agg(F.median(value).alias("trimmed_median"), F.count("*").alias("n_kept"))
+    # as many values go at each end, so what is left has the same median
+    n = F.count(value)
+    dropped = F.when(n >= least, F.floor(n * trim)).otherwise(0)
+    return rows.groupBy(*keys).agg(F.median(value).alias("trimmed_median"), (n - 2 * dropped).alias("n_kept")).where("n_kept > 0")
 
 
 def weighted_median(rows: DataFrame, value: str, weight: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -55,19 +57,20 @@ def weighted_median(rows: DataFrame, value: str, weight: str, keys: Sequence[str
     return upto.where(F.col("_c") >= F.col("_t") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"), F.max("_t").alias("total_weight"))
 
 
-def height_statistics(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """count, min, five quantiles, max, mean, population deviation, median absolute deviation and quartile distance."""
+def height_statistics(rows: DataFrame, value: str, keys: Sequence[str] = (), most: int = MOST) -> DataFrame:
+    """count, min, five quantiles, max, mean, population deviation, median absolute deviation and quartile distance.
+
+    Quantiles are exact; groups of more than most values are searched through, not gathered.
+    """
     keys = list(keys)
     rows = rows.where(F.col(value).isNotNull())
-    first = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(value).alias("min"), F.percentile(value, [0.1, 0.25, 0.5, 0.75, 0.9]).alias("_q"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")
-    )
-    centre = first.select(*keys, F.get("_q", F.lit(2)).alias("_m"))
-    away = rows.join(centre, keys) if keys else rows.crossJoin(F.broadcast(centre))  # one row
-    mad = away.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("mad"))
-    joined = first.join(mad, keys) if keys else first.crossJoin(F.broadcast(mad))  # one row each
-    names = ("p10", "p25", "p50", "p75", "p90")
-    return joined.select(*keys, "n", "min", *(F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)), "max", "mean", "std", "mad", (F.get("_q", F.lit(3)) - F.get("_q", F.lit(1))).alias("iqr"))
+    first = rows.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    names = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+    quart = cut(quantiles(rows, keys, value, names, most))
+    away = rows.join(quart.select(*keys, "p50"), keys) if keys else rows.crossJoin(F.broadcast(quart.select("p50")))  # one row
+    mad = quantiles(away, keys, F.abs(F.col(value) - F.col("p50")), {"mad": 0.5}, most).drop("n")
+    joined = first.join(quart, keys).join(mad, keys) if keys else first.crossJoin(F.broadcast(quart)).crossJoin(F.broadcast(mad))  # one row each
+    return joined.select(*keys, "n", "min", *names, "max", "mean", "std", "mad", (F.col("p75") - F.col("p25")).alias("iqr"))
 
 
 def grouping_sets(rows: DataFrame, sets: Sequence[Sequence[str]], measures: Sequence[Column]) -> DataFrame:
