@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.functions.exprs import safe_corr
@@ -82,3 +82,26 @@ def contiguous_windows(rows: DataFrame, keys: Sequence[str], order: str, start:
 def stride(rows: DataFrame, order: Sequence[str], every: int, keys: Sequence[str] = ()) -> DataFrame:
     """Every n-th row after a full sort within each group."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("_r") % every == 0).drop("_r")
+
+
+def stable_image(pixels: DataFrame, keys: Sequence[str], frame: str, place: Sequence[str], value: str, skip: int, take: int) -> DataFrame:
+    """Median of each place (row, column, channel and the like) over frames skip to skip + take - 1 of its sequence, rounded half to even.
+
+    Values are whole numbers of 0 to 255; a place's histogram of at most 256 counts is what is added up and
+    shuffled, so a sequence of any length is summed where it lies. n is how many values the place had, frames
+    how many of the frames its sequence had; with fewer than take the median is null.
+    """
+    keys, place = list(keys), list(place)
+    order = Window.partitionBy(*keys).orderBy(frame)
+    frames = pixels.select(*keys, frame).distinct().withColumn("_r", F.row_number().over(order) - 1).where((F.col("_r") >= skip) & (F.col("_r") < skip + take))
+    whole = frames.groupBy(*keys).agg(F.count("*").alias("frames"))
+    histogram = pixels.where(F.col(value).isNotNull()).join(frames.drop("_r"), [*keys, frame]).groupBy(*keys, *place, F.col(value).cast("int").alias("_v")).agg(F.count("*").alias("_n"))
+    listed = histogram.groupBy(*keys, *place).agg(F.sort_array(F.collect_list(F.struct("_v", "_n"))).alias("_h"), F.sum("_n").alias("n"))
+
+    def at(rank: Column) -> Column:
+        """The value that stands at a rank from 0."""
+        start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("int").alias("v"))
+        return F.aggregate("_h", start, lambda s, b: F.struct((s["before"] + b["_n"]).alias("before"), F.when(s["v"].isNull() & (rank < s["before"] + b["_n"]), b["_v"]).otherwise(s["v"]).alias("v")), lambda s: s["v"])
+
+    middle = F.rint((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2.0).cast("int")
+    return listed.join(whole, keys).select(*keys, *place, "n", "frames", F.when(F.col("frames") == take, middle).alias("median"))

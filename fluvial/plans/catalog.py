@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluvial.plans import chains, evidence, frames, images, large, levels, rasters, registry, runs, shadow, streams, support
+from fluvial.plans import chains, composed, evidence, frames, images, large, levels, rasters, registry, runs, shadow, streams, support
 
-MODULES = (rasters, frames, chains, streams, images, levels, runs, support, evidence, shadow, large)
+MODULES = (rasters, frames, chains, streams, images, levels, runs, support, evidence, shadow, large, composed)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -30,7 +30,7 @@ def _tracks(spark, d):
     c = F.col
     kind = F.when(c("event_type").isin("purchase", "view"), "water_ripple").when(c("event_type") == "click", "dry_splash").otherwise("uncertain")
     p = (c("event_id") % 97) / 96.0
-    return table(spark, d, "events").select(F.floor(c("user_id") / 10).alias("image"), ((c("value") * 7) % W).alias("u"), ((c("value") * 3) % H).alias("v"), (c("event_id") % 120 + 1).alias("maximum_area"), (c("event_id") % 20 + 1).alias("duration_frames"), kind.alias("classification"), p.alias("confidence"), p.alias("water_probability"))
+    return table(spark, d, "events").select("event_id", F.floor(c("user_id") / 10).alias("image"), ((c("value") * 7) % W).alias("u"), ((c("value") * 3) % H).alias("v"), (c("event_id") % 120 + 1).alias("maximum_area"), (c("event_id") % 20 + 1).alias("duration_frames"), kind.alias("classification"), p.alias("confidence"), p.alias("water_probability"))
 
 
 def _rule(spark, d, close=0):
