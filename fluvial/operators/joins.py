@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,33 +55,87 @@ def near_pairs(rows: DataFrame, ident: str, x: str, y: str, radius: float, keys:
     return own.join(other, [*keys, "_i", "_j"]).where(F.col(ident) != F.col("other")).withColumn("distance", distance).where(F.col("distance") <= radius).select(*keys, ident, "other", "distance")
 
 
-def nearest_distance(source: DataFrame, target: DataFrame, reach: int = 4, rounds: int = 12) -> DataFrame:
+#: Width of blocks up to which cells look for their nearest target among blocks around; beyond it distances are transformed.
+NEAR = 64
+
+
+def _envelope(x: np.ndarray, f: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Least (at - x)^2 + f over all x, for sorted different whole x: the lower envelope of parabolas, found in one pass."""
+    top, cuts = [0], []
+    xs, fs = x.tolist(), f.tolist()
+    for k in range(1, len(xs)):
+        while True:
+            i = top[-1]
+            meet = ((fs[k] + xs[k] * xs[k]) - (fs[i] + xs[i] * xs[i])) / (2 * (xs[k] - xs[i]))
+            if not cuts or meet > cuts[-1]:
+                break
+            top.pop()
+            cuts.pop()
+        top.append(k)
+        cuts.append(meet)
+    top, place = np.array(top), np.searchsorted(np.array(cuts), at)
+    best = None
+    for step in (-1, 0, 1):  # the neighbours too, because where two parabolas meet is rounded
+        k = top[np.clip(place + step, 0, len(top) - 1)]
+        d = (at - x[k]) ** 2 + f[k]
+        best = d if best is None else np.minimum(best, d)
+    return best
+
+
+def distance_transform(source: DataFrame, target: DataFrame) -> DataFrame:
+    """source cells (ix, iy) with the distance to the nearest target cell, exact, in work that grows with rows of sources times columns of targets.
+
+    First each column of targets gives its nearest one for every row that a source asks for, by two running
+    windows; then a row's columns are parabolas, whose lower envelope is read at its sources. A task holds a
+    column or a row. Without targets there are no rows.
+    """
+    source, target = source.select("ix", "iy").distinct(), target.select("ix", "iy").distinct()
+    low, high = source.agg(F.min("iy"), F.max("iy")).first()
+    if low is None:
+        return source.withColumn("distance", F.lit(None).cast("double"))
+    asked = target.select("ix").distinct().withColumn("iy", F.explode(F.sequence(F.lit(low), F.lit(high)))).join(source.select("iy").distinct(), "iy", "left_semi")
+    both = asked.select("ix", "iy", F.lit(None).cast("long").alias("_t")).unionByName(target.select("ix", "iy", F.col("iy").alias("_t")))
+    up, down = Window.partitionBy("ix").orderBy("iy"), Window.partitionBy("ix").orderBy(F.desc("iy"))
+    near = both.withColumn("_b", F.max("_t").over(up)).withColumn("_a", F.min("_t").over(down)).where("_t IS NULL")
+    columns = near.select("ix", "iy", F.least(F.col("iy") - F.col("_b"), F.col("_a") - F.col("iy")).alias("_g"))
+
+    def row(own: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(seen):
+            return pd.DataFrame({"ix": [], "iy": [], "distance": []})
+        seen = seen.sort_values("ix")
+        d2 = _envelope(seen["ix"].to_numpy(np.int64), seen["_g"].to_numpy(np.int64) ** 2, own["ix"].to_numpy(np.int64))
+        return pd.DataFrame({"ix": own["ix"], "iy": own["iy"], "distance": np.sqrt(d2)})
+
+    return source.groupBy("iy").cogroup(columns.groupBy("iy")).applyInPandas(row, "ix long, iy long, distance double")
+
+
+def nearest_distance(source: DataFrame, target: DataFrame, reach: int = 4, near: int = NEAR) -> DataFrame:
     """source cells (ix, iy) with the distance to the nearest target cell; exact, null without targets.
 
     Rounds of growing blocks: in a round of width w each cell still open meets the targets of its own and the
     eight blocks around by an equi-join; a distance of at most w is final, because nothing outside them can
-    be nearer. Cells with a near target are done in the first round; the width grows fourfold.
+    be nearer. The width grows fourfold up to near; what is farther from any target goes to
+    distance_transform, so that far masks don't meet in pairs.
     """
-    left, target = cut(source.select("ix", "iy").distinct()), cut(target.select(F.col("ix").alias("tx"), F.col("iy").alias("ty")).distinct())
-    span = left.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
-    span2 = target.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
-    if span[0] is None or span2[0] is None:
+    cells = lambda m: cut(m.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy")).distinct())
+    left, found = cells(source), cells(target)
+    target = found.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"))
+    if left.isEmpty() or target.isEmpty():
         return left.withColumn("distance", F.lit(None).cast("double"))
-    widest = max(max(span[1], span2[1]) - min(span[0], span2[0]), max(span[3], span2[3]) - min(span[2], span2[2])) + 1
     done, width = None, reach
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    for _ in range(rounds):
+    while width <= near:
         blocks = target.select("tx", "ty", F.floor(F.col("tx") / width).alias("bx"), F.floor(F.col("ty") / width).alias("by"))
         asked = left.withColumn("_s", F.explode(steps)).select("ix", "iy", (F.floor(F.col("ix") / width) + F.col("_s.i")).alias("bx"), (F.floor(F.col("iy") / width) + F.col("_s.j")).alias("by"))
         square = (F.col("ix") - F.col("tx")) * (F.col("ix") - F.col("tx")) + (F.col("iy") - F.col("ty")) * (F.col("iy") - F.col("ty"))
-        best = asked.join(blocks, ["bx", "by"]).groupBy("ix", "iy").agg(F.min(square).alias("_d2"))
-        final = best.where(F.col("_d2") <= width * width) if width < widest else best
-        found = final.select("ix", "iy", F.sqrt(F.col("_d2").cast("double")).alias("distance"))
-        done = found if done is None else done.unionByName(found)
-        if width >= widest:
-            break
-        left, width = left.join(final.select("ix", "iy"), ["ix", "iy"], "left_anti"), width * 4
-    return done
+        final = cut(asked.join(blocks, ["bx", "by"]).groupBy("ix", "iy").agg(F.min(square).alias("_d2")).where(F.col("_d2") <= width * width))
+        here = final.select("ix", "iy", F.sqrt(F.col("_d2").cast("double")).alias("distance"))
+        done = here if done is None else done.unionByName(here)
+        left, width = cut(left.join(final.select("ix", "iy"), ["ix", "iy"], "left_anti")), width * 4
+        if left.isEmpty():
+            return done
+    far = distance_transform(left, found)
+    return far if done is None else done.unionByName(far)
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, name: str) -> DataFrame:
