@@ -71,10 +71,10 @@ def set_id(hashes: np.ndarray) -> int:
 def bands_of(size: int, percent: int) -> list[tuple[int, int, int]]:
     """Bands in which a set of this size meets others, with the number of parts there and of those to spare.
 
-    It meets its own band, and the next if a set there can be similar enough. Two sets of a band's tiles have
-    at most its upper end each, so they differ in at most (1 - t) / (1 + t) * 2 * (upper end) members; there
-    is one part more, and some to spare for parts that are empty in both. Where sets can't differ, equal ones
-    alone link, and no band is needed.
+    It meets its own band, and each above in which a set can be similar enough: one at most from 72 percent
+    on, more below. Two sets of a band's tiles have at most its upper end each, so they differ in at most
+    (1 - t) / (1 + t) * 2 * (upper end) members; there is one part more, and some to spare for parts that are
+    empty in both. Where sets can't differ, equal ones alone link, and no band is needed.
     """
     found = []
     own = int(math.log(size) / math.log(RATIO))
@@ -82,9 +82,9 @@ def bands_of(size: int, percent: int) -> list[tuple[int, int, int]]:
         own += 1
     while RATIO**own > size:
         own -= 1
-    for band in (own, own + 1):
-        if band > own and size * 100 < percent * RATIO**band:
-            continue
+    band = own - 1
+    while band < own or size * 100 >= percent * RATIO ** (band + 1):
+        band += 1
         differ = int((100 - percent) * 2 * RATIO ** (band + 1) / (100 + percent))
         spare = 2 + differ // 50
         if differ:
@@ -441,11 +441,13 @@ def linked_components(docs: DataFrame, n: int = 4, percent: int = 85, most_broad
     Equal sets are one set from the start. In every tile each set is checked against the least one. In tiles that
     still hold several components bitmaps choose the likeliest pairs, a spanning forest of a group, to be
     intersected; the sets that bitmaps still let pass with another component are then intersected exactly within
-    their tile, as far as no link has joined them. No step gives more rows than its groups have sets, and no
-    link between components is missed. Repeated rows
-    give repeated results; a null doc_id is linked like others but names no component (null if it has only
+    their tile, as far as no link has joined them. No link between components is missed. A group gives no more
+    rows than it has sets; but a tile of many sets that stay in many components is compared chunk by chunk, which
+    takes rows and time with the square of its chunks. percent is from 1 to 100. Repeated rows give repeated results; a null doc_id is linked like others but names no component (null if it has only
     such rows); other columns are ignored.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     found = _components(docs, n, percent, most_broadcast, chunk)
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 

@@ -15,6 +15,8 @@ from fluvial.llm.tokens import runs_of
 
 #: Widest image in MCUs of 16 x 16 pixels.
 WIDE = 64
+#: Most rows of MCUs that a frame's height of 16 bits can state; a larger payload makes a wider image, up to 6.4 GB.
+MOST_ROWS = 4095
 #: Comment of an image that holds a payload: its bytes.
 _HOLDS = re.compile(rb"payload of (\d+) bytes")
 #: What damaged bytes may raise in the reader.
@@ -24,7 +26,7 @@ _DAMAGED = (ValueError, IndexError, KeyError, AttributeError, TypeError, Overflo
 def _frame(blocks: int, comment: bytes) -> jpeg.Frame:
     """Smallest near-rectangular 4:2:0 frame of so many blocks: six to a MCU."""
     mcus = -(-blocks // 6)
-    rows = -(-mcus // WIDE)
+    rows = min(-(-mcus // WIDE), MOST_ROWS)
     cols = -(-mcus // rows)
     return jpeg.Frame(16 * cols, 16 * rows, jpeg.YCC, comment=comment)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from fluvial.llm import jaccard_join as jj
 
 
@@ -82,3 +83,19 @@ def test_keep_first(docs):
     assert kept.columns == docs.columns
     # 1, 2 and 13 are equal sets, 3 is near; 7 and 8 differ in case alone
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 9, 10, 11, 12, 14, 15, 20]
+
+
+@pytest.mark.parametrize("percent", [40, 50, 60, 70, 72, 85, 95])
+def test_a_set_that_holds_another_shares_a_tile(percent):
+    r = np.random.default_rng(percent)
+    for _ in range(300):
+        n = int(r.integers(1, 300))
+        b = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        a = r.permutation(b)[: max(1, -(-len(b) * percent // 100) + int(r.integers(0, 3)))]
+        if jj.similar(len(a), len(a), len(b), percent) and len(a) < len(b):
+            assert np.intersect1d(jj.part_keys(np.sort(a), percent), jj.part_keys(b, percent)).size
+
+
+def test_percent_has_a_range(docs):
+    with pytest.raises(ValueError):
+        jj.linked_components(docs, percent=0)

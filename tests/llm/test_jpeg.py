@@ -201,3 +201,11 @@ def test_damaged_images_give_nulls_and_harm_no_other(spark):
     assert all(x.payload == payload for x in found if x.kind in (0, 3)) and all(x.width is None and x.payload is None for x in found if x.kind == 1)
     # a changed bit is found, or read as other coefficients
     assert all(x.payload is None or len(x.payload) == len(payload) for x in found if x.kind == 2)
+
+
+def test_frames_of_any_payload_state_their_size():
+    from fluvial.llm import media
+
+    for blocks in (1, 7, 10_000, 1_572_480, 1_572_481, 5_000_000, 100_000_000):
+        f = media._frame(blocks, b"")
+        assert f.height < 1 << 16 and f.width < 1 << 16 and f.height // 16 * (f.width // 16) * 6 >= blocks
