@@ -37,7 +37,7 @@ def written_order(docs: DataFrame) -> tuple[Column, Column] | None:
     return F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0)), F.col("_metadata.row_index")
 
 
-def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, batch_bytes: int = 1 << 20, order: tuple[Column, Column] | None = None) -> DataFrame:
+def decompose(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, batch_bytes: int = 4 << 20, order: tuple[Column, Column] | None = None) -> DataFrame:
     """Pieces of every document's ids: doc_id, start, length, ids (little-endian uint32), doc_tokens; with an order also part and row.
 
     longest must be a power of two. A document is its text's ids and then end_id, so a null or empty text
@@ -99,11 +99,11 @@ def number_sequences(pieces: DataFrame, blocks: int = 1024) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, keep_order: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, keep_order: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
     """decompose, each piece with the checksum of its ids, and number_sequences; ids are then left out.
 
     The ids stay available from decompose; the checksum lets the narrow rows be numbered and compared. With
     keep_order pieces of a length stand in the order in which docs was written, if it is read from files.
     """
-    pieces = decompose(docs, tokenizer, longest, end_id, order=written_order(docs) if keep_order else None).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = decompose(docs, tokenizer, longest, end_id, batch_bytes, order=written_order(docs) if keep_order else None).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return number_sequences(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
