@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of the documents' tokens, numbered as sequences; within a length the mix's order stays."""
     short_batches(spark)
-    return packing.pack_documents(docs, tokenizer_path(), keep_order=True)
+    return packing.pack_documents(docs, tokenizer_path(), keep_order=True, batch_bytes=1 << 20)  # its workers have done other stages before
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack)]
