@@ -43,7 +43,7 @@ def _candidates(rows):
 def stateful_tracker(spark, d):
     end = spark.createDataFrame([(-1, "2100-01-01", -1, "end", 0.0, None)], "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     # a frame is an hour, so it is whole when the hour is over
-    stream_of = lambda s: tracker.stream_associate(_candidates(s.withColumn("at", F.col("ts").cast("timestamp"))).withColumn("closes", F.timestamp_seconds((F.col("frame").cast("long") + 1) * 3600)), "seq", "closes")
+    stream_of = lambda s: tracker.stream_associate(_candidates(s.withColumn("at", F.col("ts").cast("timestamp"))).withColumn("closes", F.timestamp_seconds((F.col("frame").cast("long") + 1) * 3600)), "seq", "closes", forget_ms=400 * 86_400_000)
     found = windows.run_to_watermark(spark, stream_of, d, end.select(*(n for n in _stream(spark, d).columns if n != "at")), dict([tracker.PROVIDER]), pathGlobFilter="events.parquet")
     return found.where("seq >= 0").groupBy("seq").agg(F.count("*").alias("candidates"), F.countDistinct("track").alias("tracks"))
 
