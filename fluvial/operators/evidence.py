@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 32
+TILE = 64
 #: From this height a kernel counts as support of its pixel.
 SUPPORTS = 0.10
 
@@ -27,7 +27,7 @@ def _spread(tracks: DataFrame, least_sigma: float, reach: float) -> DataFrame:
     return tracks.withColumn("_sigma", sigma).withColumn("_support", F.least(F.lit(reach), F.col("_sigma") * 2.5))
 
 
-def kernel_tiles(tracks: DataFrame, keys: Sequence[str], weights: dict[str, Column], width: int, height: int, least_sigma: float = 4.0, reach: float = 22.0, most_tiles: int = 1024) -> DataFrame:
+def kernel_tiles(tracks: DataFrame, keys: Sequence[str], weights: dict[str, Column], width: int, height: int, least_sigma: float = 4.0, reach: float = 22.0, most_tiles: int = 256) -> DataFrame:
     """Sums over tracks by tile: keys, tx, ty, an array of TILE * TILE doubles for each weight, and `support` and `reached`.
 
     A weight's array sums kernel times weight, null weights adding nothing. support counts kernels of at least
@@ -61,7 +61,8 @@ def kernel_tiles(tracks: DataFrame, keys: Sequence[str], weights: dict[str, Colu
                 y0, y1 = max(0, int(v - support)), min(height, int(v + support) + 1)
                 if x0 >= x1 or y0 >= y1:
                     continue
-                kernel = np.exp(-0.5 * ((np.arange(x0, x1) - u) ** 2 + ((np.arange(y0, y1) - v) ** 2)[:, None]) / (sigma * sigma))
+                across, down = (np.exp(-0.5 * (np.arange(a, b) - c) ** 2 / (sigma * sigma)) for a, b, c in ((x0, x1, u), (y0, y1, v)))
+                kernel = down[:, None] * across
                 parts = [None if w is None else kernel * w for w in row[at + 4 :]]
                 parts += [kernel >= SUPPORTS, np.ones(kernel.shape)] if parts[0] is not None else [None, None]
                 for ty in range(y0 // TILE, (y1 - 1) // TILE + 1):
