@@ -125,3 +125,36 @@ def reprojection(observed: DataFrame, unknown: DataFrame, predicted: DataFrame,
     for s in sizes:
         out = out.crossJoin(s)  # one row each
     return out
+
+
+def boundary_diagnostics(observed: DataFrame, unknown: DataFrame, predicted: DataFrame, nx: int, ny: int, near: float = 3.0, far: float = 10.0) -> DataFrame:
+    """One row: how far trusted boundaries of two masks (ix, iy) lie apart, and where they lie far apart.
+
+    p50, p95 and mean of both sides' distances with the shares above near and far (null without both sides);
+    tail_pixels, boundary pixels above far, and tail_box, their bounding box's share of the image; how much of
+    the observed mask's inner ring lies in or beside unknown pixels; whether the prediction touches the
+    image's border.
+    """
+    seen = predicted.select("ix", "iy").distinct()
+    known = cut(seen.join(unknown, ["ix", "iy"], "left_anti"))
+    edge = lambda m: cut(regions.trusted_interface(m, unknown, nx, ny).where("kind = 'trusted'").select("ix", "iy").distinct())
+    a, b = edge(observed.select("ix", "iy").distinct()), edge(known)
+    both = cut(nearest_distance(a, b).unionByName(nearest_distance(b, a)).where("distance IS NOT NULL"))
+    d = F.col("distance")
+    apart = both.agg(F.percentile("distance", 0.5).alias("p50"), F.percentile("distance", 0.95).alias("p95"), F.avg("distance").alias("mean"), F.avg((d > near).cast("double")).alias("above_near"), F.avg((d > far).cast("double")).alias("above_far"))
+    span = lambda c: F.max(c) - F.min(c) + 1
+    tail = both.where(d > far).agg(F.count_distinct("ix", "iy").alias("tail_pixels"), F.coalesce(span("ix") * span("iy") / F.lit(float(nx * ny)), F.lit(0.0)).alias("tail_box"))
+    ring = cut(regions.inner_ring(observed.select("ix", "iy").distinct()))
+    beside = regions.dilate(unknown.select("ix", "iy").distinct(), nx, ny)
+    touch = ring.join(beside.withColumn("_u", F.lit(1)), ["ix", "iy"], "left").agg(F.count("_u").alias("unknown_touching"), ratio_floor_one(F.count("_u"), F.count("*")).alias("unknown_touching_share"))
+    border = F.col("ix").isin(0, nx - 1) | F.col("iy").isin(0, ny - 1)
+    return apart.crossJoin(tail).crossJoin(touch).crossJoin(seen.agg(F.coalesce(F.max(border), F.lit(False)).alias("touches_border")))  # one row each
+
+
+def component_metrics(mask: DataFrame, small: int = 100, connectivity: int = 8) -> DataFrame:
+    """One row: components of a mask, cells of the largest, the others, and those among the others of at most `small` cells."""
+    sizes = regions.component_sizes(regions.components(mask, connectivity))
+    # of equally large ones any is the largest: the rest are counted, not named
+    n, top = F.count("*"), F.coalesce(F.max("cells"), F.lit(0))
+    few = F.count_if(F.col("cells") <= small) - F.when(top <= small, F.least(n, F.lit(1))).otherwise(F.lit(0))
+    return sizes.agg(n.alias("components"), top.alias("largest"), F.greatest(n - 1, F.lit(0)).alias("others"), few.alias("small_others"))

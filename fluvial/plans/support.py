@@ -76,17 +76,34 @@ def shoreline_counts(spark, d):
     return _shore(spark, d)[1].select("interfaces", "trusted", "unknown", "edge", r4("trusted_share"), "components", r4("edge_touch"), "kept", "points", "samples")
 
 
-@query("known_reprojection", f"""WITH {WIDE_RASTER}, {WIDE_PIXELS}, o AS (SELECT u AS ix, v AS iy FROM px WHERE state = 'water'), un AS (SELECT u AS ix, v AS iy FROM px WHERE state = 'unknown'), size AS (SELECT max(v) + 1 AS ny FROM px),
+_APART = f"""WITH {WIDE_RASTER}, {WIDE_PIXELS}, o AS (SELECT u AS ix, v AS iy FROM px WHERE state = 'water'), un AS (SELECT u AS ix, v AS iy FROM px WHERE state = 'unknown'), size AS (SELECT max(v) + 1 AS ny FROM px),
 p AS (SELECT ix, iy FROM wide, size WHERE z < 32000 AND iy < size.ny AND (ix, iy) NOT IN (SELECT (ix, iy) FROM un)),
 oe AS (SELECT DISTINCT o.ix, o.iy FROM o, (VALUES (0, -1), (0, 1), (-1, 0), (1, 0)) t(i, j), size WHERE o.ix + i BETWEEN 0 AND {WIDE - 1} AND o.iy + j BETWEEN 0 AND ny - 1 AND (o.ix + i, o.iy + j) NOT IN (SELECT (ix, iy) FROM o) AND (o.ix + i, o.iy + j) NOT IN (SELECT (ix, iy) FROM un)),
 pe AS (SELECT DISTINCT o.ix, o.iy FROM p o, (VALUES (0, -1), (0, 1), (-1, 0), (1, 0)) t(i, j), size WHERE o.ix + i BETWEEN 0 AND {WIDE - 1} AND o.iy + j BETWEEN 0 AND ny - 1 AND (o.ix + i, o.iy + j) NOT IN (SELECT (ix, iy) FROM p) AND (o.ix + i, o.iy + j) NOT IN (SELECT (ix, iy) FROM un)),
-dist AS (SELECT sqrt(min(power(a.ix - b.ix, 2) + power(a.iy - b.iy, 2))) AS d FROM oe a, pe b GROUP BY a.ix, a.iy UNION ALL SELECT sqrt(min(power(a.ix - b.ix, 2) + power(a.iy - b.iy, 2))) FROM pe a, oe b GROUP BY a.ix, a.iy),
+dist AS (SELECT a.ix, a.iy, sqrt(min(power(a.ix - b.ix, 2) + power(a.iy - b.iy, 2))) AS d FROM oe a, pe b GROUP BY a.ix, a.iy UNION ALL SELECT a.ix, a.iy, sqrt(min(power(a.ix - b.ix, 2) + power(a.iy - b.iy, 2))) FROM pe a, oe b GROUP BY a.ix, a.iy)"""
+
+
+def _masks(spark, d):
+    pixels = cut(wide_pixels(spark, d).select(F.col("u").alias("ix"), F.col("v").alias("iy"), "state"))
+    ny = pixels.agg(F.max("iy")).first()[0] + 1
+    low = cut(wide_raster(spark, d).where((F.col("z") < 32_000) & (F.col("iy") < ny)).select("ix", "iy"))
+    return pixels.where("state = 'water'").select("ix", "iy"), pixels.where("state = 'unknown'").select("ix", "iy"), low, WIDE, ny
+
+
+@query("known_reprojection", f"""{_APART},
 n AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM o) AS no, (SELECT count(*) FROM p JOIN o USING (ix, iy)) AS ni)
 SELECT round(ni / greatest(1, np + no - ni)::DOUBLE, 4) AS iou, round(ni / greatest(1, np)::DOUBLE, 4) AS precision, round(ni / greatest(1, no)::DOUBLE, 4) AS recall, np AS predicted_pixels, no AS observed_pixels,
   (SELECT round(avg(d), 4) FROM dist) AS boundary_mean, (SELECT round(quantile_cont(d, 0.95), 4) FROM dist) AS boundary_p95, (SELECT count(*) FROM un) AS unknown_pixels, (SELECT count(*) FROM oe) AS observed_boundary, (SELECT count(*) FROM pe) AS predicted_boundary FROM n""")
 def known_reprojection(spark, d):
-    pixels = cut(wide_pixels(spark, d).select(F.col("u").alias("ix"), F.col("v").alias("iy"), "state"))
-    ny = pixels.agg(F.max("iy")).first()[0] + 1
-    low = cut(wide_raster(spark, d).where((F.col("z") < 32_000) & (F.col("iy") < ny)).select("ix", "iy"))
-    found = support.reprojection(pixels.where("state = 'water'").select("ix", "iy"), pixels.where("state = 'unknown'").select("ix", "iy"), low, WIDE, ny)
+    found = support.reprojection(*_masks(spark, d))
     return found.select(r4("iou"), r4("precision"), r4("recall"), "predicted_pixels", "observed_pixels", r4("boundary_mean"), r4("boundary_p95"), "unknown_pixels", "observed_boundary", "predicted_boundary")
+
+
+@query("boundary_diagnostics", f"""{_APART}, ring AS (SELECT o.ix, o.iy FROM o WHERE (SELECT count(*) FROM (VALUES (-1), (0), (1)) i(i), (VALUES (-1), (0), (1)) j(j), o q WHERE q.ix = o.ix + i AND q.iy = o.iy + j) < 9),
+touch AS (SELECT count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM un WHERE abs(un.ix - ring.ix) <= 1 AND abs(un.iy - ring.iy) <= 1)) AS t FROM ring), every AS (SELECT ix, iy FROM wide, size WHERE z < 32000 AND iy < size.ny)
+SELECT (SELECT round(median(d), 4) FROM dist) AS p50, (SELECT round(quantile_cont(d, 0.95), 4) FROM dist) AS p95, (SELECT round(avg(d), 4) FROM dist) AS mean, (SELECT round(avg((d > 1)::INTEGER), 4) FROM dist) AS above_near, (SELECT round(avg((d > 2)::INTEGER), 4) FROM dist) AS above_far,
+  (SELECT count(DISTINCT (ix, iy)) FROM dist WHERE d > 2) AS tail_pixels, (SELECT round(coalesce((max(ix) - min(ix) + 1) * (max(iy) - min(iy) + 1) / ({WIDE} * max(ny))::DOUBLE, 0), 4) FROM dist, size WHERE d > 2) AS tail_box, t AS unknown_touching, round(t / greatest(1, n)::DOUBLE, 4) AS unknown_touching_share,
+  (SELECT bool_or(ix IN (0, {WIDE - 1}) OR iy IN (0, ny - 1)) FROM every, size) AS touches_border FROM touch""")
+def boundary_diagnostics(spark, d):
+    found = support.boundary_diagnostics(*_masks(spark, d), near=1.0, far=2.0)
+    return found.select(*(r4(c) for c in ("p50", "p95", "mean", "above_near", "above_far")), "tail_pixels", r4("tail_box"), "unknown_touching", r4("unknown_touching_share"), "touches_border")

@@ -66,3 +66,26 @@ def test_ranks(spark, parts):
     found = order.ranked(rows, ["k"], "r", parts).collect()
     assert [r.k for r in sorted(found, key=lambda r: r.r)] == sorted(r.k for r in rows.collect())
     assert sorted(r.r for r in found) == list(range(1000))
+
+
+def test_boundary_diagnostics_by_hand(spark):
+    observed = spark.createDataFrame([(x, y) for x in range(2, 5) for y in range(2, 5)], CELL)
+    unknown = spark.createDataFrame([(5, 5)], CELL)
+    predicted = spark.createDataFrame([(x, y) for x in range(2, 5) for y in range(2, 5)] + [(19, 0)], CELL)
+    r = support.boundary_diagnostics(observed, unknown, predicted, 20, 10).first()
+    # the eight ring pixels agree, the far pixel lies 15 from (4, 2) in x and 2 in y
+    assert (r.tail_pixels, r.touches_border, r.unknown_touching, r.p50) == (1, True, 1, 0.0)
+    assert r.tail_box == pytest.approx(1 / 200) and r.above_far == pytest.approx(1 / 17) and r.unknown_touching_share == pytest.approx(1 / 8)
+    none = spark.createDataFrame([], CELL)
+    e = support.boundary_diagnostics(none, none, none, 4, 4).first()
+    assert (e.p50, e.tail_pixels, e.tail_box, e.touches_border, e.unknown_touching_share) == (None, 0, 0.0, False, 0.0)
+
+
+def test_component_metrics(spark):
+    mask = spark.createDataFrame([(0, 0), (1, 0), (0, 1)] + [(5, 5)] + [(9, k) for k in range(4)], CELL)
+    m = support.component_metrics(mask, 3).first()
+    assert (m.components, m.largest, m.others, m.small_others) == (3, 4, 2, 2)
+    m = support.component_metrics(mask, 4).first()
+    assert m.small_others == 2
+    m = support.component_metrics(mask.where("false")).first()
+    assert (m.components, m.largest, m.others, m.small_others) == (0, 0, 0, 0)
