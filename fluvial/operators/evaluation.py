@@ -85,15 +85,17 @@ def macro_micro(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumn("_f", f1(F.col("tp"), F.col("fp"), F.col("fn"))).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_f").alias("macro_f1"), zero(tp, tp + fp).alias("micro_precision"), zero(tp, tp + fn).alias("micro_recall"), f1(tp, fp, fn).alias("micro_f1"))
 
 
-def classification_metrics(rows: DataFrame, water: Column, dry: Column, probability: Column, low: float, high: float) -> DataFrame:
+def classification_metrics(rows: DataFrame, water: Column, dry: Column, probability: Column, low: float, high: float, noise: Column | None = None) -> DataFrame:
     """One row: precision, recall and F1 of both classes with abstention between low and high, macro F1, Brier score, confusion.
 
     Ratios without a denominator are 0, and so are means over no rows. A row that is neither water nor dry counts as
-    a false call of either.
+    a false call of either. noise marks rows, dry ones as a rule, of which noise_called_water counts the calls of water.
     """
-    marks = rows.select(F.coalesce(water, F.lit(False)).alias("w"), F.coalesce(dry, F.lit(False)).alias("d"), probability.alias("p"))
+    noise = F.lit(False) if noise is None else F.coalesce(noise, F.lit(False))
+    marks = rows.select(F.coalesce(water, F.lit(False)).alias("w"), F.coalesce(dry, F.lit(False)).alias("d"), noise.alias("n"), probability.alias("p"))
     marks = marks.withColumns({"pw": F.col("p") >= high, "pd": F.col("p") <= low}).withColumn("pu", ~(F.col("pw") | F.col("pd")))
     cells = {f"{a}_{b}": F.count_if(F.col(a[0]) & F.col(f"p{b[0]}")) for a in ("water", "dry") for b in ("water", "dry", "uncertain")}
+    cells["noise_called_water"] = F.count_if(F.col("n") & F.col("pw"))
     both = {"_pw": F.count_if("pw"), "_pd": F.count_if("pd"), "_w": F.count_if("w"), "_d": F.count_if("d")}
     square = (F.col("p") - F.col("w").cast("double")) * (F.col("p") - F.col("w").cast("double"))
     one = marks.agg(F.count("*").alias("samples"), *(c.alias(n) for n, c in (cells | both).items()), F.coalesce(F.avg(square), F.lit(0.0)).alias("brier_score"), F.coalesce(F.avg(F.col("pu").cast("double")), F.lit(0.0)).alias("uncertain_rate"))

@@ -241,6 +241,13 @@ def classification_metrics(spark, d):
     return found.select("samples", *(r4(c) for c in ("water_f1", "dry_f1", "macro_f1", "uncertain_rate", "brier_score")), *(f"{a}_{b}" for a in ("water", "dry") for b in ("water", "dry", "uncertain")))
 
 
+@query("noise_called_water", f"{_BLEND} SELECT count(*) AS samples, count(*) FILTER (truth = 0 AND doc_id % 3 = 0 AND p >= 0.6) AS noise_called_water, count(*) FILTER (truth = 0 AND p >= 0.6) AS dry_water FROM h WHERE truth IS NOT NULL")
+def noise_called_water(spark, d):
+    rows = _blended(spark, d).where("truth IS NOT NULL")
+    found = evaluation.classification_metrics(rows, F.col("truth") == 1, F.col("truth") == 0, F.col("p"), 0.4, 0.6, (F.col("truth") == 0) & (F.col("doc_id") % 3 == 0))
+    return found.select("samples", "noise_called_water", "dry_water")
+
+
 def _logit(x: str, m: float, s: float, w: float) -> str:
     return f"{w} * least(12.0, greatest(-12.0, ({x} - {m}) / {s}))"
 

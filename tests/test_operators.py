@@ -307,6 +307,8 @@ def test_classification_metrics_with_abstention(spark):
     assert (r.samples, r.water_water, r.water_dry, r.water_uncertain, r.dry_water, r.dry_dry, r.dry_uncertain) == (5, 1, 1, 1, 1, 1, 0)
     assert (r.water_precision, r.water_recall, r.water_f1, r.dry_f1, r.uncertain_rate) == (0.5, 1 / 3, 0.4, 0.5, 0.2)
     assert abs(r.brier_score - (0.01 + 0.25 + 0.81 + 0.04 + 0.49) / 5) < 1e-12
+    marked = evaluation.classification_metrics(rows, F.col("w") == 1, F.col("d") == 1, F.col("p"), 0.4, 0.6, F.col("d") == 1).first()
+    assert r.noise_called_water == 0 and marked.noise_called_water == marked.dry_water and marked.macro_f1 == r.macro_f1
     empty = evaluation.classification_metrics(rows.limit(0), F.col("w") == 1, F.col("d") == 1, F.col("p"), 0.4, 0.6).first()
     assert (empty.samples, empty.macro_f1, empty.brier_score, empty.uncertain_rate) == (0, 0.0, 0.0, 0.0)
 
