@@ -46,13 +46,36 @@ def interval_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], buc
     return a.join(b, [*keys, "_bucket"]).where((ls <= re) & (rs <= le) & (F.col("_bucket") == F.floor(F.greatest(ls, rs) / bucket).cast("long"))).drop("_bucket")
 
 
-def near_pairs(rows: DataFrame, ident: str, x: str, y: str, radius: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs (ident, other, distance) of different rows at most radius apart, found through square cells of that size."""
-    own = rows.select(*keys, F.col(ident), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / radius).alias("_i"), F.floor(F.col(y) / radius).alias("_j"))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    other = own.withColumn("_s", F.explode(steps)).select(*keys, F.col(ident).alias("other"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), (F.col("_i") + F.col("_s.i")).alias("_i"), (F.col("_j") + F.col("_s.j")).alias("_j"))
+#: Steps to a cell and the eight around it.
+_AROUND = tuple((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))
+
+
+def near_pairs(rows: DataFrame, ident: str, x: str, y: str, radius: float, keys: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Pairs (ident, other, distance) of different rows at most radius apart, found through square cells of that size.
+
+    Columns named by carry come along: the row's own by name, the other's with other_ before it.
+    """
+    own = rows.select(*keys, F.col(ident), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(x) / radius).alias("_i"), F.floor(F.col(y) / radius).alias("_j"), *(F.col(c).alias(f"_of_{c}") for c in carry))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND))
+    other = own.withColumn("_s", F.explode(steps)).select(*keys, F.col(ident).alias("other"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), (F.col("_i") + F.col("_s.i")).alias("_i"), (F.col("_j") + F.col("_s.j")).alias("_j"), *(F.col(f"_of_{c}").alias(f"other_{c}") for c in carry))
     distance = F.hypot(F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy"))
-    return own.join(other, [*keys, "_i", "_j"]).where(F.col(ident) != F.col("other")).withColumn("distance", distance).where(F.col("distance") <= radius).select(*keys, ident, "other", "distance")
+    met = own.join(other, [*keys, "_i", "_j"]).where(F.col(ident) != F.col("other")).withColumn("distance", distance).where(F.col("distance") <= radius)
+    return met.select(*keys, ident, "other", "distance", *(F.col(f"_of_{c}").alias(c) for c in carry), *(f"other_{c}" for c in carry))
+
+
+def neighbour_counts(rows: DataFrame, x: str, y: str, radius: float, keys: Sequence[str], name: str) -> DataFrame:
+    """rows with the number of other rows of equal keys at most radius apart; 0 for rows without a place or keys.
+
+    Rows of one place are counted first, so pairs are made of different places alone, however many rows share them,
+    and each task adds them up before a shuffle.
+    """
+    places = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
+    own = places.select(*keys, "_x", "_y", F.floor(F.col("_x") / radius).alias("_i"), F.floor(F.col("_y") / radius).alias("_j"))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND))
+    other = places.withColumn("_s", F.explode(steps)).select(*keys, F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), (F.floor(F.col("_x") / radius) + F.col("_s.i")).alias("_i"), (F.floor(F.col("_y") / radius) + F.col("_s.j")).alias("_j"), "_n")
+    near = own.join(other, [*keys, "_i", "_j"]).where(F.hypot(F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")) <= radius)
+    counts = near.groupBy(*keys, F.col("_x").alias(x), F.col("_y").alias(y)).agg((F.sum("_n") - 1).alias(name))
+    return rows.join(counts, [*keys, x, y], "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 #: Width of blocks up to which cells look for their nearest target among blocks around; beyond it distances are transformed.

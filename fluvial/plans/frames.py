@@ -200,8 +200,7 @@ def interval_overlap_join(spark, d):
 @query("neighbour_count_selfjoin", f"WITH {FRAMES}, p AS (SELECT event_id, cls, v, sec / 3600.0 AS h FROM frames) SELECT a.event_id, count(b.event_id) AS neighbours FROM p a LEFT JOIN p b ON a.cls = b.cls AND a.event_id <> b.event_id AND sqrt(power(a.v - b.v, 2) + power(a.h - b.h, 2)) <= 5 GROUP BY a.event_id")
 def neighbour_count_selfjoin(spark, d):
     rows = frames(spark, d).select("event_id", "cls", "v", (F.col("sec") / 3600.0).alias("h"))
-    counts = joins.near_pairs(rows, "event_id", "v", "h", 5.0, ["cls"]).groupBy("event_id").agg(F.count("*").alias("neighbours"))
-    return rows.select("event_id").join(counts, "event_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
+    return joins.neighbour_counts(rows, "v", "h", 5.0, ["cls"], "neighbours").select("event_id", "neighbours")
 
 
 @query("asof_history_lookup", f"WITH {FRAMES}, a AS (SELECT seq, sec, event_id FROM frames WHERE cls = 'purchase'), b AS (SELECT seq, sec, max(v) AS v FROM frames WHERE cls = 'view' GROUP BY seq, sec) SELECT a.seq, a.event_id, round(b.v, 4) AS last_view FROM a ASOF LEFT JOIN b ON a.seq = b.seq AND a.sec >= b.sec")
