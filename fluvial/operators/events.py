@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.functions.exprs import clip, ratio_or_zero
 from fluvial.operators.evidence import TILE, kernel_tiles
 from fluvial.operators.joins import near_pairs
+from fluvial.sources.checkpoints import cut
 
 #: Columns of a candidate besides its sequence.
 CANDIDATE = ("frame", "candidate_id", "u", "v", "area", "radius", "x0", "y0", "x1", "y1")
+BOX = CANDIDATE[-4:]
 
 
 def box_iou(a: Sequence[float], b: Sequence[float]) -> float:
@@ -38,14 +43,15 @@ class OpenTracks:
         self.last = {t: c for t, c in self.last.items() if frame - c["frame"] <= self.max_gap + 1}
         free, chosen = dict(self.last), {}
         for c in sorted(candidates, key=lambda c: (-c["area"], c["candidate_id"])):
-            costs = []
+            best = None
             for t, p in free.items():
-                distance = float(np.hypot(c["u"] - p["u"], c["v"] - p["v"]))
-                overlap = box_iou([c[k] for k in ("x0", "y0", "x1", "y1")], [p[k] for k in ("x0", "y0", "x1", "y1")])
+                distance = math.hypot(c["u"] - p["u"], c["v"] - p["v"])
+                overlap = box_iou([c[k] for k in BOX], [p[k] for k in BOX])
                 if distance <= self.max_distance + (c["radius"] + p["radius"]) / 2 or overlap >= self.min_iou:
-                    costs.append((distance - 8.0 * overlap + 1.5 * abs(float(np.log(max(c["area"], 1) / max(p["area"], 1)))), t))
-            if costs:
-                track = min(costs)[1]
+                    cost = (distance - 8.0 * overlap + 1.5 * abs(math.log(max(c["area"], 1) / max(p["area"], 1))), t)
+                    best = cost if best is None or cost < best else best
+            if best:
+                track = best[1]
                 del free[track]
             else:
                 track, self.count = self.count, self.count + 1
@@ -54,20 +60,42 @@ class OpenTracks:
         return [chosen[c["candidate_id"]] for c in candidates]
 
 
+def plain_row(row: dict) -> dict:
+    """row with missing numbers as NaN."""
+    return {k: math.nan if v is None else v for k, v in row.items()} if None in row.values() else row
+
+
 def associate(candidates: DataFrame, sequence: str, **options) -> DataFrame:
-    """candidates with track: association is sequential within a sequence and parallel across them."""
-    schema = candidates.select(sequence, *CANDIDATE)
+    """candidates with track: association is sequential within a sequence and parallel across them.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, parts = OpenTracks(**options), []
-        for frame, rows in group.sort_values(["frame", "candidate_id"]).groupby("frame"):
-            rows = rows.copy()
-            rows["track"] = state.step(int(frame), rows.to_dict("records"))
-            parts.append(rows)
-        return pd.concat(parts)
+    A task reads its sequences in order of frame and holds one frame and its open tracks, however long a sequence is.
+    Candidates without a frame are left out.
+    """
+    schema = candidates.select(sequence, *CANDIDATE)
+    dealt = schema.where(F.col("frame").isNotNull()).repartition(sequence).sortWithinPartitions(sequence, "frame", "candidate_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            nonlocal out
+            for batch in batches:
+                out = out or pa.schema([*batch.schema, pa.field("track", pa.int32())])
+                yield from batch.to_pylist()
+
+        out, held = None, []
+        for _, own in itertools.groupby(rows(), key=lambda r: r[sequence]):
+            state = OpenTracks(**options)
+            for frame, together in itertools.groupby(own, key=lambda r: r["frame"]):
+                together = list(together)
+                for r, t in zip(together, state.step(int(frame), [plain_row(r) for r in together])):
+                    held.append(r | {"track": t})
+                if len(held) >= 10_000:
+                    yield pa.RecordBatch.from_pylist(held, out)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, out)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in schema.dtypes)
-    return schema.groupBy(sequence).applyInPandas(run, f"{fields}, track int")
+    return dealt.mapInArrow(run, f"{fields}, track int")
 
 
 def track_features(observations: DataFrame, keys: Sequence[str], order: str, area: str, radius: str, intensity: str, polarity: str) -> DataFrame:
@@ -105,12 +133,9 @@ def track_features(observations: DataFrame, keys: Sequence[str], order: str, are
 
 def neighbour_context(tracks: DataFrame, keys: Sequence[str], ident: str, x: str, y: str, start: str, end: str, radius: float = 35.0) -> DataFrame:
     """tracks with neighbour_count within radius, and overlapping ones per frame of the track's duration."""
-    pairs = near_pairs(tracks, ident, x, y, radius, keys)
-    times = tracks.select(*keys, F.col(ident).alias("other"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    own = tracks.select(*keys, ident, start, end)
-    joined = pairs.join(times, [*keys, "other"]).join(own, [*keys, ident])
-    meets = F.least(F.col(end), F.col("_e")) - F.greatest(F.col(start), F.col("_s")) + 1 > 0
-    counts = joined.groupBy(*keys, ident).agg(F.count("*").alias("neighbour_count"), F.count_if(meets).alias("_m"))
+    pairs = near_pairs(tracks, ident, x, y, radius, keys, [start, end])
+    meets = F.least(F.col(end), F.col(f"other_{end}")) - F.greatest(F.col(start), F.col(f"other_{start}")) + 1 > 0
+    counts = pairs.groupBy(*keys, ident).agg(F.count("*").alias("neighbour_count"), F.count_if(meets).alias("_m"))
     return tracks.join(counts, [*keys, ident], "left").withColumn("neighbour_count", F.coalesce("neighbour_count", F.lit(0))).withColumn("local_density", F.coalesce("_m", F.lit(0)) / F.greatest(F.lit(1.0), (F.col(end) - F.col(start) + 1).cast("double"))).drop("_m")
 
 
@@ -203,25 +228,53 @@ def hybrid_classification(rows: DataFrame, probability: Column, low: float, high
     return rows.withColumn("classification", probability_class(probability, low, high)).withColumn("confidence", F.greatest(probability, 1 - probability))
 
 
-def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, weight: str | None = None, l2: float = 0.02, rate: float = 0.08, steps: int = 1800, most_rows: int = 200_000) -> dict:
+def _gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, model: tuple) -> np.ndarray:
+    """Sums of a weighted logistic loss' slopes over rows: one for each weight, then the bias."""
+    coef, bias, mean, std = model
+    z = np.clip(np.nan_to_num((x - mean) / std), -12, 12)
+    error = (1 / (1 + np.exp(-np.clip(z @ coef + bias, -40, 40))) - y) * w
+    return np.append(z.T @ error, error.sum())
+
+
+def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, weight: str | None = None, l2: float = 0.02, rate: float = 0.08, steps: int = 1800, most_rows: int | None = None, held: int = 100_000) -> dict:
     """Weighted full-batch gradient descent from zero weights and the prior's bias, over z-scores kept in [-12, 12].
 
-    The driver fits a bounded table: more than most_rows labelled rows are an error, not a silent sample.
+    Every labelled row counts: equal rows become one with their weights' sum. Where at most held different ones are left, the
+    driver takes the steps over them; else each step is a job whose tasks sum slopes, and the driver sees the
+    sums alone. A missing feature counts as its mean. More than most_rows labelled rows are an error, if a limit is given.
     """
-    table = rows.select(*(F.col(f).cast("double") for f in features), F.col(label).cast("double").alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")).where("_y IS NOT NULL").limit(most_rows + 1).toPandas()
-    if len(table) > most_rows:
+    features = list(features)
+    labelled = rows.select(*(F.col(f).cast("double") for f in features), F.col(label).cast("double").alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")).where("_y IS NOT NULL")
+    equal = cut(labelled.groupBy(*features, "_y").agg(F.count("*").cast("double").alias("_n"), F.sum("_w").alias("_w")))
+    size = equal.agg(F.count("*").alias("different"), F.sum("_n").alias("rows"), F.sum(F.col("_n") * F.col("_y")).alias("ones"), F.sum("_w").alias("w"), *(F.sum(F.when(F.col(f).isNotNull(), F.col("_n"))).alias(f"n_{k}") for k, f in enumerate(features)), *(F.sum(F.col(f) * F.col("_n")).alias(f"s_{k}") for k, f in enumerate(features))).first()
+    if most_rows is not None and (size["rows"] or 0) > most_rows:
         raise ValueError(f"more than {most_rows} rows to fit")
-    if not len(table):
+    if not size["different"]:
         raise ValueError("no rows to fit")
-    x, y, w = table[list(features)].to_numpy(float), table["_y"].to_numpy(), table["_w"].to_numpy()
-    mean, std = x.mean(axis=0), x.std(axis=0)
+    counts, mean = [size[f"n_{k}"] or 1.0 for k in range(len(features))], np.array([(size[f"s_{k}"] or 0.0) / (size[f"n_{k}"] or 1.0) for k in range(len(features))])
+    spread = equal.agg(*(F.sum((F.col(f) - F.lit(float(m))) * (F.col(f) - F.lit(float(m))) * F.col("_n")).alias(f"v_{k}") for k, (f, m) in enumerate(zip(features, mean)))).first()
+    std = np.sqrt(np.array([(v or 0.0) / n for v, n in zip(spread, counts)]))
     std[std < 1e-8] = 1.0
-    z, coef, share = np.clip((x - mean) / std, -12, 12), np.zeros(x.shape[1]), float(y.mean())
-    bias = float(np.log(max(share, 1e-4) / max(1 - share, 1e-4)))
+    names, share, whole = [*features, "_y", "_w"], size["ones"] / size["rows"], max(size["w"] or 0.0, 1e-9)
+    parts = lambda t: (t[features].to_numpy(float), *(t[c].to_numpy(float) for c in ("_y", "_w")))
+    near = parts(equal.select(*names).toPandas()) if size["different"] <= held else None
+
+    def slopes(model: tuple) -> np.ndarray:
+        if near is not None:
+            return _gradient(*near, model)
+
+        def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for t in tables:
+                yield pd.DataFrame([_gradient(*parts(t), model)], columns=[f"g{k}" for k in range(len(features) + 1)])
+
+        summed = equal.select(*names).mapInPandas(run, ", ".join(f"g{k} double" for k in range(len(features) + 1)))
+        return np.array(summed.agg(*(F.sum(c) for c in summed.columns)).first(), float)
+
+    coef, bias = np.zeros(len(features)), float(np.log(max(share, 1e-4) / max(1 - share, 1e-4)))
     for _ in range(steps):
-        error = (1 / (1 + np.exp(-np.clip(z @ coef + bias, -40, 40))) - y) * w / max(w.sum(), 1e-9)
-        coef, bias = coef - rate * (z.T @ error + l2 * coef), bias - rate * float(error.sum())
-    return {"weights": coef.tolist(), "bias": bias, "mean": mean.tolist(), "std": std.tolist(), "features": list(features)}
+        g = slopes((coef, bias, mean, std)) / whole
+        coef, bias = coef - rate * (g[:-1] + l2 * coef), bias - rate * float(g[-1])
+    return {"weights": coef.tolist(), "bias": bias, "mean": mean.tolist(), "std": std.tolist(), "features": features}
 
 
 def sample_negatives(rows: DataFrame, keys: Sequence[str], positive: Column, order: Sequence[Column], ratio: float = 5.0, least: int = 50, most: int = 300) -> DataFrame:
