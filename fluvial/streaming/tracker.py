@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from fluvial.operators.events import CANDIDATE, OpenTracks
+from fluvial.operators.events import CANDIDATE, OpenTracks, plain_row
 
 #: Session setting that stateful processors with timers need.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -33,20 +34,23 @@ class Association(StatefulProcessor):
         self.tracks = handle.getValueState("tracks", "kept string, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
         for part in rows:
             part = part[["ms", *self.fields]]
             self.open.appendList([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in part.itertuples(index=False)])
-            for ms in part["ms"].unique().tolist():
-                self.handle.registerTimer(int(ms))
+            low = int(part["ms"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first)  # one for all of a batch's frames: the earliest is due first and sets the next
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         # the first timer of a batch takes all frames that the watermark has passed; the others find none
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        held = pd.DataFrame(list(self.open.get()), columns=["ms", *self.fields])
-        ready, waiting = held[held["ms"] <= now], held[held["ms"] > now]
-        if not len(ready):
-            if not len(waiting) and self.tracks.exists() and self.tracks.get()[1] + self.forget_ms <= now:
+        held = [tuple(r) for r in self.open.get()]
+        ready, waiting = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
+        if not ready:
+            if not waiting and self.tracks.exists() and self.tracks.get()[1] + self.forget_ms <= now:
                 self.tracks.clear()
                 self.open.clear()
             return
@@ -55,26 +59,25 @@ class Association(StatefulProcessor):
             text, last = self.tracks.get()
             kept = json.loads(text)
             tracks.count, tracks.last = kept["count"], {int(t): c for t, c in kept["open"].items()}
-        parts = []
-        for (ms, frame), own in ready.sort_values(["frame", "candidate_id"]).groupby(["ms", "frame"]):
+        at = 1 + self.fields.index("frame"), 1 + self.fields.index("candidate_id")
+        found = []
+        for (ms, frame), own in itertools.groupby(sorted(ready, key=lambda r: (r[0], r[at[0]], r[at[1]])), key=lambda r: (r[0], r[at[0]])):
             if last is not None and ms - last > self.forget_ms:  # a new sequence, however batches fell
                 tracks = OpenTracks(**self.options)
-            own, last = own.copy(), int(ms)
-            own["track"] = tracks.step(int(frame), own[self.fields].to_dict("records"))
-            parts.append(own)
-        if not len(waiting) and last + self.forget_ms <= now:
+            own, last = list(own), int(ms)
+            chosen = tracks.step(int(frame), [plain_row(dict(zip(self.fields, r[1:]))) for r in own])
+            found += [(key[0], *r[1:], t) for r, t in zip(own, chosen)]
+        if not waiting and last + self.forget_ms <= now:
             self.tracks.clear()
             self.open.clear()
         else:
-            plain = {t: {k: (v.item() if hasattr(v, "item") else v) for k, v in c.items()} for t, c in tracks.last.items()}
-            self.tracks.update((json.dumps({"count": tracks.count, "open": plain}), last))
+            self.tracks.update((json.dumps({"count": tracks.count, "open": tracks.last}), last))
             self.open.clear()
-            if len(waiting):
-                self.open.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in waiting.itertuples(index=False)])
+            if waiting:
+                self.open.put(waiting)
+                self.handle.registerTimer(int(min(r[0] for r in waiting)))
             self.handle.registerTimer(last + self.forget_ms)
-        found = pd.concat(parts).drop(columns="ms")
-        found.insert(0, "sequence_key", key[0])
-        yield found
+        yield pd.DataFrame(found, columns=["sequence_key", *self.fields, "track"])
 
     def close(self) -> None:
         pass
