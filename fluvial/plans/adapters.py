@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvial.operators import grid
+from fluvial.sources.checkpoints import cut
 
 #: Cells along each axis of the point grid: quantity by fives and discount by hundredths.
 NX = NY = 11
@@ -34,10 +35,13 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster(spark: SparkSession, sf_dir: str, q: float = 0.2, where: str | None = None) -> DataFrame:
-    """One row a cell: z, the exact quantile, rounded so that comparisons don't hang on the last bit."""
+    """One row a cell: z, the exact quantile, rounded so that comparisons don't hang on the last bit.
+
+    The cells, NX * NY at most, are kept, so that a query that looks at them often reads the points once.
+    """
     rows = cells(spark, sf_dir)
     found = grid.percentile_raster(rows.where(where) if where else rows, ["ix", "iy"], "z", {"z": q})
-    return found.select("ix", "iy", "n", F.round("z", 4).alias("z"))
+    return cut(found.select("ix", "iy", "n", F.round("z", 4).alias("z")))
 
 
 def raster_sql(name: str = "raster", q: float = 0.2, where: str = "TRUE") -> str:

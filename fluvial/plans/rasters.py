@@ -209,15 +209,15 @@ def exterior_boundary(spark, d):
 
 @query("topology_methods")
 def topology_methods(spark, d):
-    found = None
+    found, water = None, mask(spark, d)
     for name in regions.METHODS:
-        one = regions.repair(mask(spark, d), name, NX, NY, unknown_cells(spark)).agg(F.count("*").alias("cells")).withColumn("method", F.lit(name))
+        one = regions.repair(water, name, NX, NY, unknown_cells(spark)).agg(F.count("*").alias("cells")).withColumn("method", F.lit(name))
         found = one if found is None else found.unionByName(one)
     return found.select("method", "cells")
 
 
 @query("boundary_metrics")
 def boundary_metrics(spark, d):
-    a, b = regions.inner_ring(mask(spark, d)), regions.inner_ring(mask(spark, d, 0.5))
-    both = regions.boundary_distances(a, b).crossJoin(regions.boundary_f1(mask(spark, d), mask(spark, d, 0.5), NX, NY, 1))  # one row each
+    water, truth = mask(spark, d), mask(spark, d, 0.5)
+    both = regions.boundary_distances(regions.inner_ring(water), regions.inner_ring(truth)).crossJoin(regions.boundary_f1(water, truth, NX, NY, 1))  # one row each
     return both.select("n", *(r4(c) for c in both.columns if c != "n"))
