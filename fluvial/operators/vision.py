@@ -5,10 +5,12 @@ Each function groups by frame; one frame, of bounded size, is an array in a task
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,17 +101,21 @@ def resampled(line: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.interp(at, length, closed[:, 0]), np.interp(at, length, closed[:, 1])], axis=1)
 
 
-def _shape(mask: np.ndarray, residual: np.ndarray, signed: np.ndarray) -> dict:
-    """Measures of one component."""
+def _shape(mask: np.ndarray, residual: np.ndarray, signed: np.ndarray, top: int = 0, left: int = 0) -> dict:
+    """Measures of one component, whose arrays begin at row top and column left of the frame."""
     y, x = np.nonzero(mask)
-    energy, lean = residual[mask].astype(float), float(signed[mask].mean())
-    away = np.hypot(y - y.mean(), x - x.mean())
+    y, x = y + top, x + left
+    energy, lean = residual[mask], float(signed[mask].mean())
+    dy, dx = y - y.mean(), x - x.mean()
+    away = np.hypot(dy, dx)
     outer = away >= np.median(away)
-    inside = float(energy[~outer].mean()) if (~outer).any() else 0.0
+    inside = float(energy[~outer].mean()) if not outer.all() else 0.0
     eccentricity = 0.0
     if len(y) >= 3:
-        low, high = np.maximum(np.linalg.eigvalsh(np.cov(y, x)), 1e-9)
-        eccentricity = float(np.sqrt(1 - low / high))
+        yy, xx, xy = (float(a @ b) / (len(y) - 1) for a, b in ((dy, dy), (dx, dx), (dy, dx)))
+        half = math.hypot((yy - xx) / 2, xy)
+        low, high = max((yy + xx) / 2 - half, 1e-9), max((yy + xx) / 2 + half, 1e-9)
+        eccentricity = math.sqrt(1 - low / high)
     return {
         "u": float(x.mean()), "v": float(y.mean()), "area": len(y), "mean_residual": float(energy.mean()), "max_residual": float(energy.max()), "polarity": "positive" if lean > 0.5 else "negative" if lean < -0.5 else "mixed",
         "eccentricity": eccentricity, "compactness": float(4 * np.pi * len(y) / max(perimeter(mask) ** 2, 1e-9)), "ringness": float(energy[outer].mean() / max(inside, 1e-6)), "radius": float(np.sqrt(len(y) / np.pi)),
@@ -125,6 +131,33 @@ def _image(rows: pd.DataFrame, value: str, shape: tuple[int, int], fill: float =
 CANDIDATE_SCHEMA = "candidate_id int, u double, v double, area int, mean_residual double, max_residual double, polarity string, eccentricity double, compactness double, ringness double, radius double, x0 int, y0 int, x1 int, y1 int"
 
 
+_ARROW = [{"int": pa.int32(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in CANDIDATE_SCHEMA.split(", ")]
+
+
+def _frames(batches: Iterator[pa.RecordBatch], keys: Sequence[str], names: Sequence[str]) -> Iterator[tuple[list[pa.Field], tuple, dict[str, np.ndarray]]]:
+    """(fields of keys, key, arrays by name) of each run of rows with equal keys, however batches cut it."""
+    last, parts, fields = None, [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fields = [batch.schema.field(k) for k in keys]
+        of = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        values = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+        starts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1]), len(of)]
+        for a, b in zip(starts, starts[1:]):
+            if parts and of[a] != last:
+                yield fields, last, {n: np.concatenate([p[n] for p in parts]) for n in names}
+                parts = []
+            last = of[a]
+            parts.append({n: v[a:b] for n, v in values.items()})
+    if parts:
+        yield fields, last, {n: np.concatenate([p[n] for p in parts]) for n in names}
+
+
+def _table(found: list[dict], of: list[tuple], keys: Sequence[str], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(keys, k)) | f for k, f in zip(of, found)], schema)
+
+
 def detect_candidates(pixels: DataFrame, keys: Sequence[str], width: int, height: int, least: float = 4.0, percentile: float = 98.8, close: int = 3, grow: int = 1, areas: tuple[int, int] = (4, 1800), aspect: float = 10.0) -> DataFrame:
     """Moving spots of each frame of residuals (keys, row, col, absolute, signed), missing pixels 0.
 
@@ -132,28 +165,43 @@ def detect_candidates(pixels: DataFrame, keys: Sequence[str], width: int, height
     components of eight neighbours; those within the area and aspect limits are measured and numbered.
     """
     kinds = dict(pixels.dtypes)
+    names = [c.split()[0] for c in CANDIDATE_SCHEMA.split(", ")]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        size = _image(rows, "absolute", (height, width))
-        signed = _image(rows, "signed", (height, width))
+    def spotted(rows: dict[str, np.ndarray]) -> list[dict]:
+        size, signed = np.zeros((height, width)), np.zeros((height, width))
+        size[rows["row"], rows["col"]], signed[rows["row"], rows["col"]] = rows["absolute"], rows["signed"]
         spots = size >= max(least, np.percentile(size, percentile))
         if close > 1:
             spots = square(square(spots, close, True), close, False)
         for _ in range(grow):
             spots = square(spots, 3, True)
         parts, found = label(spots), []
-        for n in range(1, parts.max() + 1):
-            own = parts == n
-            y, x = np.nonzero(own)
-            w, h = np.ptp(x) + 1, np.ptp(y) + 1
+        order = np.argsort(parts, axis=None, kind="stable")
+        ends = np.cumsum(np.bincount(parts.ravel()))
+        for n in range(1, len(ends)):
+            y, x = np.divmod(order[ends[n - 1] : ends[n]], width)
+            x0, y0, x1, y1 = int(x.min()), int(y.min()), int(x.max()), int(y.max())
+            w, h = x1 - x0 + 1, y1 - y0 + 1
             if areas[0] <= len(y) <= areas[1] and max(w / h, h / w) <= aspect:
-                found.append({"candidate_id": len(found), **_shape(own, size, signed), "x0": x.min(), "y0": y.min(), "x1": x.max(), "y1": y.max()})
-        out = pd.DataFrame(found, columns=[c.split()[0] for c in CANDIDATE_SCHEMA.split(", ")])
-        for k in reversed(keys):
-            out.insert(0, k, rows[k].iloc[0])
-        return out
-
-    return pixels.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + CANDIDATE_SCHEMA)
+                at = slice(y0, y1 + 1), slice(x0, x1 + 1)
+                found.append({"candidate_id": len(found), **_shape(parts[at] == n, size[at], signed[at], y0, x0), "x0": x0, "y0": y0, "x1": x1, "y1": y1})
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of, out = [], [], None
+        for fields, key, rows in _frames(batches, keys, ("row", "col", "absolute", "signed")):
+            out = out or pa.schema([*fields, *(pa.field(n, t) for n, t in zip(names, _ARROW))])
+            found = spotted(rows)
+            held += found
+            of += [key] * len(found)
+            if len(held) >= 5_000:
+                yield _table(held, of, keys, out)
+                held, of = [], []
+        if held:
+            yield _table(held, of, keys, out)
+
+    dealt = pixels.select(*keys, "row", "col", "absolute", "signed").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + CANDIDATE_SCHEMA)
 
 
 def ranked_components(labelled: DataFrame, keys: Sequence[str], ambiguous_from: float = 0.8) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from fluvial.operators import events, evidence, joins
+from fluvial.operators import events, evidence, joins, vision
 from fluvial.streaming import tracker
 from pyspark.sql import functions as F
 
@@ -84,3 +84,23 @@ def test_a_batch_of_a_sequence_sets_one_timer():
     rows = pd.DataFrame([[1000 * f, f, f, 1.0, 1.0, 1, 1.0, 0, 0, 2, 2] for f in range(9, 0, -1)], columns=["ms", *fields])
     list(p.handleInputRows((1,), iter([rows[:4], rows[4:]]), None))
     assert h.timers == [1000] and len(h.kept) == 9
+
+
+def test_frames_cut_over_batches_give_the_same_candidates(spark):
+    r = random.Random(4)
+    lit = {(s, w, y, x): (r.uniform(3, 30), r.uniform(-30, 30)) for s in (1, None) for w in range(6) for _ in range(9) for y0, x0 in [(r.randint(2, 20), r.randint(2, 28))] for y in range(y0 - 1, y0 + 2) for x in range(x0 - 1, x0 + 2)}
+    pixels = spark.createDataFrame([(*k, *v) for k, v in lit.items()], "sample long, window long, row int, col int, absolute double, signed double")
+    found = vision.detect_candidates(pixels, ["sample", "window"], 32, 24, percentile=80.0, areas=(4, 600))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(map(str, found.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(str, found.select("*").collect())) == whole and len(whole) > 12
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rasters_read_their_points_once(spark, sf_dir):
+    from fluvial.plans import adapters
+
+    assert "FileScan" not in adapters.mask(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
