@@ -30,3 +30,9 @@ def r4(c: str | Column, name: str | None = None) -> Column:
     """A double rounded to four places, so that the order of sums doesn't show."""
     x = F.round((F.col(c) if isinstance(c, str) else c).cast("double"), 4)
     return x.alias(name or c) if isinstance(c, str) or name else x
+
+
+def signed4(c: str) -> Column:
+    """r4 as SQL's round: what is negative and rounds to nothing stays negative, -0.0."""
+    x = r4(F.col(c))
+    return F.when((x == 0) & (F.col(c) < 0), F.lit(-0.0)).otherwise(x).alias(c)

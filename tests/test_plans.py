@@ -33,3 +33,12 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 
 def test_latest_needs_no_sort_of_groups(spark, sf_dir):
     assert "Window" not in plan(catalog.queries()["latest_by_sample"](spark, sf_dir))
+
+
+def test_rounded_slopes_keep_their_sign(spark):
+    import math
+
+    from fluvial.plans.registry import signed4
+
+    rows = spark.createDataFrame([(-1e-18,), (-0.00004,), (0.0,), (-0.00005,), (1e-18,), (None,)], "s double").select(signed4("s")).collect()
+    assert [None if r.s is None else (r.s, math.copysign(1, r.s)) for r in rows] == [(0, -1), (0, -1), (0, 1), (-0.0001, -1), (0, 1), None]
