@@ -105,17 +105,17 @@ class WordEncoder:
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.start, self.counts = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
     def _keep(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         base, upto = len(self.codes), len(self.codes) + len(chunks)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while upto > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
+            self.start, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.counts))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[base:upto] = self.used + np.cumsum(counts) - counts
-        self.count[base:upto] = counts
+        self.counts[base:upto] = counts
         self.used += len(ids)
         self.codes.update(zip(chunks, range(base, upto)))
 
@@ -155,7 +155,7 @@ class WordEncoder:
 
     def _ids(self, codes: np.ndarray, each: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Ids of codes one after another, and how many every `each` of them have."""
-        counts = self.count[codes]
+        counts = self.counts[codes]
         ends = np.cumsum(counts)
         at = np.repeat(self.start[codes] - ends + counts, counts)
         at += np.arange(len(at))
@@ -163,6 +163,21 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow array of texts one after another, and each text's number of ids."""
+        codes, sizes, forget = self._coded(texts)
+        ids, counts = self._ids(codes)
+        upto = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        forget()
+        return ids, np.diff(upto)
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Each text's number of ids, without the ids."""
+        codes, sizes, forget = self._coded(texts)
+        upto = np.concatenate([[0], np.cumsum(self.counts[codes])])[np.concatenate([[0], np.cumsum(sizes)])]
+        forget()
+        return np.diff(upto)
+
+    def _coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable[[], None]]:
+        """Numbers of the texts' chunks in order, chunks a text has, and what drops chunks that aren't kept."""
         full, used = len(self.codes) >= self.most or self.used >= 20 * self.most, self.used
         names, codes, sizes = self.units_of(texts)
         known = list(map(self.codes.get, names))
@@ -171,13 +186,14 @@ class WordEncoder:
         for k in new:
             known[k] = self.codes[names[k]]
         codes = np.array(known, np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
-        ids, counts = self._ids(codes)
-        upto = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
-        if full:  # chunks met by now are mostly rare: these aren't kept
-            for c in learnt:
-                del self.codes[c]
-            self.used = used
-        return ids, np.diff(upto)
+
+        def forget() -> None:
+            if full:  # chunks met by now are mostly rare: these aren't kept
+                for c in learnt:
+                    del self.codes[c]
+                self.used = used
+
+        return codes, sizes, forget
 
 
 #: Fixed value: as _PLAIN, with the one space that a byte-level token may begin with.

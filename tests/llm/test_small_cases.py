@@ -58,6 +58,25 @@ def test_token_counts_equal_the_library(docs):
     assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, tokenizer_path(), batch_bytes=64, piece_bytes=16).collect()} == want
 
 
+def test_token_counts_encode_a_chunk_once():
+    import pyarrow as pa
+    from fluvial.llm import tokens
+
+    encoder, sent = tokens.WordEncoder(tokens.read_tokenizer(tokenizer_path())), []
+    texts = ["rain falls, it's rain " * 500, None, "", "  rain\n\u00a0x<|endoftext|>y e\u0301 \u0301 don't\tX1", "rain"]
+    want = [len(encoder.tokenizer.encode(t or "", add_special_tokens=False)) for t in texts]
+
+    class Library:
+        def encode_batch_fast(self, pieces, **options):
+            sent.extend(pieces)
+            return library.encode_batch_fast(pieces, **options)
+
+    library, encoder.tokenizer = encoder.tokenizer, Library()
+    assert encoder.count(pa.array(texts, pa.string())).tolist() == want
+    assert encoder.count(pa.array(texts[::-1], pa.string())).tolist() == want[::-1]
+    assert sum(map(len, sent)) < 100  # of 11,000 characters
+
+
 def test_packing_is_a_round_trip(docs):
     from tokenizers import Tokenizer
 
