@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvial.llm.common import crc_bucket, ensure_checkpoint_dir
-from fluvial.llm.tokens import chunks_of, runs_of
+from fluvial.llm.tokens import chunks_of, give_back, giving_back, runs_of
 
 #: The end of a text as a token: a hash of what no word is.
 END = xxhash.xxh64_intdigest("\n") - 2**63
 #: Bytes of text that a task encodes, counts or scores at a time.
 RUN_BYTES = 4 << 20
+#: Tokens of a run, about, whose contexts are looked up at a time; a text is never cut.
+SLICE_TOKENS = 1 << 17
 #: Tokens whose counts meet in one group, about.
 GROUP_TOKENS = 2_000_000
 #: Bits of the filter of the model's keys, at most; more keys than that only let more rows through to the join.
@@ -139,7 +141,7 @@ def _encoded(docs: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(whole, pa.concat_arrays([c])) for c in (*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(sizes, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*lists, pa.array([packed], pa.binary()), pa.array([hashes.tobytes()], pa.binary())], names=["row", "doc_id", "train", "sizes", "codes", "hashes"])
 
-    return _saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "train", "text").mapInArrow(run, RUNS))
+    return _saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "train", "text").mapInArrow(giving_back(run), RUNS))
 
 
 def _read(batches) -> Iterator[tuple]:
@@ -163,7 +165,8 @@ def _counted(runs: DataFrame, length: int, least: int, tokens: int = 0, bits=Non
         for hashes, codes, sizes, train, _, _ in _read(batches):
             codes, sizes = codes[np.repeat(train, sizes)], sizes[train]
             if length:
-                *_, (_, c, s, key) = _levels(hashes, codes, sizes, length)
+                for _, c, s, key in _levels(hashes, codes, sizes, length):  # the last one counts; the others go at once
+                    pass
                 use = np.flatnonzero(_maybe(bits.value, c) & _maybe(bits.value, s))
                 key, i, n = np.unique(key[use], return_index=True, return_counts=True)
                 c, s = c[use[i]], s[use[i]]
@@ -182,10 +185,11 @@ def _counted(runs: DataFrame, length: int, least: int, tokens: int = 0, bits=Non
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "c", "s", "n"])
 
     def gather(_, table):
-        c, s, n = (table[x].to_pylist() for x in ("c", "s", "n"))
-        n = np.concatenate([np.frombuffer(x, np.uint8 if len(x) * 8 == len(y) else np.uint32) for x, y in zip(n, s)])
+        c, s, n = ([x.as_buffer() for x in table[k]] for k in ("c", "s", "n"))
+        n = np.concatenate([np.frombuffer(x, np.uint8 if x.size * 8 == y.size else np.uint32) for x, y in zip(n, s)])
         c, s = (np.concatenate([np.frombuffer(x, np.int64) for x in y]) for y in (c, s))
         key = _key(c, s)
+        give_back()
         order = np.argsort(key)
         first = np.flatnonzero(np.diff(key[order].view(np.uint64), prepend=~key[order[:1]].view(np.uint64)))
         n = np.add.reduceat(n[order].astype(np.int64), first)
@@ -193,7 +197,7 @@ def _counted(runs: DataFrame, length: int, least: int, tokens: int = 0, bits=Non
         order = np.lexsort((s[at], c[at]))
         return pa.table({"c": c[at][order], "s": s[at][order], "n": n[order]})
 
-    packed = runs.mapInArrow(run, "part long, c binary, s binary, n binary")
+    packed = runs.mapInArrow(giving_back(run), "part long, c binary, s binary, n binary")
     return _saved(packed.groupBy("part").applyInArrow(gather, "c long, s long, n long"))
 
 
@@ -334,6 +338,15 @@ def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """First and last text, and first and last token, of parts of a run of about SLICE_TOKENS, one text at least."""
+    ends, a, start = np.cumsum(sizes), 0, 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, start + SLICE_TOKENS, "right")))
+        yield a, b, start, int(ends[b - 1])
+        a, start = b, int(ends[b - 1])
+
+
 NAMES = ["row", "key", "times", "doc"]
 DOC = pa.struct([("doc_id", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("root", pa.float64()), ("logs", pa.float64())])
 
@@ -360,38 +373,43 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, **options) -> DataFram
     unseen, depth = model.base(0), model.depth
     sent = docs.sparkSession.sparkContext.broadcast((near, _filter(model.values)))
 
+    give = lambda x, place, other: np.where(place >= 0, x[np.maximum(place, 0)] if len(x) else 0.0, other)
+
     def run(batches):
         (keys, roots, values), bits = sent.value
-        give = lambda x, place, other: np.where(place >= 0, x[np.maximum(place, 0)] if len(x) else 0.0, other)
         for hashes, codes, sizes, _, row, doc in _read(batches):
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            sums = np.zeros((3, len(sizes)))
             place = _find(keys, hashes)
             asked = (place < 0) & _maybe(bits, hashes)
             other = np.where(asked, 0.0, unseen)
-            for k, x in enumerate((give(roots, place, other), give(values, place, other), place >= 0)):
-                sums[k] = np.bincount(owner, x[codes], len(sizes))
-            i = np.flatnonzero(asked[codes])
-            rest = [(-1, owner[i], hashes[codes[i]])]
-            for at, _, _, key in _levels(hashes, codes, sizes, depth):
-                i = np.flatnonzero(_maybe(bits, key))
-                who, key = owner[at[i]], key[i]
-                place = _find(keys, key)
-                sums[1] += np.bincount(who, give(values, place, 0.0), len(sizes))
-                rest.append((1, who[place < 0], key[place < 0]))
-            parts = [doc.cast(pa.int64()), pa.array(sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(np.zeros(len(row), np.int64)), pa.StructArray.from_arrays(parts, fields=list(DOC))], names=NAMES)
-            for sign, who, key in rest:
-                order = np.lexsort((key, who))
-                who, key = who[order], key[order]
-                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(who)), bool), (who[1:] != who[:-1]) | (key[1:] != key[:-1])]))
-                n = np.diff(np.append(new, len(who))).astype(np.int64) * sign
-                who, key = row[who[new]], key[new]
-                for k in range(0, len(who), 1 << 16):
-                    x = slice(k, k + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(who[x]), pa.array(key[x]), pa.array(n[x]), pa.nulls(len(who[x]), DOC)], names=NAMES)
-
-    parts = runs.mapInArrow(run, "row long, key long, times long, doc struct<doc_id: long, tokens: long, known: long, root: double, logs: double>")
+            words = [give(roots, place, other), give(values, place, other), place >= 0]
+            for a, b, start, end in _slices(sizes):
+                yield from part(hashes, codes[start:end], sizes[a:b], row[a:b], doc.slice(a, b - a), words, asked)
+
+    def part(hashes, codes, sizes, row, doc, words, asked):
+        (keys, _, values), bits = sent.value
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sums = np.stack([np.bincount(owner, x[codes], len(sizes)) for x in words])
+        i = np.flatnonzero(asked[codes])
+        rest = [(-1, owner[i], hashes[codes[i]])]
+        for at, _, _, key in _levels(hashes, codes, sizes, depth):
+            i = np.flatnonzero(_maybe(bits, key))
+            who, key = owner[at[i]], key[i]
+            place = _find(keys, key)
+            sums[1] += np.bincount(who, give(values, place, 0.0), len(sizes))
+            rest.append((1, who[place < 0], key[place < 0]))
+        parts = [doc.cast(pa.int64()), pa.array(sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(np.zeros(len(row), np.int64)), pa.StructArray.from_arrays(parts, fields=list(DOC))], names=NAMES)
+        for sign, who, key in rest:
+            order = np.lexsort((key, who))
+            who, key = who[order], key[order]
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(who)), bool), (who[1:] != who[:-1]) | (key[1:] != key[:-1])]))
+            n = np.diff(np.append(new, len(who))).astype(np.int64) * sign
+            who, key = row[who[new]], key[new]
+            for k in range(0, len(who), 1 << 16):
+                x = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(who[x]), pa.array(key[x]), pa.array(n[x]), pa.nulls(len(who[x]), DOC)], names=NAMES)
+
+    parts = runs.mapInArrow(giving_back(run), "row long, key long, times long, doc struct<doc_id: long, tokens: long, known: long, root: double, logs: double>")
     # times are negative for words, which are unseen where the table lacks them
     joined = parts.join(model.values.select("key", "word", F.col("root").alias("_root"), value.alias("_value")), "key", "left")
     missing, times = F.when(F.col("times") < 0, F.lit(unseen)).otherwise(F.lit(0.0)), F.abs("times")

@@ -19,16 +19,21 @@ _LOADED: dict[int, object] = {}
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+)?")
 
 
+def give_back() -> None:
+    """The worker's free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def giving_back(run: Callable) -> Callable:
     """run over batches, after which the worker's free memory goes back to the system: a worker stays small until its next task."""
 
     @wraps(run)
     def whole(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
-        if trim:
-            trim(0)
+        give_back()
 
     return whole
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from fluvial.llm import curriculum, fingerprint, jaccard_join, licenses, media, packing, sharding, suffix_tree, token_counts, toxicity
 from fluvial.llm.queries import tokenizer_path
@@ -323,3 +324,14 @@ def test_suffix_tree_by_the_join_alone(spark, monkeypatch, depth):
     monkeypatch.setattr(suffix_tree, "RUN_BYTES", 1000)
     found = {x.doc_id: x.score for x in suffix_tree.score(spark.createDataFrame(text, "doc_id long, text string"), depth=depth).collect()}
     assert all(math.isclose(found[i], w, rel_tol=1e-9) for (i, _), w in zip(text, want))
+
+
+def test_suffix_tree_scores_dont_hang_on_slices(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j * j) % 7}" for j in range(i % 40))) for i in range(80)] + [(None, None), (80, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    whole = sorted(suffix_tree.score(docs).collect(), key=str)
+    monkeypatch.setattr(suffix_tree, "SLICE_TOKENS", 30)
+    parts = sorted(suffix_tree.score(docs).collect(), key=str)
+    assert [r[:5] for r in whole] == [r[:5] for r in parts] and len(whole) == 82
+    assert all(abs(x - y) < 1e-9 for a, b in zip(whole, parts) for x, y in zip(a[5:], b[5:]))
+    assert [*suffix_tree._slices(np.array([10, 25, 40, 3]))] == [(0, 1, 0, 10), (1, 2, 10, 35), (2, 3, 35, 75), (3, 4, 75, 78)]
