@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.llm.common import cut, text_or_empty
+from fluvial.llm.common import let, settle, text_or_empty
 
 UNKNOWN = "unknown"
 #: Notices of licence families; {v} stands for a version, {h} for a year and a holder.
@@ -49,10 +50,22 @@ def paragraph_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def grams(words: Column) -> Column:
-    """Words and pairs of neighbours."""
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.lit(1), F.size(words))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, F.filter(pairs, lambda p: F.instr(p, " ") > 0))
+@cache
+def told() -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Words, and pairs of neighbours, that the families' paragraphs hold: fixed lists, as the templates are."""
+    found = [_plain(text) for text, _ in training_paragraphs()]
+    return tuple(sorted({w for ws in found for w in ws})), tuple(sorted({f"{a} {b}" for ws in found for a, b in zip(ws, ws[1:])}))
+
+
+def grams(text: Column) -> Column:
+    """Different words and pairs of neighbours of a paragraph that the families' paragraphs hold too, in order."""
+    words, pairs = told()
+
+    def of(w: Column) -> Column:
+        beside = F.zip_with(w, F.slice(w, 2, F.greatest(F.lit(1), F.size(w))), lambda a, b: F.when(a.isin(*words) & b.isin(*words), F.concat_ws(" ", a, b)))
+        return F.array_sort(F.array_distinct(F.concat(F.filter(w, lambda x: x.isin(*words)), F.filter(beside, lambda x: x.isin(*pairs)))))
+
+    return let(paragraph_words(text), of)
 
 
 def training_paragraphs() -> list[tuple[str, int]]:
@@ -66,65 +79,74 @@ def training_paragraphs() -> list[tuple[str, int]]:
     return rows
 
 
+class Grams:
+    """Numbers of the families' words and pairs; the last stands for all others, which no feature counts."""
+
+    def __init__(self):
+        words, pairs = told()
+        self.terms = [*words, *pairs, "\n"]
+        self.numbers = {t: i for i, t in enumerate(self.terms)}
+
+    def indexOf(self, gram: str) -> int:  # named as in Spark's HashingTF
+        return self.numbers.get(gram, len(self.terms) - 1)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return CountVectorizerModel.from_vocabulary(self.terms, inputCol="_grams", outputCol="_features").setBinary(True).transform(rows)
+
+
 @dataclass
 class LicenseModel:
-    hashing: HashingTF
+    hashing: Grams
     regression: LogisticRegressionModel
     threshold: float
 
 
-def _features(rows: DataFrame, hashing: HashingTF) -> DataFrame:
-    return hashing.transform(rows.withColumn("_grams", grams(F.col("_words"))))
-
-
 def fit(docs: DataFrame, unknown_rows: int = 4000, width: int = 1 << 16, false_accepts: float = 0.001) -> LicenseModel:
-    """Multinomial logistic regression over hashed words and pairs, and the threshold of the unknown class.
-
-    Families learn from their templates; the unknown class from at most unknown_rows different paragraphs of
-    docs, those with the least hash, that hold no template; a third of them is set aside and gives the
-    threshold: the score that only a share false_accepts of it exceeds, at least one half. The sample is
-    bounded because it trains a model; so many hashes are let through that some eight times as many rows are
-    read for it, whatever the size of docs, and repeated paragraphs count once before it is cut. Without such
-    paragraphs (an empty table, null or empty texts) the families alone are learnt and the threshold is one half.
+    """Multinomial logistic regression over the families' words and pairs, and the threshold of the unknown class.
+
+    Families learn from their templates; the unknown class from all different paragraphs of docs that hold no
+    template, but a third, which gives the threshold: the score that only a share false_accepts of it exceeds,
+    at least one half. Paragraphs with the same grams are one row with their number as its weight, so the table
+    that is learnt from grows with the number of different sets of grams. All together they weigh as much as
+    unknown_rows rows, at most: that is the class's prior, not a sample. Without such paragraphs (an empty table,
+    null or empty texts) the families alone are learnt and the threshold is one half. width is no longer used:
+    features have numbers of their own.
     """
-    spark = docs.sparkSession
-    hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=width, binary=True)
-    text = text_or_empty(F.col("text"))
-    lines = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).alias("n")).first()["n"] or 0
-    share = min(1.0, 8 * unknown_rows / max(1, lines))
-    paragraph = docs.select(F.explode(F.split(text, r"\n+")).alias("_text")).where("trim(_text) <> ''").withColumn("_hash", F.xxhash64("_text"))
-    sample = paragraph.where(F.col("_hash") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).groupBy("_hash").agg(F.min("_text").alias("_text")).orderBy("_hash").limit(unknown_rows)
-    others = cut(sample.withColumn("_words", paragraph_words(F.col("_text"))).where(match(F.col("_words"), None) < 0.5))
-    known = spark.createDataFrame(training_paragraphs(), "_text string, label int").withColumn("_words", paragraph_words(F.col("_text")))
-    held = F.pmod(F.col("_hash"), F.lit(3)) == 0
-    rows = known.select("_words", F.col("label").cast("double").alias("label")).unionByName(others.where(~held).select("_words", F.lit(0.0).alias("label")))
-    regression = LogisticRegression(featuresCol="_features", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_best", maxIter=60, regParam=1e-3, family="multinomial").fit(_features(rows, hashing).coalesce(2))
+    spark, hashing = docs.sparkSession, Grams()
+    paragraph = docs.select(F.explode(F.split(text_or_empty(F.col("text")), r"\n+")).alias("_text")).where("trim(_text) <> ''")
+    once = paragraph.select(F.xxhash64("_text").alias("_hash"), grams(F.col("_text")).alias("_grams")).distinct()
+    sets = settle(once.groupBy("_grams", (F.pmod(F.col("_hash"), F.lit(3)) == 0).alias("_held")).agg(F.count("*").cast("double").alias("_n")))
+    others = sets.where(match(F.col("_grams"), None) < 0.5)
+    total = others.where("NOT _held").agg(F.sum("_n").alias("n")).first()["n"] or 1.0
+    known = spark.createDataFrame(training_paragraphs(), "_text string, label int").select(grams(F.col("_text")).alias("_grams"), F.col("label").cast("double").alias("label"), F.lit(1.0).alias("_n"))
+    rows = known.coalesce(1).unionByName(others.where("NOT _held").select("_grams", F.lit(0.0).alias("label"), (F.col("_n") * min(1.0, unknown_rows / total)).alias("_n")))
+    regression = LogisticRegression(featuresCol="_features", weightCol="_n", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_best", maxIter=60, regParam=1e-3, family="multinomial").fit(hashing.transform(rows))
     model = LicenseModel(hashing, regression, 0.5)
-    level = classify(others.where(held), model).agg(F.percentile("_score", 1 - false_accepts).alias("t")).first()["t"]
+    # what is below one half is so in any case; what is left are few different values
+    level = classify(others.where("_held"), model).agg(F.percentile(F.greatest("_score", F.lit(0.5)), F.lit(1 - false_accepts), F.col("_n").cast("long")).alias("t")).first()["t"]
     model.threshold = max(0.5, level or 0.0)
     return model
 
 
 def classify(rows: DataFrame, model: LicenseModel) -> DataFrame:
-    """rows (with _words) and _family, the likeliest but unknown, with _score, its probability."""
+    """rows (with _grams) and _family, the likeliest but unknown, with _score, its probability."""
     p = vector_to_array(F.col("_p"))
     best = F.array_max(F.transform(F.slice(p, 2, len(TEMPLATES)), lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
-    scored = model.regression.transform(_features(rows, model.hashing)).withColumn("_top", best)
-    return scored.drop("_grams", "_features", "_raw", "_p", "_best").withColumns({"_score": F.col("_top.p"), "_family": F.element_at(F.array(*map(F.lit, TEMPLATES)), 1 - F.col("_top.i"))}).drop("_top")
+    scored = model.regression.transform(model.hashing.transform(rows)).withColumn("_top", best)
+    return scored.drop("_features", "_raw", "_p", "_best").withColumns({"_score": F.col("_top.p"), "_family": F.element_at(F.array(*map(F.lit, TEMPLATES)), 1 - F.col("_top.i"))}).drop("_top")
 
 
-def match(words: Column, family: Column | None) -> Column:
-    """Largest share of a template's word pairs that a paragraph holds, over the family's templates or all.
+def match(grams: Column, family: Column | None) -> Column:
+    """Largest share of a template's word pairs that a paragraph's grams hold, over the family's templates or all.
 
     Versions and holders are left out of templates: a pair across a gap is not counted.
     """
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
     shares = []
     for name, texts in TEMPLATES.items():
         own = []
         for t in texts:
             want = sorted({f"{a} {b}" for part in t.replace("{h}", "{v}").split("{v}") for w in [_plain(part)] for a, b in zip(w, w[1:])})
-            own.append(F.size(F.array_intersect(pairs, F.array(*map(F.lit, want)))) / F.lit(len(want)))
+            own.append(F.size(F.array_intersect(grams, F.array(*map(F.lit, want)))) / F.lit(len(want)))
         top = F.greatest(*own) if len(own) > 1 else own[0]
         shares.append(F.when(family == name, top) if family is not None else top)
     return F.greatest(*shares)
@@ -146,8 +168,9 @@ def scan(docs: DataFrame, model: LicenseModel | None = None, confirmed_at: float
     """
     model = model or fit(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("_text")).withColumn("_key", F.xxhash64("_text"))
-    words = rows.select("doc_id", "_key", F.posexplode(F.split("_text", r"\n+")).alias("_at", "_text")).select("doc_id", "_key", "_at", paragraph_words(F.col("_text")).alias("_words")).where(F.size("_words") > 0)
-    found = classify(words, model).where(F.col("_score") >= model.threshold).withColumn("_match", match(F.col("_words"), F.col("_family")))
+    paragraph = rows.select("doc_id", "_key", F.posexplode(F.split("_text", r"\n+")).alias("_at", "_text")).where(F.rlike("_text", F.lit(r"[\p{L}\p{N}]")))
+    scored = classify(paragraph.select("doc_id", "_key", "_at", grams(F.col("_text")).alias("_grams")), model)
+    found = scored.where(F.col("_score") >= model.threshold).withColumn("_match", match(F.col("_grams"), F.col("_family")))
     once = found.groupBy("doc_id", "_key", "_at").agg(F.first("_family").alias("_family"), F.first("_score").alias("_score"), F.first("_match").alias("_match"))
     by_row = once.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).agg(
         F.array_join(F.array_sort(F.collect_set("_family")), "+").alias("license"), F.max("_score").alias("score"), F.count("*").alias("n_licenses"), F.min(F.col("_match") >= confirmed_at).alias("confirmed")

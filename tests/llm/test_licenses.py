@@ -78,3 +78,16 @@ def test_empty_and_null(spark, corpus):
         assert model.threshold == 0.5
         assert licenses.scan(rows, model).count() == rows.count()
     assert licenses.scan(corpus.where("doc_id = 100"), model).first().license == "bsd+mit"
+
+
+def test_unknown_class_learns_from_every_paragraph(spark):
+    # unknown_rows is what the class weighs, not how many paragraphs are read
+    rows = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 40 = 7, concat('released under the bridge ', id, ' license'), concat('text number ', id, ' about rain')) AS text")
+    seen = []
+    original, licenses.classify = licenses.classify, lambda r, m: seen.append(r) or original(r, m)
+    try:
+        licenses.fit(rows, unknown_rows=40)
+    finally:
+        licenses.classify = original
+    held = 4000 // 3
+    assert abs(seen[0].agg({"_n": "sum"}).first()[0] - held) < 200  # the threshold comes from a third of all, not of 40
