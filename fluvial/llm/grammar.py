@@ -13,6 +13,7 @@ A table of ids is a folder of Parquet files, one row a shard, in these columns:
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluvial.llm.common import ensure_checkpoint_dir
-from fluvial.llm.tokens import ByteEncoder, read_tokenizer, runs_of, word_encoder
+from fluvial.llm.tokens import ByteEncoder, give_back, read_tokenizer, runs_of, word_encoder
 
 FILES = "part int, shard int, ids long, terminals long, rules binary, lengths binary, symbols binary, documents array<struct<ordinal:long,doc_id:long,start:long,length:long,total:long>>"
 PIECES = "part int, ordinal long, doc_id long, at long, n_tokens long, crc long"
@@ -149,24 +150,30 @@ def _shards(batches: Iterator[pa.RecordBatch], part: int, spec: str, end_id: int
         listed = pa.array([[dict(zip(("ordinal", "doc_id", "start", "length", "total"), d)) for d in documents]], _DOCUMENTS)
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)]), pa.array([terminals]), *blobs, listed], names=["part", "shard", "ids", "terminals", "rules", "lengths", "symbols", "documents"])
 
-    for batch in batches:
-        for a, b in runs_of(batch.column(1), batch_bytes):
-            ids, counts = encoder.encode(batch.column(1).slice(a, b - a))
-            ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
-            for doc_id, total in zip(batch.column(0).slice(a, b - a).to_pylist(), counts.tolist()):
-                start = 0
-                while start < total:
-                    length = min(total - start, shard_ids - waiting)
-                    held.append(ids[start : start + length])
-                    pieces.append((ordinal, doc_id, start, length, total))
-                    waiting, start = waiting + length, start + length
-                    if waiting == shard_ids:
-                        yield closed(np.concatenate(held), pieces)
-                        held, waiting, pieces, shard = [], 0, [], shard + 1
-                ids, ordinal = ids[total:], ordinal + 1
-            held = [np.concatenate(held)] if held else []  # no view keeps a run's ids alive
-    if waiting:
-        yield closed(np.concatenate(held), pieces)
+    gc.disable()  # strings, tuples and arrays alone are made, none of them in a cycle
+    try:
+        for batch in batches:
+            for a, b in runs_of(batch.column(1), batch_bytes):
+                ids, counts = encoder.encode(batch.column(1).slice(a, b - a))
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                for doc_id, total in zip(batch.column(0).slice(a, b - a).to_pylist(), counts.tolist()):
+                    start = 0
+                    while start < total:
+                        length = min(total - start, shard_ids - waiting)
+                        held.append(ids[start : start + length])
+                        pieces.append((ordinal, doc_id, start, length, total))
+                        waiting, start = waiting + length, start + length
+                        if waiting == shard_ids:
+                            yield closed(np.concatenate(held), pieces)
+                            held, waiting, pieces, shard = [], 0, [], shard + 1
+                    ids, ordinal = ids[total:], ordinal + 1
+                held = [np.concatenate(held)] if held else []  # no view keeps a run's ids alive
+        if waiting:
+            yield closed(np.concatenate(held), pieces)
+    finally:
+        gc.enable()
+        held, pieces = [], []
+        give_back()
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids: int = 1 << 19, batch_bytes: int = 8 << 20, least: int = 16) -> None:
@@ -189,6 +196,22 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, FILES).write.parquet(path)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of each shard of batches, in PIECES' columns."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {n: batch.column(n)[k].as_py() for n in ("part", "terminals", "rules", "lengths", "symbols", "documents", "before")}
+            raw = memoryview(Shard(*(row[n] for n in ("terminals", "rules", "lengths", "symbols"))).read().astype("<u4")).cast("B")
+            out, at = [], 0
+            for d in row["documents"]:
+                crc, rest = zlib.crc32(raw[4 * at : 4 * (at + d["length"])]), d["total"] - d["start"] - d["length"]
+                out.append((row["part"], d["ordinal"], d["doc_id"], row["before"] + at, d["total"], shifted(crc, 4 * rest) if rest else crc))
+                at += d["length"]
+            types = (pa.int32(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["part", "ordinal", "doc_id", "at", "n_tokens", "crc"])
+    give_back()
+
+
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     """Pieces of documents as the files hold them: part, ordinal, doc_id, at (its first id in the part), n_tokens, crc.
 
@@ -196,23 +219,10 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     crc32 of all of them.
     """
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in ("part", "terminals", "rules", "lengths", "symbols", "documents", "before")}
-                raw = memoryview(Shard(*(row[n] for n in ("terminals", "rules", "lengths", "symbols"))).read().astype("<u4")).cast("B")
-                out, at = [], 0
-                for d in row["documents"]:
-                    crc, rest = zlib.crc32(raw[4 * at : 4 * (at + d["length"])]), d["total"] - d["start"] - d["length"]
-                    out.append((row["part"], d["ordinal"], d["doc_id"], row["before"] + at, d["total"], shifted(crc, 4 * rest) if rest else crc))
-                    at += d["length"]
-                types = (pa.int32(), *[pa.int64()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["part", "ordinal", "doc_id", "at", "n_tokens", "crc"])
-
     files = spark.read.parquet(path)
     # a part's shards but the last are equally long, so a shard's place follows from its number
     longest = files.agg(F.max("ids").alias("n")).first()["n"] or 0
-    return files.withColumn("before", F.col("shard").cast("long") * longest).mapInArrow(run, PIECES)
+    return files.withColumn("before", F.col("shard").cast("long") * longest).mapInArrow(_pieces, PIECES)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

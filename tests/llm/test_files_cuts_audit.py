@@ -89,6 +89,16 @@ def test_files_of_a_text_of_megabytes(spark, library, tmp_path):
     assert found[1] == (len(raw), zlib.crc32(raw.tobytes()))
 
 
+def test_tasks_on_files_give_their_memory_back(library, monkeypatch):
+    gave = []
+    monkeypatch.setattr(grammar, "give_back", lambda: gave.append(1), raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["the cat", None])], names=["doc_id", "text"])
+    shards = list(grammar._shards(iter([batch]), 0, read_tokenizer(BYTES), 0, 1 << 19, 1 << 20, 16))
+    assert len(shards) == 1 and gave == [1]
+    named = shards[0].append_column("before", pa.array([0]))
+    assert [r["n_tokens"] for r in pa.Table.from_batches(grammar._pieces(iter([named]))).to_pylist()] == [3, 1] and gave == [1, 1]
+
+
 def test_files_of_an_empty_table(empty):
     assert grammar.stored_documents(empty, BYTES).collect() == []
 
