@@ -83,19 +83,19 @@ def temporal_prediction(tracks: DataFrame, images: DataFrame, keys: Sequence[str
 
     def mapped(rows: DataFrame) -> DataFrame:
         own = tracks.join(rows.select(*keys), keys, "left_semi")
-        whole = evidence.rule_evidence(own, keys, width, height, **rule)
-        if model is not None:
-            whole = evidence.hybrid(whole, evidence.model_evidence(own, keys, width, height, **model), keys)
-        return rows.join(whole.groupBy(*keys).agg(F.count_if("water").alias("water_pixels"), F.max("probability").alias("greatest")), keys)
+        options = ("least_sigma", "reach", "most_tiles")
+        same = model is None or {k: model[k] for k in options if k in model} == {k: rule[k] for k in options if k in rule}
+        found = evidence.halves(own, keys, width, height, F.col(start) < half, model if same else None, **rule).withColumnRenamed("iou", "_iou")
+        if not same:  # the model's kernels aren't the rule's
+            both = evidence.hybrid(evidence.rule_evidence(own, keys, width, height, **rule), evidence.model_evidence(own, keys, width, height, **model), keys)
+            found = found.drop("greatest").join(both.groupBy(*keys).agg(F.max("probability").alias("greatest")), keys)
+        return rows.join(found.select(*keys, "water_pixels", "greatest", "_iou"), keys)
 
     def steady(rows: DataFrame) -> DataFrame:
-        own = tracks.join(rows.select(*keys), keys, "left_semi")
-        # an image whose first half has no track has no water there
-        early = evidence.rule_evidence(own.withColumn("classification", F.when(F.col(start) < half, F.col("classification"))), keys, width, height, **rule)
-        return rows.join(mask_agreement(early, evidence.rule_evidence(own, keys, width, height, **rule), keys).drop("water_pixels"), keys)
+        return rows.withColumn("iou", F.col("_iou"))
 
     return run_stages(images.select(*keys).distinct(), keys, [
         Stage("tracks", counted, lambda: [("no_water_tracks", F.col("water_tracks") < least_tracks)]),
         Stage("evidence", mapped, lambda: [("no_water", F.col("water_pixels") == 0)]),
         Stage("stability", steady, lambda: [("half_sequence_disagrees", F.col("iou") < least_iou)]),
-    ])
+    ]).drop("_iou")

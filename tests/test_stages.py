@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from fluvial.operators import sequences, stages
+from fluvial.operators import evidence, sequences, stages
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,25 @@ def test_temporal_prediction_names_each_failure(spark):
     assert hybrid["steady"].water_pixels == found["steady"].water_pixels
 
 
+@pytest.mark.parametrize("model", [None, {"most_weight": 0.9, "scale": 2.0}, {"reach": 12.0}])
+def test_temporal_prediction_sums_tracks_once(spark, monkeypatch, model):
+    draw, passes, tiled = random.Random(5), [], evidence.kernel_tiles
+    kinds, size = ["water_ripple", "water_ripple", "dry_splash", None], (80, 70)  # four tiles
+    rows = [(i % 4, t, draw.uniform(0, 85), draw.uniform(0, 75), draw.uniform(1, 120), draw.randint(1, 20), draw.choice(kinds), draw.choice([None, draw.random()]), draw.choice([None, draw.random()])) for i in range(16) for t in range(10)]
+    tracks = spark.createDataFrame(rows, "image int, t int, u double, v double, maximum_area double, duration_frames int, classification string, confidence double, water_probability double").coalesce(2)
+    monkeypatch.setattr(evidence, "kernel_tiles", lambda *a, **k: passes.append(1) or tiled(*a, **k))
+    found = {r.image: r for r in stages.temporal_prediction(tracks, tracks, ["image"], *size, "t", F.lit(5), least_iou=0.0, model=model, close=3, unknown_below=1.0).collect()}
+    assert len(passes) == (3 if model and "reach" in model else 1)
+    whole = evidence.rule_evidence(tracks, ["image"], *size, close=3, unknown_below=1.0)
+    early = evidence.rule_evidence(tracks.withColumn("classification", F.when(F.col("t") < 5, F.col("classification"))), ["image"], *size, close=3, unknown_below=1.0)
+    both = whole if model is None else evidence.hybrid(whole, evidence.model_evidence(tracks, ["image"], *size, **model), ["image"])
+    greatest = {r.image: r.p for r in both.groupBy("image").agg(F.max("probability").alias("p")).collect()}
+    want = {r.image: r for r in stages.mask_agreement(early, whole, ["image"]).collect()}
+    assert len(found) == 4 and sum(0 < r.iou < 1 for r in want.values()) > 1
+    for i, r in found.items():
+        assert r.water_pixels == want[i].water_pixels and r.iou == pytest.approx(want[i].iou) and r.greatest == pytest.approx(greatest[i])
+
+
 @pytest.mark.parametrize("skip, take", [(0, 1), (2, 4), (1, 5)])
 def test_stable_image_is_the_rounded_median(spark, skip, take):
     draw = random.Random(skip)
