@@ -107,10 +107,16 @@ def s8_decision(latest: DataFrame, preflight: DataFrame) -> DataFrame:
 
 def latest_states(states: DataFrame) -> DataFrame:
     """The state of each sample's last frame; of several there, the greatest by value."""
-    top = F.max_by(F.struct(*(c for c in states.columns if c != "sample")), F.struct("frame", F.to_json(F.struct(*STATE))))
+    top = F.max_by(F.struct(*(c for c in states.columns if c != "sample")), F.struct("frame", F.struct(*STATE)))
     return states.groupBy("sample").agg(top.alias("_s")).select("sample", "_s.*")
 
 
+def enveloped_states(states: DataFrame) -> DataFrame:
+    """One row a sample: its latest state as the struct state, as in envelopes."""
+    latest = latest_states(states)
+    return latest.select("sample", F.struct(*(c for c in latest.columns if c != "sample")).alias("state"))
+
+
 def envelopes(states: DataFrame, fps: float, minimum_minutes: float) -> DataFrame:
     """One row a sample: state, s5, s6, s7 and s8 as structs."""
     latest = latest_states(states)
@@ -229,7 +235,10 @@ def validated(documents: DataFrame, state_type: str) -> DataFrame:
 
 
 def fault_suite(enveloped: DataFrame) -> DataFrame:
-    """sample, scenario, validator, reason and rejected, for each envelope and each fault; scenario none must pass all validators."""
+    """sample, scenario, validator, reason and rejected, for each envelope and each fault; scenario none must pass all validators.
+
+    Of an envelope only sample and state are read, so rows of these alone do.
+    """
     kind = dict(enveloped.dtypes)["state"]
     rows = validated(injected(enveloped), kind)
     names: Sequence[str] = list(dict.fromkeys(FAULTS.values()))

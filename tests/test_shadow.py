@@ -107,3 +107,14 @@ def test_no_states(spark):
     none = states(spark, [])
     assert shadow.envelopes(none, 1.0, 1.0).collect() == [] and shadow.fault_suite(shadow.envelopes(none, 1.0, 1.0)).collect() == []
     assert shadow.summaries(none, shadow.envelopes(none, 1.0, 1.0)).first().records == 0
+
+
+def test_faults_need_a_sample_and_its_state_alone(spark, tmp_path):
+    from fluvial.plans.shadow import injected_faults
+
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string"
+    spark.createDataFrame([(k, 1, 1, n, 5.0, 10.0 * n, 0.1, "NAR"[k % 3]) for k in range(6) for n in (1, 2)], columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = injected_faults(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    rows = found.collect()
+    assert len(rows) == 60 and all(r.rejected == (r.scenario != "none") for r in rows)
