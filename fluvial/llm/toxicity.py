@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.llm.common import crc_bucket
+from fluvial.llm.common import crc_bucket, cut
+from fluvial.llm.tokens import give_back
 
 #: Terms that name groups; those of a line can stand for each other.
 IDENTITY_GROUPS = (
@@ -110,8 +111,8 @@ class ToxicityModel:
         return score(text)
 
 
-def _examples(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, groups) -> pa.Table:
-    """At most `most` labelled documents as hashed features, their swapped forms, and marks of their word pairs."""
+def _examples(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, groups) -> DataFrame:
+    """At most `most` labelled documents as hashed features, their swapped forms, and marks of their word pairs, saved."""
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("_id"))
@@ -147,7 +148,36 @@ def _examples(docs: DataFrame, labels: DataFrame, label: str, folds: int, held:
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["id", "label", "swap", "features", "marks"])
 
-    return texts.mapInArrow(run, "id long, label int, swap boolean, features array<long>, marks array<long>").toArrow()
+    found = texts.mapInArrow(run, "id long, label int, swap boolean, features array<long>, marks array<long>")
+    return cut(found.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _told(examples: DataFrame, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features that at least 3 of the chosen rows have, as many as have them, and as many of label 1; Spark counts them."""
+    spark = examples.sparkSession
+    chosen = spark.createDataFrame(pa.table({"row": pa.array(rows, pa.int64()), "_y": pa.array(y, pa.int64())}))
+    each = examples.join(F.broadcast(chosen), "row").select("_y", F.explode("features").alias("feature"))  # `most` rows at most
+    found = each.groupBy("feature").agg(F.count("*").alias("n"), F.sum("_y").alias("n1")).where("n >= 3").toArrow()
+    names = found["feature"].to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    return names[order], found["n"].to_numpy()[order], found["n1"].to_numpy()[order]
+
+
+def _used(examples: DataFrame, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order, where the features of each begin and end, and the features by their number in names; others stay in the tasks."""
+
+    def run(batches):
+        for batch in batches:
+            listed = batch.column(1)
+            ends, flat = listed.offsets.to_numpy(), listed.values.to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+            keep = names[at] == flat
+            ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(at[keep][ends[0] : ends[-1]], pa.int32()))], names=["row", "used"])
+
+    found = examples.select("row", "features").mapInArrow(run, "row long, used array<int>").sort("row").toArrow()
+    listed = found["used"].combine_chunks()
+    return found["row"].to_numpy(), listed.offsets.to_numpy(), listed.values.to_numpy()
 
 
 def _originals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,35 +207,24 @@ def _originals(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, most: int = 6_000, l2: float = 2e-4, swap_penalty: float = 1.0, steps: int = 500, groups=IDENTITY_GROUPS) -> ToxicityModel:
     """Learn from at most `most` labelled documents whose fold isn't `held`; texts alone are inputs.
 
-    The sample is bounded because the driver fits it; it is chosen by hash of doc_id. Of several labels of a
+    The sample is bounded because the driver fits it; it is chosen by hash of doc_id. Tasks keep its features:
+    the driver gets counts of those in 3 documents or more, then entries of those used alone. Of several labels of a
     document the greatest counts. A word, a beginning of words, or a grade of its count is used if at
     least 3 documents have it and its share of label 1 differs from the whole by more than chance over all
     (documents * divergence > log of their number), and so are identity terms. The loss is the mean log loss, l2 / 2 * |w|^2, and swap_penalty times the mean square
     of the change in log-odds when an identity term of the sentences is swapped. Without labels, or with only
     one, the score is the smoothed share of label 1 for every text.
     """
-    table = _examples(docs, labels, label, folds, held, most, groups)
+    examples = _examples(docs, labels, label, folds, held, most, groups)
+    table = examples.select("row", "id", "label", "swap", F.when(~F.col("swap"), F.col("marks")).alias("marks")).sort("row").toArrow()
     rows, swaps, origins = _originals(table)
+    number = table["row"].to_numpy()
     y = table["label"].to_numpy()[rows].astype(float) if len(rows) else np.zeros(0)
     prior = (y.sum() + 1) / (len(y) + 2)
     prior_model = ToxicityModel({}, float(np.log(prior / (1 - prior))))
     if len(np.unique(y)) < 2:
         return prior_model
-    listed = table["features"].combine_chunks()
-    ends, flat = listed.offsets.to_numpy(), listed.values.to_numpy().view(np.uint64)
-
-    def entries(chosen):
-        """Row among the chosen and feature of each of their entries."""
-        sizes = (ends[chosen + 1] - ends[chosen]).astype(np.int64)
-        at = np.repeat(ends[chosen] - np.cumsum(sizes) + sizes, sizes)
-        at += np.arange(len(at))
-        return np.repeat(np.arange(len(chosen), dtype=np.int32), sizes), flat[at]
-
-    names, n = np.unique(entries(rows)[1], return_counts=True)
-    names, n = names[n >= 3], n[n >= 3]
-    ones, n1 = np.unique(entries(rows[y > 0])[1], return_counts=True)
-    at = np.minimum(np.searchsorted(ones, names), len(ones) - 1)
-    n1 = np.where(ones[at] == names, n1[at], 0)
+    names, n, n1 = _told(examples, number[rows], y)
     share, base = n1 / n, y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         divergence = np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base)))
@@ -214,15 +233,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     size = len(names)
     if not size:
         return prior_model
+    held_rows, ends, used = _used(examples, names)
 
     def sparse(chosen):
-        """entries of the features used, by number."""
-        if not len(chosen):
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        r, f = entries(chosen)
-        at = np.minimum(np.searchsorted(names, f), size - 1)
-        keep = names[at] == f
-        return r[keep], at[keep]
+        """Row among the chosen and number of each feature used."""
+        place = np.searchsorted(held_rows, number[chosen])
+        sizes = (ends[place + 1] - ends[place]).astype(np.int64)
+        at = np.repeat(ends[place] - np.cumsum(sizes) + sizes, sizes)
+        return np.repeat(np.arange(len(chosen), dtype=np.int32), sizes), used[at + np.arange(len(at))]
 
     (xr, xc), (sr, sc), (or_, oc) = sparse(rows), sparse(swaps), sparse(origins)
     w, b = np.zeros(size), float(np.log(base / (1 - base)))
@@ -237,6 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.1 * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
+    give_back()
     return ToxicityModel(dict(zip(names.tolist(), w.tolist())), float(b))
 
 

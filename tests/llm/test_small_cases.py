@@ -146,6 +146,21 @@ def test_toxicity_ignores_who_is_named(spark):
     assert [(x.count("muslim"), x.count("christian"), x.count("women"), x.count("men")) for x in late] == [(0, 20, 20, 0), (20, 0, 0, 20)]
 
 
+def test_toxicity_features_stay_in_the_tasks(spark, monkeypatch):
+    r, sent, plain = random.Random(5), [], type(spark.range(1)).toArrow
+    rows = [(i, " ".join(["bad" if i % 2 else "good"] + ["".join(r.choices("klmnopqrstuvwxyz", k=9)) for _ in range(1500)])) for i in range(60)]
+
+    def counted(self):
+        found = plain(self)
+        sent.append(found.nbytes)
+        return found
+
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", counted)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    assert model.score("bad") > 0.5 > model.score("good")
+    assert sum(sent) < 100_000  # 60 texts have some 8,000 features each: 1.9 MB and more for those learnt from
+
+
 def test_suffix_tree_sums_to_one_and_matches_brute_base(docs, spark):
     import math
     from collections import Counter
