@@ -152,6 +152,11 @@ def _read(batches) -> Iterator[tuple]:
             yield np.frombuffer(hashes.as_buffer(), np.int64), np.frombuffer(codes.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<i4")[:, 0], sizes.values.to_numpy().astype(np.int64), train.values.to_numpy(zero_copy_only=False), row.values.to_numpy(), doc.values
 
 
+def _dealt(group: np.ndarray, groups: int) -> np.ndarray:
+    """Order by group that leaves the order within a group; short numbers sort by their bits."""
+    return np.argsort(group.astype(np.uint16) if groups <= 1 << 16 else group, kind="stable")
+
+
 def _counted(runs: DataFrame, length: int, least: int, tokens: int = 0, bits=None, frequent=None) -> DataFrame:
     """(c, s, n): how often a context c of `length` words and the word that ends s come together, from `least` on; saved.
 
@@ -168,15 +173,19 @@ def _counted(runs: DataFrame, length: int, least: int, tokens: int = 0, bits=Non
                 for _, c, s, key in _levels(hashes, codes, sizes, length):  # the last one counts; the others go at once
                     pass
                 use = np.flatnonzero(_maybe(bits.value, c) & _maybe(bits.value, s))
-                key, i, n = np.unique(key[use], return_index=True, return_counts=True)
-                c, s = c[use[i]], s[use[i]]
+                order = np.argsort(key[use])
+                key = key[use[order]]
+                first = np.flatnonzero(np.diff(key.view(np.uint64), prepend=~key[:1].view(np.uint64)))
+                i, key, n = use[order[first]], key[first], np.diff(np.append(first, len(key)))
+                c, s = c[i], s[i]
                 by = np.where(_find(frequent.value, c) >= 0, key, _hash(c, 7))
             else:
                 n = np.bincount(codes, minlength=len(hashes))
                 s, n = hashes[n > 0], n[n > 0]
                 c, by = np.zeros(len(s), np.int64), s
             group = (by.view(np.uint64) % np.uint64(groups)).astype(np.int64)
-            order = np.lexsort((c, group))
+            order = np.argsort(c)
+            order = order[_dealt(group[order], groups)]
             c, s, n, group = c[order], s[order], n[order], group[order]
             n = n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32)
             cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
@@ -347,8 +356,80 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         a, start = b, int(ends[b - 1])
 
 
-NAMES = ["row", "key", "times", "doc"]
-DOC = pa.struct([("doc_id", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("root", pa.float64()), ("logs", pa.float64())])
+class _Sorted:
+    """Sorted keys, which are hashes, with the place where each range of their leading bits begins."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.width = keys, max(8, min(26, len(keys).bit_length() + 1))
+        self.starts = np.searchsorted(self._lead(keys), np.arange((1 << self.width) + 1)).astype(np.int32)
+
+    def _lead(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - self.width)).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of wanted, -1 where missing."""
+        found, lead = np.full(len(wanted), -1), self._lead(wanted)
+        at, end = self.starts[lead], self.starts[lead + 1]
+        open_ = np.flatnonzero(at < end)
+        while len(open_):  # as often as the fullest range has keys
+            hit = self.keys[at[open_]] == wanted[open_]
+            found[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return found
+
+
+DOCS = [pa.field("doc_id", pa.int64()), pa.field("tokens", pa.int64()), pa.field("known", pa.int64()), pa.field("root", pa.float64()), pa.field("logs", pa.float64())]
+#: What a run asks a part of the model: places of texts in the run, keys, and how often, less than 0 for words.
+ASKED = pa.schema([("part", pa.int64()), ("run", pa.int64()), ("who", pa.binary()), ("key", pa.binary()), ("times", pa.binary()), ("docs", pa.list_(pa.struct(DOCS)))])
+ASKED_SCHEMA = "part long, run long, who binary, key binary, times binary, docs array<struct<doc_id: long, tokens: long, known: long, root: double, logs: double>>"
+#: What a part answers: sums by place of a text.
+TOLD = pa.schema([("part", pa.int64()), ("run", pa.int64()), ("who", pa.binary()), ("known", pa.binary()), ("root", pa.binary()), ("logs", pa.binary()), ("docs", pa.list_(pa.struct(DOCS)))])
+TOLD_SCHEMA = "part long, run long, who binary, known binary, root binary, logs binary, docs array<struct<doc_id: long, tokens: long, known: long, root: double, logs: double>>"
+
+
+def _joined(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all packed cells in order, and how many each holds."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return np.concatenate(parts) if parts else np.zeros(0, kind), np.array([len(x) for x in parts], np.int64)
+
+
+def _told(asked: pa.Table, values: pa.Table, unseen: float) -> pa.Table:
+    """Sums of a part of the model's values (key, word, root, value) over what runs ask of it; rows of documents go through."""
+    mine = asked.filter(pc.is_valid(asked["who"]))
+    (who, sizes), (key, _), (times, _) = (_joined(mine[n], kind) for n, kind in (("who", np.int32), ("key", np.int64), ("times", np.int32)))
+    keys = values["key"].to_numpy()
+    order = np.argsort(keys)
+    word, root, value = (values[n].to_numpy()[order] for n in ("word", "root", "value"))
+    place = _find(keys[order], key)
+    # times are negative for words, which are unseen where the table lacks them
+    often, missing = np.abs(times), np.where(times < 0, unseen, 0.0)
+    give = lambda x, other: np.where(place >= 0, x[np.maximum(place, 0)], other) if len(x) else other
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    new = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0))
+    sums = [np.add.reduceat(often * x, new) if len(new) else np.zeros(0) for x in ((times < 0) & give(word, False), give(root, missing), give(value, missing))]
+    kept = np.flatnonzero(sums[0].astype(bool) | (sums[1] != 0) | (sums[2] != 0))
+    cell, who, known, root, logs = cell[new[kept]], who[new[kept]], sums[0][kept].astype(np.int32), sums[1][kept], sums[2][kept]
+    ends = np.searchsorted(cell, np.arange(len(sizes) + 1))
+    packed = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+    told = pa.table([mine["part"], mine["run"], *map(packed, (who, known, root, logs)), mine["docs"]], schema=TOLD)
+    docs = asked.filter(pc.is_null(asked["who"]))
+    none = pa.nulls(docs.num_rows, pa.binary())
+    return pa.concat_tables([told, pa.table([docs["part"], docs["run"], none, none, none, none, docs["docs"]], schema=TOLD)])
+
+
+SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _summed(told: pa.Table) -> pa.Table:
+    """A run's documents with what all parts told of them, added up in the parts' order."""
+    docs = told.filter(pc.is_valid(told["docs"]))["docs"].combine_chunks().flatten()
+    told = told.filter(pc.is_valid(told["who"])).sort_by("part")
+    who, _ = _joined(told["who"], np.int32)
+    known, root, logs = (np.bincount(who, _joined(told[n], kind)[0], len(docs)) for n, kind in (("known", np.int32), ("root", np.float64), ("logs", np.float64)))
+    field = lambda n: docs.field(n).to_numpy()
+    return pa.table([docs.field("doc_id"), docs.field("tokens"), pa.array(field("known") + known.astype(np.int64)), pa.array(field("root") + root), pa.array(field("logs") + logs)], schema=SCORED)
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2, **options) -> DataFrame:
@@ -359,7 +440,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, **options) -> DataFram
     same distribution, with all words never seen as one symbol. Texts are split into words once and kept as
     numbers. A score is a sum of the model's values over a text's words and the contexts before them. Tasks hold
     the values of the most frequent ones (NEAR of them at most) and sum these at once; of the others, those that
-    a filter of bounded size can't rule out go as rows to the table of values, so no model has to fit anywhere.
+    a filter of bounded size can't rule out go as packed arrays to the parts of the table of values, by key, and
+    the parts' sums come back to their run, so no model has to fit anywhere.
     Null and empty texts are one end; without training rows every token is unknown and both scores are 0.
     Repeated rows give repeated results; null ids are in fold 0; other columns are ignored. Hashes are of 64 bits.
     """
@@ -369,54 +451,62 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, **options) -> DataFram
     value = F.col("root") + F.col("more") + F.col("back")
     near = model.values.where(_frequent(model.values, NEAR)).select("key", "root", value.alias("value")).toArrow()
     order = np.argsort(near["key"].to_numpy())
-    near = [near[n].to_numpy()[order] for n in ("key", "root", "value")]
+    near = [_Sorted(near["key"].to_numpy()[order]), *(near[n].to_numpy()[order] for n in ("root", "value"))]
     unseen, depth = model.base(0), model.depth
     sent = docs.sparkSession.sparkContext.broadcast((near, _filter(model.values)))
 
     give = lambda x, place, other: np.where(place >= 0, x[np.maximum(place, 0)] if len(x) else 0.0, other)
 
+    groups = max(64, model.tokens // GROUP_TOKENS)
+
     def run(batches):
         (keys, roots, values), bits = sent.value
         for hashes, codes, sizes, _, row, doc in _read(batches):
-            place = _find(keys, hashes)
+            place = keys.find(hashes)
             asked = (place < 0) & _maybe(bits, hashes)
             other = np.where(asked, 0.0, unseen)
             words = [give(roots, place, other), give(values, place, other), place >= 0]
+            sums, rest = [], []
             for a, b, start, end in _slices(sizes):
-                yield from part(hashes, codes[start:end], sizes[a:b], row[a:b], doc.slice(a, b - a), words, asked)
+                found, ask = part(hashes, codes[start:end], sizes[a:b], words, asked)
+                sums.append(found)
+                rest += [(who + np.int32(a), key, n) for who, key, n in ask]
+            root, logs, known = np.concatenate(sums, axis=1)
+            docs = pa.StructArray.from_arrays([doc.cast(pa.int64()), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(root), pa.array(logs)], fields=DOCS)
+            who, key, times = map(np.concatenate, zip(*rest))
+            group = np.mod(key, groups)
+            order = np.argsort(who, kind="stable")
+            order = order[_dealt(group[order], groups)]
+            who, key, times, group = who[order], key[order], times[order], group[order]
+            cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+            packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] + [None], pa.binary()) for x in (who, key, times)]
+            number = pa.array([*group[cuts[:-1]], row[0] % groups], pa.int64())
+            whole = pa.ListArray.from_arrays(pa.array([None] * (len(cuts) - 1) + [0, len(docs)], pa.int32()), docs)
+            yield pa.RecordBatch.from_arrays([number, pa.array(np.full(len(cuts), row[0])), *packed, whole], schema=ASKED)
 
-    def part(hashes, codes, sizes, row, doc, words, asked):
+    def part(hashes, codes, sizes, words, asked):
         (keys, _, values), bits = sent.value
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         sums = np.stack([np.bincount(owner, x[codes], len(sizes)) for x in words])
         i = np.flatnonzero(asked[codes])
-        rest = [(-1, owner[i], hashes[codes[i]])]
+        rest, ask = [(-1, owner[i], hashes[codes[i]])], []
         for at, _, _, key in _levels(hashes, codes, sizes, depth):
             i = np.flatnonzero(_maybe(bits, key))
             who, key = owner[at[i]], key[i]
-            place = _find(keys, key)
+            place = keys.find(key)
             sums[1] += np.bincount(who, give(values, place, 0.0), len(sizes))
             rest.append((1, who[place < 0], key[place < 0]))
-        parts = [doc.cast(pa.int64()), pa.array(sizes), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(np.zeros(len(row), np.int64)), pa.StructArray.from_arrays(parts, fields=list(DOC))], names=NAMES)
         for sign, who, key in rest:
-            order = np.lexsort((key, who))
+            order = np.argsort(key)
+            order = order[_dealt(who[order], len(sizes))]
             who, key = who[order], key[order]
             new = np.flatnonzero(np.concatenate([np.ones(min(1, len(who)), bool), (who[1:] != who[:-1]) | (key[1:] != key[:-1])]))
-            n = np.diff(np.append(new, len(who))).astype(np.int64) * sign
-            who, key = row[who[new]], key[new]
-            for k in range(0, len(who), 1 << 16):
-                x = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(who[x]), pa.array(key[x]), pa.array(n[x]), pa.nulls(len(who[x]), DOC)], names=NAMES)
+            ask.append((who[new], key[new], np.diff(np.append(new, len(who))).astype(np.int32) * np.int32(sign)))
+        return sums, ask
 
-    parts = runs.mapInArrow(giving_back(run), "row long, key long, times long, doc struct<doc_id: long, tokens: long, known: long, root: double, logs: double>")
-    # times are negative for words, which are unseen where the table lacks them
-    joined = parts.join(model.values.select("key", "word", F.col("root").alias("_root"), value.alias("_value")), "key", "left")
-    missing, times = F.when(F.col("times") < 0, F.lit(unseen)).otherwise(F.lit(0.0)), F.abs("times")
-    seen = F.when((F.col("times") < 0) & F.col("word"), times).otherwise(F.lit(0))
-    summed = joined.groupBy("row").agg(
-        F.max("doc.doc_id").alias("doc_id"), F.max("doc.tokens").alias("n_tokens"), (F.max("doc.known") + F.sum(seen)).alias("n_known"),
-        (F.max("doc.root") + F.sum(times * F.coalesce("_root", missing))).alias("base_score"), (F.max("doc.logs") + F.sum(times * F.coalesce("_value", missing))).alias("score"),
-    )
+    asked = runs.mapInArrow(giving_back(run), ASKED_SCHEMA)
+    values = model.values.select(F.pmod("key", F.lit(groups)).alias("part"), "key", "word", "root", value.alias("value"))
+    told = asked.groupBy("part").cogroup(values.groupBy("part")).applyInArrow(lambda a, b: _told(a, b, unseen), TOLD_SCHEMA)
+    summed = told.groupBy("run").applyInArrow(_summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     _swept(docs.sparkSession)
     return summed.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -341,6 +341,17 @@ def test_suffix_tree_by_the_join_alone(spark, monkeypatch, depth):
     assert all(math.isclose(found[i], w, rel_tol=1e-9) for (i, _), w in zip(text, want))
 
 
+def test_suffix_tree_asks_in_packed_arrays(spark, monkeypatch, capsys):
+    monkeypatch.setattr(suffix_tree, "NEAR", 0)  # every value is asked of its part
+    found = suffix_tree.score(spark.createDataFrame([(i, "a b c d e f g " * (i + 1)) for i in range(40)], "doc_id long, text string").coalesce(1))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "CoGroupsInArrow" in plan and "Join" not in plan  # no row for each value that a text asks for
+    keys = np.sort(np.random.default_rng(1).integers(-(2**63), 2**63, 5000))
+    wanted = np.concatenate([keys[::7], np.arange(-50, 50)])
+    assert (suffix_tree._Sorted(keys).find(wanted) == suffix_tree._find(keys, wanted)).all() and found.count() == 40
+
+
 def test_suffix_tree_scores_dont_hang_on_slices(spark, monkeypatch):
     rows = [(i, " ".join(f"w{(i * j * j) % 7}" for j in range(i % 40))) for i in range(80)] + [(None, None), (80, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
