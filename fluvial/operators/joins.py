@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Sequence
 
 import numpy as np
@@ -63,18 +66,51 @@ def near_pairs(rows: DataFrame, ident: str, x: str, y: str, radius: float, keys:
     return met.select(*keys, ident, "other", "distance", *(F.col(f"_of_{c}").alias(c) for c in carry), *(f"other_{c}" for c in carry))
 
 
+#: Places in a chunk of neighbour_counts.
+SLOTS = 8
+
+
 def neighbour_counts(rows: DataFrame, x: str, y: str, radius: float, keys: Sequence[str], name: str) -> DataFrame:
     """rows with the number of other rows of equal keys at most radius apart; 0 for rows without a place or keys.
 
-    Rows of one place are counted first, so pairs are made of different places alone, however many rows share them,
-    and each task adds them up before a shuffle.
+    Rows of one place are counted first. Places of a square are packed into chunks of eight near ones, and chunks meet
+    as boxes: those out of reach are left, what lies within the radius as a whole is added as one number, and only where
+    the circle's edge may pass are places compared, in the task where chunks meet. Differences, squares and sums keep
+    their order when rounded, so boxes decide exactly as their places would.
     """
-    places = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
-    own = places.select(*keys, "_x", "_y", F.floor(F.col("_x") / radius).alias("_i"), F.floor(F.col("_y") / radius).alias("_j"))
+    side = radius * (1 + 2.0**-20)  # a little more, so that rounded quotients of rows that meet are never two squares apart
+    most = radius * radius  # becomes the greatest square whose root is at most radius
+    while math.sqrt(most) > radius:
+        most = math.nextafter(most, 0)
+    while math.sqrt(math.nextafter(most, math.inf)) <= radius:
+        most = math.nextafter(most, math.inf)
+    block = [*keys, "_i", "_j"]
+    chunk = [*block, "_s", "_c"]
+    real = (F.abs(F.col(x).cast("double")) < math.inf) & (F.abs(F.col(y).cast("double")) < math.inf)
+    places = rows.where(real).groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_n"))
+    packed = places.withColumns({"_i": F.floor(F.col("_x") / side), "_j": F.floor(F.col("_y") / side)}).withColumn("_all", F.count("*").over(Window.partitionBy(*block)))
+    strip = F.ceil(F.sqrt(F.col("_all") / SLOTS)) * SLOTS  # as many strips as chunks in a strip
+    packed = packed.withColumn("_s", F.floor((F.row_number().over(Window.partitionBy(*block).orderBy("_x", "_y")) - 1) / strip))
+    packed = packed.withColumn("_c", F.floor((F.row_number().over(Window.partitionBy(*block, "_s").orderBy("_y", "_x")) - 1) / SLOTS))
+    chunks = packed.groupBy(*chunk).agg(F.min("_x").alias("x_low"), F.max("_x").alias("x_high"), F.min("_y").alias("y_low"), F.max("_y").alias("y_high"), F.sum("_n").alias("n"), F.collect_list(F.struct("_x", "_y", "_n")).alias("_places"))
+    slot = lambda k, c, empty: F.coalesce(F.get("_places", F.lit(k))[f"_{c}"], F.lit(empty)).alias(f"{c}{k}")
+    box = [F.col(c) for c in ("x_low", "x_high", "y_low", "y_high", "n")]
+    chunks = chunks.select(*chunk, *box, *(slot(k, c, empty) for k in range(SLOTS) for c, empty in (("x", math.inf), ("y", 0.0), ("n", 0))))
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND))
-    other = places.withColumn("_s", F.explode(steps)).select(*keys, F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), (F.floor(F.col("_x") / radius) + F.col("_s.i")).alias("_i"), (F.floor(F.col("_y") / radius) + F.col("_s.j")).alias("_j"), "_n")
-    near = own.join(other, [*keys, "_i", "_j"]).where(F.hypot(F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")) <= radius)
-    counts = near.groupBy(*keys, F.col("_x").alias(x), F.col("_y").alias(y)).agg((F.sum("_n") - 1).alias(name))
+    own = chunks.select(*chunk, *(F.col(c).alias(f"a_{c}") for c in chunks.columns if c not in chunk))
+    other = chunks.withColumn("_step", F.explode(steps)).select(*keys, (F.col("_i") + F.col("_step.i")).alias("_i"), (F.col("_j") + F.col("_step.j")).alias("_j"), *(F.col(c).alias(f"b_{c}") for c in chunks.columns if c not in chunk))
+    reach = lambda dx, dy: dx * dx + dy * dy <= most
+    over, under = ({c: F.col(f"a_{c}_high") - F.col(f"b_{c}_low") for c in "xy"}, {c: F.col(f"b_{c}_high") - F.col(f"a_{c}_low") for c in "xy"})
+    met = own.join(other.hint("merge"), block).where(reach(*(F.greatest(F.lit(0.0), -over[c], -under[c]) for c in "xy")))
+    met = met.withColumn("_whole", reach(*(F.greatest(over[c], under[c]) for c in "xy")))
+
+    def near(k: int) -> Column:
+        hits = (F.when(reach(F.col(f"a_x{k}") - F.col(f"b_x{j}"), F.col(f"a_y{k}") - F.col(f"b_y{j}")), F.col(f"b_n{j}")).otherwise(0) for j in range(SLOTS))
+        return F.sum(F.when(F.col("_whole"), F.col("b_n")).otherwise(functools.reduce(operator.add, hits)))
+
+    sums = met.groupBy(*chunk).agg(*(near(k).alias(f"n{k}") for k in range(SLOTS)), *(F.min(f"a_{c}{k}").alias(f"{c}{k}") for k in range(SLOTS) for c in "xy"))
+    each = F.explode(F.array(*(F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"), F.col(f"n{k}").alias("n")) for k in range(SLOTS))))
+    counts = sums.select(*keys, each.alias("_p")).where(F.col("_p.x") < math.inf).select(*keys, F.col("_p.x").alias(x), F.col("_p.y").alias(y), (F.col("_p.n") - 1).alias(name))
     return rows.join(counts, [*keys, x, y], "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 

@@ -104,3 +104,34 @@ def test_rasters_read_their_points_once(spark, sf_dir):
     from fluvial.plans import adapters
 
     assert "FileScan" not in adapters.mask(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_of_many_different_places(spark):
+    r = random.Random(7)
+    rows = [(k, r.choice(["a", "b", None]) if k % 50 == 0 else "a", r.gauss(0, 4) if k % 3 else r.uniform(-40, 40), r.gauss(0, 4)) for k in range(3000)]
+    rows += [(3000 + k, "a", x, y) for k, (x, y) in enumerate([(np.nan, 0.0), (np.inf, 0.0), (np.inf, 0.0), (None, 0.0), (0.0, -0.0), (-0.0, 0.0), (1e12, 1e12), (1e12, 1e12)])]
+    found = joins.neighbour_counts(spark.createDataFrame(rows, "id int, k string, x double, y double"), "x", "y", 5.0, ["k"], "n")
+    got = {x.id: x.n for x in found.collect()}
+    x, y = (np.array([np.nan if p[i] is None or p[1] is None else p[i] for p in rows]) for i in (2, 3))
+    keys = np.array([str(p[1]) for p in rows])
+    with np.errstate(invalid="ignore"):
+        dx, dy = x[:, None] - x, y[:, None] - y
+        near = (np.sqrt(dx * dx + dy * dy) <= 5.0) & (keys[:, None] == keys)
+    assert got == {p[0]: int(n) - int(near[k, k]) for k, (p, n) in enumerate(zip(rows, near.sum(axis=1)))}
+    # places are compared as chunks: no pair of places is a row of the plan
+    assert "_whole" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbours_at_the_radius_are_as_in_sql(spark, tmp_path):
+    import duckdb
+    from fluvial.plans import catalog
+
+    pairs = [(1057, 480, 689499, 5040), (1122, 480, 376478, 5040), (8188, 140, 49758, 17280), (1474, 480, 782728, 5040), (14129, 140, 53564, 17280), (10753, 140, 35930, 17280)]  # a root of squares is 5, hypot a little more
+    ends = [(n, v, s) for n, (i, a, j, b) in enumerate(pairs) for v, s in ((i / 100, j), ((i + a) / 100, j + b))]
+    values = ", ".join(f"({k}, {k % 3}, 'kind {n}', TIMESTAMP '2024-01-01 00:00:00' + INTERVAL ({s}) SECOND, {v}::DOUBLE)" for k, (n, v, s) in enumerate(ends))
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM (VALUES {values}) t(event_id, user_id, event_type, ts, value)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(catalog.oracle_sql()["neighbour_count_selfjoin"]).fetchall()
+    assert {n for _, n in want} == {1}
+    assert sorted(map(tuple, catalog.queries()["neighbour_count_selfjoin"](spark, str(tmp_path)).collect())) == sorted(want)
